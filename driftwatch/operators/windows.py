@@ -70,16 +70,16 @@ def quota_across_files(rows: DataFrame, quota: int, file: str, order: str) -> Da
     return rows.join(base, file).withColumn("_place", place).where(F.col("_place") <= quota).drop("_base", "_place")
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
+def std(values: Column, ddof: int) -> Column:
+    """Standard deviation of an array with ``ddof`` degrees of freedom less, in one pass; null if too short."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
+    def step(s: Column, x: Column) -> Column:
+        n, off = s["n"] + 1.0, x.cast("double") - s["mean"]
+        mean = s["mean"] + off / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + off * (x.cast("double") - mean)).alias("m2"))
 
-def std(values: Column, ddof: int) -> Column:
-    """Standard deviation of an array with ``ddof`` degrees of freedom less; null if too short."""
-    n = F.size(values)
-    mean = _sum(values) / n
-    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x.cast("double") - mean) * (x.cast("double") - mean))
-    return F.when(n > ddof, F.sqrt(squares / (n - ddof)))
+    return F.aggregate(values, start, step, lambda s: F.when(s["n"] > ddof, F.sqrt(s["m2"] / (s["n"] - ddof))))
 
 
 def unit_std(series: DataFrame, column: str, least: float | None = None, name: str = "scaled") -> DataFrame:

@@ -1 +1,140 @@
+"""Queries over detector windows and live streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftwatch.operators import signal as G
+from driftwatch.operators import vetoes
+from driftwatch.plans import views as V
+from driftwatch.plans.registry import query, with_tables
+from driftwatch.session import fresh_path, table
+from driftwatch.streaming import streams
+
+RATE, LOW, HIGH = 64.0, 2.0, 30.0
+
+
+def _doubles(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.transform(c, lambda v: v.cast("double")) for c in columns})
+
+
+def _total(column: str, digits: int = 6):
+    return F.round(F.aggregate(column, F.lit(0.0), lambda a, x: a + x * x), digits)
+
+
+@query()
+def window_spectra(spark: SparkSession, d: str) -> DataFrame:
+    rows = _doubles(table(spark, d, "embeddings"), "embedding")
+    return G.spectrum_of(rows, "embedding", RATE, 16).select("vec_id", "psd")
+
+
+@query()
+def bandpassed_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _doubles(table(spark, d, "embeddings"), "embedding")
+    return G.bandpassed(rows, "embedding", RATE, LOW, HIGH, 33).select("vec_id", _total("filtered").alias("energy"))
+
+
+@query()
+def whitened_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _doubles(table(spark, d, "embeddings"), "embedding")
+    return G.whitened(rows, "embedding", RATE, 16, 0.25).select("vec_id", F.size("white").alias("n"), _total("white").alias("energy"))
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    return G.compute_metrics(_doubles(V.pairs(spark, d), "h", "l"), "h", "l", RATE, LOW, HIGH, delay=0.1, delays=21, segment=16)
+
+
+@query()
+def coherence_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d).select("vec_id", *G.METRICS, *G.EXTRA, "success", "error")
+
+
+@query()
+def coherence_vetoes(spark: SparkSession, d: str) -> DataFrame:
+    cuts = {"cc": {"min": 0.1, "max": None}, "edr": {"min": None, "max": 5.0}, "coh_max": {"min": 0.2, "max": None}}
+    return vetoes.apply_vetoes(_metrics(spark, d), cuts).select("vec_id", "cc", "edr", "coh_max", "failed_cuts", "vetoed")
+
+
+@query(with_tables("pairs", """+x AS (SELECT vec_id, list_transform(h, lambda v: v::DOUBLE) AS h, list_transform(l, lambda v: v::DOUBLE) AS l FROM pairs),
+f AS (SELECT vec_id, unnest(h) AS a, unnest(l) AS b FROM x) SELECT vec_id, round(corr(a, b), 6) AS zero_lag FROM f GROUP BY vec_id"""))
+def zero_lag_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d).select("vec_id", F.round("zero_lag", 6).alias("zero_lag"))
+
+
+@query()
+def injected_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _doubles(V.pairs(spark, d), "h", "l").withColumn("snr", F.when(F.col("label") < 8, F.lit(12.0)))
+    waves = rows.withColumn("wave_h", F.slice("l", F.lit(1), F.lit(16))).withColumn("wave_l", F.slice("h", F.lit(1), F.lit(16)))
+    out = G.inject_waveforms(waves, "h", "l", "wave_h", "wave_l", "snr", RATE, 16)
+    return out.select("vec_id", "snr", _total("h_injected").alias("h_energy"), _total("l_injected").alias("l_energy"))
+
+
+@query()
+def slid_whitened(spark: SparkSession, d: str) -> DataFrame:
+    rows = _doubles(V.pairs(spark, d), "h", "l").select(F.floor(F.col("vec_id") / 50).alias("segment"), (F.col("vec_id") % 50).alias("chunk"), "h", "l")
+    out = G.timeslide_whitened(rows, spark.createDataFrame([(1,), (3,)], "shift int"), "segment", "h", "l", RATE, 16, 0.25)
+    return out.select("segment", "shift", "chunk", _total("h_white").alias("h_energy"), _total("l_white").alias("l_energy"))
+
+
+def _requests(spark: SparkSession, d: str) -> str:
+    """Each user's scores in requests of 8, as a table that a stream can read."""
+    rows = V.scores(spark, d).withColumn("request_id", F.floor(F.col("idx") / 8))
+    packed = rows.groupBy(F.col("stream").alias("sequence_id"), "request_id").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "score"))).alias("_s"), F.timestamp_seconds(F.max("t")).alias("ts")
+    )
+    last = packed.groupBy(F.col("sequence_id").alias("_of")).agg(F.max("request_id").alias("_last"))
+    full = packed.select("sequence_id", "request_id", "ts", F.transform("_s", lambda s: s["score"]).alias("samples")).join(last, F.col("sequence_id") == F.col("_of"))
+    path = fresh_path(spark, "requests")
+    full.select("sequence_id", "request_id", "ts", "samples", (F.col("request_id") == F.col("_last")).alias("is_end"), F.lit(2).alias("n_pad")).write.parquet(path)
+    return path
+
+
+REQUESTS = """+r AS (SELECT stream AS sequence_id, CAST(floor(idx / 8) AS BIGINT) AS request_id, idx, score, max(idx) OVER (PARTITION BY stream) AS last FROM scores)"""
+
+
+@query(with_tables("scores", REQUESTS + """,
+q AS (SELECT sequence_id, request_id, min(idx) AS lo, max(idx) AS hi FROM r GROUP BY ALL)
+SELECT q.sequence_id, q.request_id, greatest(q.lo - 20, 0) AS first, count(*)::INTEGER AS n, round(sum(r.score), 6) AS total
+FROM q JOIN r ON r.sequence_id = q.sequence_id AND r.idx BETWEEN q.lo - 20 AND q.hi GROUP BY 1, 2, 3"""))
+def live_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    path = _requests(spark, d)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    out = streams.run_once(streams.snapshot_stream(source, 20), "snapshots", spark, fresh_path(spark, "live"))
+    total = F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total")
+    return out.select("sequence_id", "request_id", "first", F.size("samples").alias("n"), total)
+
+
+@query(with_tables("scores", REQUESTS + """
+SELECT sequence_id, (count(*) - 2)::INTEGER AS n, round(sum(score) FILTER (idx <= last - 2), 6) AS total, true AS complete FROM r GROUP BY sequence_id"""))
+def live_assembly(spark: SparkSession, d: str) -> DataFrame:
+    path = _requests(spark, d)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumnRenamed("samples", "scores")
+    out = streams.run_once(streams.ordered_assembly(source), "assembled", spark, fresh_path(spark, "live"))
+    total = F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 6).alias("total")
+    return out.select("sequence_id", F.size("scores").alias("n"), total, "complete")
+
+
+@query(with_tables("scores", """+w AS (SELECT stream AS sequence_id, idx - 15 AS start, count(*) OVER f AS n, avg(score) OVER f AS m, stddev_samp(score) OVER f AS s FROM scores
+  WINDOW f AS (PARTITION BY stream ORDER BY idx ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
+SELECT sequence_id, start, round(m / s, 6) AS score FROM w WHERE n = 16 AND start % 4 = 0"""))
+def live_window_scores(spark: SparkSession, d: str) -> DataFrame:
+    path = _requests(spark, d)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    seen = streams.run_once(streams.snapshot_stream(source, 24), "snapshots", spark, fresh_path(spark, "live"))
+    new = F.size("samples") - F.when(F.col("request_id") == 0, 0).otherwise(F.least(F.lit(24), (F.col("request_id") * 8).cast("int")))
+    scored = streams.stream_windows(seen.withColumn("n_new", new), 16, 4, lambda x: x.mean(1))
+    return scored.select("sequence_id", "start", F.round("score", 6).alias("score"))
+
+
+@query("""WITH low AS (SELECT user_id, ts, value FROM events WHERE value < 60),
+s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM low),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s),
+w AS (SELECT user_id, epoch_us(min(ts)) // 1000000 AS first, epoch_us(max(ts)) // 1000000 AS last, min(value) AS min_score, count(*) AS n FROM r GROUP BY user_id, run)
+SELECT user_id, first, last, min_score, n FROM w WHERE last + 21600 < (SELECT epoch_us(max(ts)) // 1000000 - 3600 FROM low)""")
+def live_outliers(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "live-events")
+    table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value").write.parquet(path)
+    source = spark.readStream.schema("user_id long, ts timestamp, value double").parquet(path)
+    out = streams.run_once(streams.stream_outliers(source, 60, "6 hours", "1 hour", "user_id", score="value"), "outliers", spark, fresh_path(spark, "live"))
+    return out.select("user_id", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"), "min_score", "n")

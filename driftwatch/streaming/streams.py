@@ -43,24 +43,24 @@ def snapshot_stream(updates: DataFrame, keep: int) -> DataFrame:
     return updates.groupBy("sequence_id").applyInPandasWithState(step, SNAPSHOT, kept, "append", GroupStateTimeout.NoTimeout)
 
 
-def ordered_assembly(replies: DataFrame, timeout_ms: int = 60_000_000) -> DataFrame:
-    """Replies ``(sequence_id, request_id, is_end, n_pad, scores)`` put in order, a row for each sequence once all are there.
+def ordered_assembly(replies: DataFrame, idle_ms: int = 60_000_000, late: str = "1 hour", time: str = "ts") -> DataFrame:
+    """Replies ``(sequence_id, request_id, is_end, n_pad, scores, ts)`` put in order, a row for each sequence once all are there.
 
-    The reply flagged ``is_end`` tells how many there are; the scores that come from its padding are cut off. A sequence that
-    gets nothing for ``timeout_ms`` is emitted as it is, with ``complete`` false.
+    The reply flagged ``is_end`` tells how many there are; the scores that come from its padding are cut off. A sequence whose
+    last reply the watermark has left ``idle_ms`` behind is emitted as it is, with ``complete`` false.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, last, pad, seen = state.get if state.exists else ([], -1, 0, 0)
+        parts = {int(r): list(s) for r, s in held}
         if state.hasTimedOut:
-            parts = {int(r): s for r, s in state.get[0]}
             state.remove()
             yield row(key, [parts[r] for r in sorted(parts)], 0, False)
             return
-        held, last, pad = state.get if state.exists else ([], -1, 0)
-        parts = {int(r): list(s) for r, s in held}
         for frame in frames:
-            for request, is_end, n_pad, scores in zip(frame["request_id"], frame["is_end"], frame["n_pad"], frame["scores"], strict=True):
+            for request, is_end, n_pad, scores, at in zip(*(frame[c] for c in ("request_id", "is_end", "n_pad", "scores", time)), strict=True):
                 parts[int(request)] = [float(x) for x in scores]
+                seen = max(seen, int(at.timestamp() * 1000))
                 if is_end:
                     last, pad = int(request), int(n_pad)
         if last >= 0 and len(parts) == last + 1:
@@ -68,15 +68,16 @@ def ordered_assembly(replies: DataFrame, timeout_ms: int = 60_000_000) -> DataFr
                 state.remove()
             yield row(key, [parts[r] for r in range(last + 1)], pad, True)
         else:
-            state.update((sorted(parts.items()), last, pad))
-            state.setTimeoutDuration(timeout_ms)
+            state.update((sorted(parts.items()), last, pad, seen))
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
 
     def row(key: tuple, parts: list, pad: int, complete: bool) -> pd.DataFrame:
         scores = [x for part in parts for x in part]
         return pd.DataFrame([(key[0], scores[: len(scores) - pad], complete)], columns=["sequence_id", "scores", "complete"])
 
-    kept = "parts array<struct<request: long, scores: array<double>>>, last long, pad long"
-    return replies.groupBy("sequence_id").applyInPandasWithState(step, ASSEMBLED, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = "parts array<struct<request: long, scores: array<double>>>, last long, pad long, seen long"
+    marked = replies.withWatermark(time, late).groupBy("sequence_id")
+    return marked.applyInPandasWithState(step, ASSEMBLED, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_windows(snapshots: DataFrame, kernel: int, stride: int, scorer: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
