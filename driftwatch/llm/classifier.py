@@ -63,7 +63,7 @@ class BoostedTrees:
         self, x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.15, shrink: float = 1.0, least: int = 10
     ):
         mean = y.mean() if len(y) else 0.5
-        self.constant = float(mean) if not 0 < mean < 1 else None
+        self.constant = None if len(y) and 0 < mean < 1 else float(mean)
         self.depth, self.base = depth, 0.0 if self.constant is not None else math.log(mean / (1 - mean))
         self.feature, self.split, self.left, self.value, self.roots = [], [], [], [], []
         if self.constant is None:
