@@ -21,7 +21,6 @@ from __future__ import annotations
 import functools
 import heapq
 import json
-from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
 
@@ -35,13 +34,15 @@ from tokenizers import Tokenizer
 from driftwatch.llm.tokens import UNCOMMON
 
 #: Distinct fragments that a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: From so many bytes on, a fragment's merges are taken from a heap.
 LONG = 200
 #: A merge is one number: its rank, then the id that it makes in so many bits.
 BITS = 20
 MASK = (1 << BITS) - 1
 NONE = 1 << 62
+#: Stands for the ids of a word that doesn't end at a forced boundary.
+OPEN: tuple[int, ...] = ()
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,13 +74,16 @@ class BytePairs:
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = map(to_bytes, merge.split(" ") if isinstance(merge, str) else merge)
             self.codes[vocabulary[left], vocabulary[right]] = rank << BITS | vocabulary[left + right]
+        single = self.single
+        self.first_codes = {(a, b): self.codes.get((single[a], single[b]), NONE) for a in range(256) for b in range(256)}
         self.inside = {pair for word in vocabulary for pair in zip(word, word[1:], strict=False)}
         self.pieces = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words_seen: dict[str, tuple[int, ...] | None] = {}
+        self.words_seen: dict[str, tuple[int, ...]] = {}
         self.fragments_seen: dict[str, tuple[int, ...]] = {}
         self.pairs_seen: dict[str, bool] = {}
         self.names = [*map(str, self.words)]
+        self.ids = [*self.words]  # one object for each id, whatever remembers it
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.alphabet = alphabet
 
@@ -99,29 +103,32 @@ class BytePairs:
             self.pairs_seen[pair] = found
         return found
 
-    def fragments(self, text: str) -> Iterator[str]:
+    def fragments(self, text: str) -> list[str]:
         """The text between forced boundaries, in order."""
-        start = 0
+        known, cuts = self.pairs_seen, [0]
         for i in range(1, len(text)):
-            if self.forced(text[i - 1 : i + 1]):
-                yield text[start:i]
-                start = i
-        if text:
-            yield text[start:]
+            pair = text[i - 1 : i + 1]
+            if known[pair] if pair in known else self.forced(pair):
+                cuts.append(i)
+        if len(cuts) == 1:
+            return [text] if text else []
+        return [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
     def split(self, fragment: str) -> list[bytes]:
         """The pre-tokens of a fragment; the library itself splits characters whose class depends on its version."""
         if not UNCOMMON.search(fragment):
+            if fragment[fragment[0] == " " :].isalpha():
+                return [fragment.encode()]
             return [piece.encode() for piece in self.pieces.findall(fragment)]
         return [bytes(self.alphabet[c] for c in piece) for piece, _ in self.splitter.pre_tokenize_str(fragment)]
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: the merge of lowest rank first, the leftmost of equal ones."""
-        ids = [self.single[b] for b in piece]
+        ids = [*map(self.single.__getitem__, piece)]
         if len(ids) >= LONG:
             return self._merge_long(ids)
         get = self.codes.get
-        codes = [get(pair, NONE) for pair in zip(ids, ids[1:], strict=False)]
+        codes = [*map(self.first_codes.__getitem__, zip(piece, piece[1:]))]  # noqa: B905
         while codes and (best := min(codes)) != NONE:
             i = codes.index(best)
             ids[i : i + 2] = [best & MASK]
@@ -155,32 +162,32 @@ class BytePairs:
         """The ids of one fragment, remembered."""
         found = self.fragments_seen.get(fragment)
         if found is None:
-            found = tuple(chain.from_iterable(map(self.merge, self.split(fragment))))
+            found = tuple(map(self.ids.__getitem__, chain.from_iterable(map(self.merge, self.split(fragment)))))
             if len(self.fragments_seen) >= REMEMBERED:
                 self.fragments_seen.clear()
             if len(fragment) < 100:
                 self.fragments_seen[fragment] = found
         return found
 
-    def _after_space(self, words: list[str]) -> list[tuple[int, ...] | None]:
-        """The ids of each word with a space before it; None for a word after which a space isn't a certain cut."""
+    def _after_space(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each word with a space before it; none for a word after which a space isn't a certain cut."""
         seen = self.words_seen
         if len(seen) >= REMEMBERED:
             seen.clear()
-        try:
-            return [seen[word] for word in words]
-        except KeyError:
-            for word in words:
-                if word not in seen:
-                    certain = word and self.forced(word[-1] + " ")
-                    found = chain.from_iterable(map(self.encode_fragment, self.fragments(" " + word)))
-                    seen[word] = tuple(found) if certain else None
-            return [seen[word] for word in words]
+        parts = [*map(seen.get, words)]
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    word = words[i]
+                    if word and self.forced(word[-1] + " "):
+                        part = tuple(chain.from_iterable(map(self.encode_fragment, self.fragments(" " + word))))
+                    parts[i] = seen[word] = part or OPEN
+        return parts
 
     def _plain(self, text: str) -> list[tuple[int, ...]]:
         """The ids of a text without special tokens, in parts. Most forced boundaries are single spaces."""
         first, *words = text.split(" ")
-        if first and self.forced(first[-1] + " ") and None not in (parts := self._after_space(words)):
+        if first and self.forced(first[-1] + " ") and OPEN not in (parts := self._after_space(words)):
             return [*map(self.encode_fragment, self.fragments(first)), *parts]
         return [*map(self.encode_fragment, self.fragments(text))]
 
