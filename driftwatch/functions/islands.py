@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwatch.session import materialize
+
 
 def with_run(rows: DataFrame, by: list[str], number: str) -> DataFrame:
     """Adds ``run``, equal for rows whose ``number`` increases by one from row to row."""
@@ -22,10 +24,11 @@ def running_total(rows: DataFrame, order: str, value: str, name: str, descending
     """Adds the sum of ``value`` over all rows up to this one in the order of a column without ties.
 
     Rows are dealt out by ranges of ``order`` and summed within each range; the offsets are the totals of
-    earlier ranges, of which there is one for each partition. No task sees all rows.
+    earlier ranges, of which there is one for each partition. No task sees all rows. The ranges are written to the
+    shared folder, as totals and rows must see the same ones.
     """
     key = F.col(order).desc() if descending else F.col(order).asc()
-    dealt = rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
     first, last = F.min(order), F.max(order)
     totals = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"), (F.negative(last) if descending else first).alias("_at"))
     before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)

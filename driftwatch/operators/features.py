@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwatch.functions.quantiles import quantiles
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -107,7 +109,7 @@ def mix_in(rows: DataFrame, others: DataFrame, quota: int, order: str) -> DataFr
 def corner_histograms(rows: DataFrame, column: str, label: str, bins: int = 19, share: float = 0.001) -> DataFrame:
     """Per dimension and label, densities between the ``share`` and ``1 - share`` quantiles; values outside are dropped."""
     flat = rows.select(label, F.posexplode(column).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    spans = flat.groupBy("dim").agg(F.percentile("x", F.lit(share)).alias("_low"), F.percentile("x", F.lit(1 - share)).alias("_high"))
+    spans = quantiles(flat, "x", {"_low": share, "_high": 1 - share}, ["dim"])
     width = (F.col("_high") - F.col("_low")) / bins
     inside = flat.join(F.broadcast(spans), "dim").where((F.col("x") >= F.col("_low")) & (F.col("x") <= F.col("_high")) & (F.col("_high") > F.col("_low")))
     at = F.least(F.floor((F.col("x") - F.col("_low")) / width), F.lit(bins - 1)).cast("int")

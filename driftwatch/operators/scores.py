@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.islands import with_gap_run, with_run
+from driftwatch.functions.quantiles import quantiles
 
 
 def finite(value: Column) -> Column:
@@ -33,25 +34,40 @@ def dropped_rows(rows: DataFrame, by: str, column: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count_if(ok).alias("n_kept"), F.count_if(~ok).alias("n_dropped"))
 
 
-def _frame(by: list[str], order: str, width: int):
-    return Window.partitionBy(*by).orderBy(order).rowsBetween(-(width // 2), (width - 1) // 2)
+def _framed(rows: DataFrame, width: int, by: list[str], order: str, chunk: int | None):
+    """The rows, a frame of ``width`` of them around each, and what tells a row's own copy from a neighbour chunk's.
 
-
-def tophat_smooth(rows: DataFrame, width: int, by: list[str], order: str = "idx", score: str = "score", name: str = "smooth") -> DataFrame:
-    """Moving mean of ``width`` rows; beyond the ends the scores count as zero."""
-    return rows.withColumn(name, F.sum(score).over(_frame(by, order, width)) / width)
-
-
-def valid_smooth(rows: DataFrame, width: int, by: list[str], order: str = "idx", score: str = "score", name: str = "smooth") -> DataFrame:
-    """Moving mean of full frames only; rows without one go."""
-    frame = _frame(by, order, width)
+    With ``chunk``, a stream is cut into pieces of so many rows and each piece gets the rows of its neighbours that its
+    frames reach, so a stream of any length spreads over tasks. ``order`` must then count up by one from row to row.
+    """
+    keys, own = [*by], F.lit(True)
+    if chunk:
+        at = lambda off: F.floor((F.col(order) + off) / chunk)
+        rows = rows.withColumn("_chunk", F.explode(F.sequence(at(-((width - 1) // 2)), at(width // 2))))
+        keys, own = [*by, "_chunk"], F.col("_chunk") == at(0)
+    return rows, Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width // 2), (width - 1) // 2), own
+
+
+def tophat_smooth(
+    rows: DataFrame, width: int, by: list[str], order: str = "idx", score: str = "score", name: str = "smooth", chunk: int | None = None
+) -> DataFrame:
+    """Moving mean of ``width`` rows; beyond the ends the scores count as zero. ``chunk`` splits long streams."""
+    rows, frame, own = _framed(rows, width, by, order, chunk)
+    return rows.withColumn(name, F.sum(score).over(frame) / width).where(own).drop("_chunk")
+
+
+def valid_smooth(
+    rows: DataFrame, width: int, by: list[str], order: str = "idx", score: str = "score", name: str = "smooth", chunk: int | None = None
+) -> DataFrame:
+    """Moving mean of full frames only; rows without one go. ``chunk`` splits long streams."""
+    rows, frame, own = _framed(rows, width, by, order, chunk)
     out = rows.withColumn(name, F.sum(score).over(frame) / width).withColumn("_n", F.count("*").over(frame))
-    return out.where(F.col("_n") == width).drop("_n")
+    return out.where(own & (F.col("_n") == width)).drop("_n", "_chunk")
 
 
 def veto_long_runs(rows: DataFrame, share: float, max_run: int, by: list[str], order: str = "idx", score: str = "smooth") -> DataFrame:
     """Rows without runs of over ``max_run`` rows in a row that lie under the ``share`` quantile of all scores."""
-    cut = rows.agg(F.percentile(score, F.lit(share)).alias("_cut"))
+    cut = quantiles(rows, score, {"_cut": share})
     flagged = rows.crossJoin(F.broadcast(cut)).withColumn("_low", F.col(score) < F.col("_cut"))
     numbered = flagged.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
     runs = with_run(numbered, [*by, "_low"], "_place")
@@ -62,46 +78,14 @@ def veto_long_runs(rows: DataFrame, share: float, max_run: int, by: list[str], o
 def threshold(rows: DataFrame, level: float, score: str = "score") -> DataFrame:
     """One row ``threshold``: the ``level``-th smallest score from zero if ``level >= 1``, else the interpolated quantile."""
     if level < 1:
-        return rows.agg(F.percentile(score, F.lit(level)).alias("threshold"))
+        return quantiles(rows, score, {"threshold": level})
     return rows.orderBy(score).limit(int(level) + 1).agg(F.max(score).alias("threshold"))
 
 
-def quantile_by_refinement(rows: DataFrame, level: float, score: str = "score", bins: int = 4096, keep: int = 100_000) -> float | None:
-    """The interpolated quantile of any number of scores in a few passes, each a histogram of ``bins`` counts.
-
-    A pass narrows the range to the bin that holds the two ranks asked for, until that has at most ``keep`` rows.
-    """
-    rows = rows.select(F.col(score).cast("double").alias("x")).where(finite(F.col("x")))
-    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return None
-    rank = level * (n - 1)
-    under = int(rank)
-    below = 0
-    while n > keep and high > low:
-        width = (high - low) / bins
-        bucket = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1))
-        inside = rows.where(F.col("x").between(low, high))
-        counts = inside.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("b").collect()
-        seen, touched = below, []
-        for row in counts:
-            if seen + row["n"] > under and seen <= min(under + 1, below + n - 1):
-                touched.append((seen, row))
-            seen += row["n"]
-        size = sum(row["n"] for _, row in touched)
-        if size >= n:
-            break
-        below, low, high, n = touched[0][0], touched[0][1]["low"], touched[-1][1]["high"], size
-    pair = rows.where(F.col("x").between(low, high)).orderBy("x").offset(under - below).limit(2).collect()
-    first, last = pair[0][0], pair[-1][0]
-    return first + (last - first) * (rank - under)
-
-
 def threshold_from_far(background: DataFrame, seconds: float, score: str = "score", year: float = 3.154e7) -> DataFrame:
     """The quantile ``1 - seconds / year`` of background scores, and their smallest and largest."""
-    return background.agg(
-        F.percentile(score, F.lit(1 - seconds / year)).alias("threshold"), F.min(score).alias("lowest"), F.max(score).alias("highest")
-    )
+    ends = background.agg(F.min(score).alias("lowest"), F.max(score).alias("highest"))
+    return quantiles(background, score, {"threshold": 1 - seconds / year}).crossJoin(F.broadcast(ends))
 
 
 def select_outliers(rows: DataFrame, cut: DataFrame, by: list[str], psd_length: int, rate: float = 1.0, score: str = "score") -> DataFrame:
@@ -139,6 +123,5 @@ def outlier_rate(outliers: DataFrame, spans: DataFrame, width: float, by: list[s
 
 def score_summary(rows: DataFrame, by: list[str], share: float, score: str = "score") -> DataFrame:
     """Count, smallest, largest and ``share`` quantile of each group."""
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min(score).alias("lowest"), F.max(score).alias("highest"), F.percentile(score, F.lit(share)).alias("cut")
-    )
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(score).alias("lowest"), F.max(score).alias("highest"))
+    return ends.join(quantiles(rows, score, {"cut": share}, by), by, "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwatch.functions.quantiles import quantiles
 from driftwatch.operators.scores import finite
 
 
@@ -35,11 +36,12 @@ def metric_summary(rows: DataFrame, thresholds: dict[str, dict]) -> DataFrame:
     """For each metric over its finite values: count, mean, median, population deviation, range, and how many lie beyond its bounds."""
     pairs = ", ".join(f"'{m}', cast({m} as double), cast({b.get('min')!r} as double), cast({b.get('max')!r} as double)" for m, b in thresholds.items())
     long = rows.selectExpr(f"stack({len(thresholds)}, {pairs}) as (metric, value, low, high)".replace("None", "null"))
-    return long.where(finite(F.col("value"))).groupBy("metric").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_pop("value").alias("std"),
-        F.min("value").alias("lowest"), F.max("value").alias("highest"),
+    good = long.where(finite(F.col("value")))
+    stats = good.groupBy("metric").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("lowest"), F.max("value").alias("highest"),
         F.count_if(F.col("value") < F.col("low")).alias("n_below"), F.count_if(F.col("value") > F.col("high")).alias("n_above"),
     )
+    return stats.join(quantiles(good, "value", {"median": 0.5}, ["metric"]), "metric")
 
 
 def veto_totals(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from driftwatch.plans.registry import query, with_tables
 from driftwatch.sources import tables
 
 GAP, PAD = 21_600, 1_800
+#: Rows of a stream that one task smooths.
+CHUNK = 1 << 16
 SMOOTH = """+smooth AS (SELECT *, sum(score) OVER (PARTITION BY stream ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS smooth FROM scores)"""
 CLUSTERS = f"""+cut AS (SELECT quantile_cont(score, 0.1) AS threshold FROM scores),
 sized AS (SELECT *, count(*) OVER (PARTITION BY stream) AS n FROM scores),
@@ -27,13 +29,13 @@ def _r(name: str, digits: int = 6):
 
 @query(with_tables("scores", SMOOTH + "\nSELECT stream, idx, round(smooth, 6) AS smooth FROM smooth"))
 def tophat_smoothing(spark: SparkSession, d: str) -> DataFrame:
-    return S.tophat_smooth(V.scores(spark, d), 4, ["stream"]).select("stream", "idx", _r("smooth"))
+    return S.tophat_smooth(V.scores(spark, d), 4, ["stream"], chunk=CHUNK).select("stream", "idx", _r("smooth"))
 
 
 @query(with_tables("scores", """+f AS (SELECT *, sum(score) OVER w / 5 AS smooth, count(*) OVER w AS n FROM scores WINDOW w AS (PARTITION BY stream ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
 SELECT stream, idx, round(smooth, 6) AS smooth FROM f WHERE n = 5"""))
 def valid_smoothing(spark: SparkSession, d: str) -> DataFrame:
-    return S.valid_smooth(V.scores(spark, d), 5, ["stream"]).select("stream", "idx", _r("smooth"))
+    return S.valid_smooth(V.scores(spark, d), 5, ["stream"], chunk=CHUNK).select("stream", "idx", _r("smooth"))
 
 
 @query(with_tables("scores", SMOOTH + """,

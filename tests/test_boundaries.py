@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.grids import bin_of, histogram
 from driftwatch.functions.islands import running_total
+from driftwatch.functions.quantiles import quantiles
 from driftwatch.operators import efficiency, features, intervals, models, scores, significance, slides, vetoes, windows
 from driftwatch.session import fresh_path
 from driftwatch.sources import segments, tables
@@ -57,7 +58,10 @@ def test_smoothing_pads_with_zero(frame):
     for width in (1, 2, 3, 4, 5):
         got = [v for _, v in pairs(scores.tophat_smooth(rows, width, ["s"]), "idx", "smooth")]
         assert got == pytest.approx(np.convolve(x, np.ones(width) / width, "same"))
-        valid = [v for _, v in pairs(scores.valid_smooth(rows, width, ["s"]), "idx", "smooth")]
+        for chunk in (2, 3):
+            cut = [v for _, v in pairs(scores.tophat_smooth(rows, width, ["s"], chunk=chunk), "idx", "smooth")]
+            assert cut == pytest.approx(got)
+        valid = [v for _, v in pairs(scores.valid_smooth(rows, width, ["s"], chunk=2), "idx", "smooth")]
         assert valid == pytest.approx(np.convolve(x, np.ones(width) / width, "valid"))
 
 
@@ -73,12 +77,20 @@ def test_thresholds(frame):
     assert scores.threshold(rows, 1).first()[0] == 2.0
     assert scores.threshold(rows, 0.25).first()[0] == 2.0
     assert scores.threshold(rows, 0.125).first()[0] == 1.5
-    many = frame([((i * 7919) % 5003 / 7,) for i in range(5003)], "score double")
-    for level in (0.0, 0.01, 0.5, 0.999, 1.0):
-        exact = many.agg(F.percentile("score", F.lit(level))).first()[0]
-        assert scores.quantile_by_refinement(many, level, bins=10, keep=50) == pytest.approx(exact)
-    assert scores.quantile_by_refinement(rows.where("score > 9"), 0.5) is None
-    assert scores.quantile_by_refinement(frame([(2.0,)] * 400, "score double"), 0.3, keep=10) == 2.0
+    assert scores.threshold(rows.where("score > 9"), 0.5).count() == 0
+
+
+def test_quantiles_equal_numpy(frame):
+    import numpy as np
+
+    values = [(i % 3, float(i * 7919 % 503)) for i in range(2000)] + [(0, float("nan")), (1, None), (7, 2.0)]
+    rows = frame(values, "g int, x double")
+    levels = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.999, "e": 1.0}
+    for r in quantiles(rows, "x", levels, ["g"]).collect():
+        own = [x for g, x in values if g == r["g"] and x is not None and x == x]
+        assert [r[n] for n in levels] == pytest.approx([float(np.quantile(own, q)) for q in levels.values()])
+    own = [x for _, x in values if x is not None and x == x]
+    assert quantiles(rows, "x", levels).first()["b"] == pytest.approx(float(np.quantile(own, 0.013)))
 
 
 def test_gap_of_the_limit_stays_one_cluster(frame):
