@@ -65,7 +65,7 @@ def test_pages_by_marks(frame):
     html = (
         '<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Top</header><nav><ul><li>Menu</li></ul></nav>'
         '<div class="cookie-notice">We use</div><article><h1>Head</h1><p>One &amp; two&nbsp;  three<br>four<p>F<b>iv</b>e</p><div class="ad">Buy</div><form>Name</form></article>'
-        '<section id="comments"><p>First!</p></section><aside>More</aside><!-- x --><footer>&copy; me</footer></body></html'
+        '<section id="comments"><p>First!</p></section><article class="comment">Second!</article><aside>More</aside><!-- x --><footer>&copy; me</footer></body></html'
     )
     rows = [(1, "http://h/a", html, 1), (2, None, None, 1), (3, "no url", "", 1), (4, "http://h/b", html, 1), (5, "http://g/x", "<p>a &am", 1), (6, "http://g/y", "2 < 3 <script>x", 1)]
     got = extracted(frame, rows)
