@@ -20,8 +20,8 @@ def with_gap_run(rows: DataFrame, by: list[str], order: list[str], starts: Colum
     return rows.withColumn("run", F.sum(F.when(starts, 1).otherwise(0)).over(upto))
 
 
-def running_total(rows: DataFrame, order: str, value: str, name: str, descending: bool = False) -> DataFrame:
-    """Adds the sum of ``value`` over all rows up to this one in the order of a column without ties.
+def running_total(rows: DataFrame, order: str, totals: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds, for each name of ``totals``, the sum of its column over all rows up to this one in the order of a column without ties.
 
     Rows are dealt out by ranges of ``order`` and summed within each range; the offsets are the totals of
     earlier ranges, of which there is one for each partition. No task sees all rows. The ranges are written to the
@@ -29,10 +29,11 @@ def running_total(rows: DataFrame, order: str, value: str, name: str, descending
     """
     key = F.col(order).desc() if descending else F.col(order).asc()
     dealt = materialize(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
-    first, last = F.min(order), F.max(order)
-    totals = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"), (F.negative(last) if descending else first).alias("_at"))
-    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    sums = dealt.groupBy("_range").agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = [F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_base_{name}") for name in totals]
+    offsets = sums.select(F.col("_range").alias("_of"), *bases)
     within = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     joined = dealt.join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
-    return joined.withColumn(name, F.col("_base") + F.sum(value).over(within)).drop("_range", "_of", "_base")
+    added = {name: F.col(f"_base_{name}") + F.sum(value).over(within) for name, value in totals.items()}
+    return joined.withColumns(added).drop("_range", "_of", *[f"_base_{name}" for name in totals])

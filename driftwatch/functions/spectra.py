@@ -71,12 +71,24 @@ def fractional_delay(x: np.ndarray, rate: float, tau: float | np.ndarray) -> np.
     return np.fft.irfft(np.fft.rfft(x) * phase, x.shape[-1])
 
 
+STATISTICS = ("cc", "rho", "scc", "edr", "c_energy", "n_energy", "e_total", "e_max", "l_energy", "nbins")
+
+
+def flatten(x: np.ndarray, rate: float, size: int) -> np.ndarray:
+    """A series that isn't whitened, divided by the root of its own Welch spectrum in the frequency domain."""
+    power = psd(x, rate, size, average="mean")
+    f, grid = np.fft.rfftfreq(x.shape[-1], 1 / rate), np.fft.rfftfreq(size, 1 / rate)
+    density = np.stack([np.interp(f, grid, row) for row in power.reshape(-1, power.shape[-1])]).reshape(*x.shape[:-1], -1)
+    return np.fft.irfft(np.fft.rfft(x) / np.sqrt(np.maximum(density, 1e-300)), x.shape[-1]) * np.sqrt(2 / rate)
+
+
 def coherent_statistics(h: np.ndarray, l: np.ndarray, rate: float, low: float, high: float, taus: np.ndarray) -> dict[str, np.ndarray]:  # noqa: E741
     """Coherent and null energies of two whitened series for each delay ``taus`` of the second: arrays of shape (delays, rows).
 
     With spectra H and L in the band: C is the cross energy, N the energy that isn't common, E the total. ``cc`` = C / (|C| + N),
     ``rho`` = sqrt(C / (K - 1)) for K = 2 detectors, ``edr`` = N / C, ``scc`` = (E - Em) / ((E - Em) + (E - L) + n)
     with Em the largest single-detector energy, L the common energy and n the number of bins. An empty band gives NaN.
+    The energies themselves are ``c_energy``, ``n_energy``, ``e_total``, ``e_max``, ``l_energy``, and ``nbins``.
     """
     n, eps = h.shape[-1], 1e-12
     window = hann(n)
@@ -86,7 +98,7 @@ def coherent_statistics(h: np.ndarray, l: np.ndarray, rate: float, low: float, h
     a, b = (np.fft.rfft(x * window)[..., band] / norm for x in (h, l))
     if not band.any():
         nothing = np.full((len(taus), *h.shape[:-1]), np.nan)
-        return dict.fromkeys(("cc", "rho", "scc", "edr"), nothing)
+        return dict.fromkeys(STATISTICS, nothing) | {"nbins": np.zeros_like(nothing)}
     moved = b * np.exp(-2j * np.pi * f[band] * taus.reshape(-1, *[1] * b.ndim))
     c = 2 * (a * moved.conj()).real.sum(-1)
     null = (np.abs(a - moved) ** 2).sum(-1) / 2
@@ -99,6 +111,12 @@ def coherent_statistics(h: np.ndarray, l: np.ndarray, rate: float, low: float, h
         "rho": np.sqrt(plus),
         "scc": gain / (gain + (total - common) + band.sum()),
         "edr": null / np.maximum(plus, eps),
+        "c_energy": c,
+        "n_energy": null,
+        "e_total": np.broadcast_to(total, c.shape),
+        "e_max": np.broadcast_to(largest, c.shape),
+        "l_energy": common,
+        "nbins": np.full(c.shape, band.sum()),
     }
 
 

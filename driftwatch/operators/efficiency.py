@@ -98,8 +98,7 @@ def roc_curve(rows: DataFrame, score: str, positive: str, by: str | None = None)
         upto = Window.partitionBy(by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
         summed = at.withColumn("_tp", F.sum("_p").over(upto)).withColumn("_fp", F.sum("_n").over(upto))
     else:
-        summed = running_total(at, score, "_p", "_tp", descending=True)
-        summed = running_total(summed, score, "_n", "_fp", descending=True)
+        summed = running_total(at, score, {"_tp": "_p", "_fp": "_n"}, descending=True)
     totals = rows.groupBy(*keys).agg(F.count_if(F.col(positive)).alias("_ps"), F.count_if(~F.col(positive)).alias("_ns"))
     joined = summed.join(F.broadcast(totals), by) if by else summed.crossJoin(F.broadcast(totals))
     return joined.select(*keys, score, (F.col("_fp") / F.col("_ns")).alias("fpr"), (F.col("_tp") / F.col("_ps")).alias("tpr"), "_p", "_n", "_tp", "_ps", "_ns")

@@ -45,12 +45,17 @@ def whitened(rows: DataFrame, column: str, rate: float, size: int, duration: flo
     return map_windows(rows, column, name, lambda x: spectra.whiten(x, spectra.psd(x, rate, size), rate, duration, highpass))
 
 
+def delayed(rows: DataFrame, column: str, rate: float, tau: float, name: str = "delayed") -> DataFrame:
+    """Adds each window ``tau`` seconds later, by the phase of its spectrum."""
+    return map_windows(rows, column, name, lambda x: spectra.fractional_delay(x, rate, tau))
+
+
 METRICS = ("rho", "edr", "cc", "scc", "coh_max", "coh_mean", "corr_mag_fd", "corr_real_fd")
 EXTRA = ("tau", "xcorr", "lag", "zero_lag")
 
 
-def compute_metrics(rows: DataFrame, h: str, l: str, rate: float, low: float, high: float, delay: float = 0.01, delays: int = 81, segment: int = 256) -> DataFrame:  # noqa: E741
-    """Adds the coherence metrics of two detectors' whitened windows, with ``success`` and ``error``.
+def compute_metrics(rows: DataFrame, h: str, l: str, rate: float, low: float, high: float, delay: float = 0.01, delays: int = 81, segment: int = 256, white: bool = True) -> DataFrame:  # noqa: E741
+    """Adds the coherence metrics of two detectors' windows, with ``success`` and ``error``; without ``white`` they are flattened first.
 
     A row that fails has null metrics and its error; the others of its batch aren't touched by it.
     """
@@ -77,6 +82,8 @@ def compute_metrics(rows: DataFrame, h: str, l: str, rate: float, low: float, hi
 
     def of(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
         size = min(segment, a.shape[-1])
+        if not white:
+            a, b = (spectra.flatten(x, rate, size) for x in (a, b))
         return (
             spectra.scan_delays(a, b, rate, low, high, delay, delays)
             | spectra.coherence(a, b, rate, low, high, size, size // 2)

@@ -52,7 +52,7 @@ def ifar_curve(scores: DataFrame, seconds: float, direction: str, score: str = "
     """For each distinct score the number of scores as anomalous (ties share the highest count) and its inverse rate in years."""
     low = _check(direction)
     counts = scores.groupBy(score).agg(F.count("*").alias("n"))
-    out = running_total(counts, score, "n", "count", descending=not low)
+    out = running_total(counts, score, {"count": "n"}, descending=not low)
     return out.select(score, "count", (F.lit(float(seconds)) / (F.col("count") * YEAR)).alias("ifar_years"))
 
 

@@ -41,6 +41,14 @@ def whitened_windows(spark: SparkSession, d: str) -> DataFrame:
     return G.whitened(rows, "embedding", RATE, 16, 0.25).select("vec_id", F.size("white").alias("n"), _total("white").alias("energy"))
 
 
+@query(with_tables("flat", """SELECT vec_id, round(sum(x * x), 6) AS energy FROM flat GROUP BY vec_id"""))
+def delayed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Two delays of half the window bring it back, so the energy is that of the window itself."""
+    rows = _doubles(table(spark, d, "embeddings"), "embedding")
+    once = G.delayed(rows, "embedding", RATE, 0.5, "once")
+    return G.delayed(once, "once", RATE, 0.5, "twice").select("vec_id", _total("twice").alias("energy"))
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     return G.compute_metrics(_doubles(V.pairs(spark, d), "h", "l"), "h", "l", RATE, LOW, HIGH, delay=0.1, delays=21, segment=16)
 

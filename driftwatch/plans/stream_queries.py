@@ -10,6 +10,7 @@ from driftwatch.operators import scores as S
 from driftwatch.operators import significance as G
 from driftwatch.plans import views as V
 from driftwatch.plans.registry import query, with_tables
+from driftwatch.session import fresh_path
 from driftwatch.sources import tables
 
 GAP, PAD = 21_600, 1_800
@@ -83,6 +84,15 @@ def outlier_clusters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("stream", _r("start"), _r("end"), _r("duration"), "min_score", "n")
 
 
+@query(with_tables("scores", CLUSTERS + f"""
+SELECT stream AS t0, CAST(0 AS INTEGER) AS shift, round(min(t) - {PAD}, 6) AS start, round(min(score), 2) AS min_score FROM runs GROUP BY stream, run"""))
+def outlier_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "catalogue")
+    found = S.cluster_outliers(_outliers(spark, d), GAP, ["stream"], PAD).withColumnRenamed("stream", "t0")
+    tables.write_outliers(found.withColumn("length", F.lit(0)).withColumn("shift", F.lit(0)), path)
+    return spark.read.parquet(path).select("t0", "shift", _r("start"), "min_score")
+
+
 @query(with_tables("scores", CLUSTERS + f""",
 clusters AS (SELECT stream, count(*) AS n_rows, max(t) - min(t) + {2 * PAD} AS duration, min(score) AS min_score FROM runs GROUP BY stream, run),
 worst AS (SELECT stream, count(*) AS n_outliers FROM low GROUP BY stream ORDER BY 2 DESC, 1 LIMIT 10)

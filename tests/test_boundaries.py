@@ -133,9 +133,9 @@ def test_poisson_quantiles():
 
 def test_running_total_needs_no_single_task(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), F.lit(1).alias("v"))
-    got = running_total(rows, "k", "v", "n").orderBy("k").collect()
+    got = running_total(rows, "k", {"n": "v"}).orderBy("k").collect()
     assert [r["n"] for r in got] == list(range(1, 1001))
-    down = running_total(rows, "k", "v", "n", descending=True).orderBy(F.desc("k")).collect()
+    down = running_total(rows, "k", {"n": "v"}, descending=True).orderBy(F.desc("k")).collect()
     assert [r["n"] for r in down] == list(range(1, 1001))
 
 

@@ -72,3 +72,27 @@ def test_freq_cos_is_the_cosine_of_spectra(spark):
     for (h, l), r in zip(rows, got, strict=True):
         a, b = np.fft.rfft(h), np.fft.rfft(l)
         assert r["c"] == pytest.approx((a * b.conj()).sum().real / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-8))
+
+
+def test_statistics_are_consistent():
+    h, l = draw.normal(size=(2, 3, 1024))  # noqa: E741
+    s = S.coherent_statistics(h, l, 1024.0, 32, 400, np.array([0.0, 0.001]))
+    assert set(s) == set(S.STATISTICS) and all(v.shape == (2, 3) for v in s.values())
+    assert s["l_energy"] + s["n_energy"] == pytest.approx(s["e_total"])
+    assert s["l_energy"] - s["n_energy"] == pytest.approx(s["c_energy"])
+
+
+def test_a_bad_window_fails_alone(spark):
+    good = draw.normal(size=64).tolist()
+    rows = spark.createDataFrame([(1, good, good), (2, good[:5], good), (3, None, good)], "i long, h array<double>, l array<double>").coalesce(1)
+    from driftwatch.operators.signal import compute_metrics
+
+    got = compute_metrics(rows, "h", "l", 64.0, 2.0, 30.0, segment=16).orderBy("i").collect()
+    assert [r["success"] for r in got] == [True, False, False] and got[1]["cc"] is None and got[1]["error"]
+    assert got[0]["cc"] > 0.99 and got[0]["tau"] == 0
+
+
+def test_flattening_whitens():
+    x = np.cumsum(draw.normal(size=(2, 4096)), axis=1)
+    power = S.psd(S.flatten(x, 256.0, 256), 256.0, 256)
+    assert power[:, 10:-10].std() / power[:, 10:-10].mean() < 0.6
