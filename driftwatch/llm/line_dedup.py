@@ -31,15 +31,28 @@ from pyspark.sql import functions as F
 
 from driftwatch.session import fresh_path
 
-WHITE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LOWERED = str.maketrans(UPPER, LOWER)
+WHITE = b" \t\n\x0b\x0c\r"
+LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 RUN = "key binary, owner long"
 
 
-def line_key(line: Column) -> Column:
-    """The key of a line as text."""
-    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
+def line_digest(line: bytes, min_chars: int) -> bytes | None:
+    """The digest of a line's key; None for a key of under ``min_chars`` code points. Lines are UTF-8, 1 to 4 bytes a code point."""
+    key = line.strip(WHITE).translate(LOWERED)
+    if len(key) < min_chars or len(key) < 4 * min_chars and len(key.decode()) < min_chars:
+        return None
+    return md5(key).digest()
+
+
+def line_digests(text: Column, min_chars: int) -> Column:
+    """The distinct digests of a text's keys."""
+
+    @F.arrow_udf("array<binary>")
+    def digests(texts: pa.Array) -> pa.Array:
+        lines = ((x or "").encode().split(b"\n") for x in texts.to_pylist())
+        return pa.array([list({line_digest(x, min_chars) for x in own} - {None}) for own in lines], pa.list_(pa.binary()))
+
+    return digests(text)
 
 
 class LineRuns:
@@ -82,17 +95,16 @@ def add_documents(
     The bounds of batches are quantiles of the ids; they decide what is done when, not the result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("owner"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("owner"), F.col(text).alias("text"))
     shares = [i / batches for i in range(1, batches)]
     bounds = (docs.agg(F.percentile_approx("owner", shares, 1000)).first()[0] if shares else None) or []
     batch = sum((F.when(F.col("owner") > bound, 1).otherwise(0) for bound in sorted({*bounds})), F.lit(0))
-    key = line_key(F.col("line"))
     path = fresh_path(spark, "line-batches")
     (
         docs.where(F.col("owner").isNotNull())
-        .select("owner", batch.alias("batch"), F.explode(F.split("text", "\n", -1)).alias("line"))
-        .where(F.length(key) >= min_chars)
-        .groupBy("batch", F.unhex(F.md5(key)).alias("key"))
+        .select("owner", batch.alias("batch"), line_digests(F.col("text"), min_chars).alias("keys"))
+        .select("owner", "batch", F.explode("keys").alias("key"))
+        .groupBy("batch", "key")
         .agg(F.min("owner").alias("owner"))
         .write.parquet(path)
     )
@@ -118,11 +130,10 @@ def dedup_lines(
     @F.arrow_udf("_kept string, n_lines long, n_dropped long")
     def kept(ids: pa.Array, texts: pa.Array, keys: pa.Array) -> pa.Array:
         out: list[tuple[str, int, int]] = []
-        for owner, value, own in zip(ids, texts, keys, strict=True):
-            lines = (value.as_py() or "").split("\n")
-            have = {*(own.as_py() or ())}
-            keep = lines if not owner.is_valid else [x for x in lines if _keeps(x, have, min_chars)]
-            out.append(("\n".join(keep), len(lines), len(lines) - len(keep)))
+        for owner, value, own in zip(ids, texts.to_pylist(), keys.to_pylist(), strict=True):
+            lines, have = (value or "").encode().split(b"\n"), {None, *(own or ())}
+            keep = [x for x in lines if line_digest(x, min_chars) in have] if owner.is_valid else lines
+            out.append((b"\n".join(keep).decode(), len(lines), len(lines) - len(keep)))
         columns = zip(*out, strict=True) if out else ((), (), ())
         kinds = (pa.string(), pa.int64(), pa.int64())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -131,8 +142,3 @@ def dedup_lines(
     out = joined.withColumn("_done", kept(F.col(doc_id), F.col(text), F.col("_keys")))
     out = out.withColumns({text: F.col("_done._kept"), "n_lines": F.col("_done.n_lines"), "n_dropped": F.col("_done.n_dropped")})
     return out.drop("_owner", "_keys", "_done")
-
-
-def _keeps(line: str, own: set[bytes], min_chars: int) -> bool:
-    key = line.strip(WHITE).translate(LOWERED)
-    return len(key) < min_chars or md5(key.encode()).digest() in own

@@ -24,7 +24,7 @@ def test_sql(name, spark, duck):
 
 
 def lines_brute(rows, least=10):
-    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER))
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(licenses.UPPER, licenses.LOWER))
     owner = {}
     for doc_id, text in rows:
         for line in (text or "").split("\n"):
