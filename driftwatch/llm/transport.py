@@ -10,7 +10,7 @@ Reading parses the tables to find the elementary stream, checks sync bytes,
 section checksums and continuity counters, reassembles the units and lists
 their timestamps and random-access points.
 
-Nulls and empty texts are one frame of filling bytes. Streams are independent:
+Nulls and empty texts are one frame of filling bytes; a null stream reads as nulls. Streams are independent:
 equal texts give equal streams, repeated rows repeat results, an empty table stays empty.
 Extra columns pass through; output names replace columns of the same name.
 """
@@ -206,6 +206,9 @@ def read(df: DataFrame, media: str = "media") -> DataFrame:
     def parsed(values: pa.Array) -> pa.Array:
         rows = []
         for value in values:
+            if not value.is_valid:
+                rows.append((None,) * len(kinds))
+                continue
             data = value.as_buffer().to_pybytes()
             stream = Stream(data)
             points = [i for i, flag in enumerate(stream.random_access) if flag]

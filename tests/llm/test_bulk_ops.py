@@ -35,6 +35,11 @@ def test_streams_round_trip(frame):
         assert " gaps=0 " in r["feature"]
 
 
+def test_a_null_stream_reads_as_nulls(frame):
+    got = transport.read(frame([(1, None)], "doc_id long, media binary")).first()
+    assert got["payload_bytes"] is None and got["feature"] is None
+
+
 def test_streams_of_all_lengths_and_broken_ones():
     random.seed(1)
     for n in [*range(1, 40), 1000, 4999]:
