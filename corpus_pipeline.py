@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import classifier, line_dedup, packing, rules, simhash
+from driftwatch.llm import classifier, line_dedup, neardup, packing, rules
 from driftwatch.llm.queries import GOOD
 from driftwatch.llm.tokens import default_vocabulary
 from driftwatch.session import materialize, table
@@ -34,8 +34,8 @@ def without_known_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates."""
-    return simhash.keep_first(docs).select(*docs.columns)
+    """Keeps the document of smallest id of each group of near-duplicates: five-word shingles of similarity 0.8 or more."""
+    return neardup.keep_first(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES = [
     ("quality classifier", by_classifier),
     ("quality rules", by_rules),
     ("line dedup", without_known_lines),
-    ("SimHash near-dedup", without_near_duplicates),
+    ("near-dedup", without_near_duplicates),
     ("packing", packed),
 ]
 
