@@ -8,7 +8,9 @@ host's furniture and go.
 Marks go first. Lines inside of ``article`` or ``main`` are the page's own,
 whatever its neighbour holds: two copies of one article share all of its lines.
 Lines in menus, headers, footers, asides, forms, scripts and elements whose
-class, id or role says so are never text. On pages that mark no article, the
+class, id or role says so are never text; what says so is a whole name or its last
+word. An article or ``main`` that lies in such an element or in a form is the page's own if
+it has no other. On pages that mark no article, the
 lines left are decided by the differencing. If a neighbour has all of them, it
 is a copy and decides nothing.
 
@@ -52,24 +54,60 @@ NEVER = {*(
     " popup modal newsletter subscribe sidebar menu nav navigation navbar breadcrumb breadcrumbs footer comment comments disqus reply replies share"
     " sharing social related widget login signup search pagination pager skip toolbar alert toast overlay adslot adbox adsense adsbygoogle promoted"
 ).split()}
+#: Of these the ones that hold other people's articles: an ``article`` inside is never the page's own.
+FOREIGN = {*(
+    "ad ads advert adverts advertisement advertisements sponsor sponsored sponsors promo promotion promoted adslot adbox adsense adsbygoogle"
+    " comment comments disqus reply replies related"
+).split()}
+#: Last words of a name that say nothing by themselves, and first words of names that describe a layout.
+TAIL = {*"slot box bar list link links block unit icons button buttons form item".split()}
+LAYOUT = {*"has no with without is not hide".split()}
 #: Whole class names of an ``article`` that is a remark or an advert, not the page's own.
 REMARK = {"comment", "comments", "reply", "ad", "advert"}
 OUTSIDE = {"header", "masthead", "contentinfo", "complementary"}
 
 
+def _words(rest: str) -> set[str]:
+    """The last telling word of each class, id and role."""
+    out = set()
+    for found in MARK.findall(rest):
+        for name in "".join(found).lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            while len(words) > 1 and words[-1] in TAIL:
+                words.pop()
+            if words and not (len(words) > 1 and words[0] in LAYOUT):
+                out.add(words[-1])
+    return out
+
+
 def _kind(name: str, rest: str, inside: bool) -> str:
-    """``own``, ``chrome`` or nothing, as an element's name and marks say."""
+    """``own``, ``chrome``, ``soft`` (chrome that may hold the page's article) or nothing, as an element's name and marks say."""
     if name in OWN:
         names = {w for found in MARK.findall(rest) for w in "".join(found).lower().split()} if rest else set()
         return "chrome" if names & REMARK else "own"
+    if name == "form":
+        return "soft"
     if name in CHROME or name == "header" and not inside:
         return "chrome"
-    words = {w for found in MARK.findall(rest) for w in re.split(r"[^a-z0-9]+", "".join(found).lower())} if rest else ()
+    words = _words(rest) if rest else ()
     if words and (words & NEVER or not inside and words & OUTSIDE) and name not in ("body", "html"):
-        return "chrome"
+        return "chrome" if words & FOREIGN else "soft"
     return ""
 
 
+def _held(name: str, kind: str, around: str) -> str:
+    """The kind of what an element holds, from its own and that of what encloses it."""
+    if name == "main" and kind == "own":
+        return "own"
+    if around == "chrome" or kind == "chrome":
+        return "chrome"
+    if around == "soft":
+        return "inner" if kind == "own" else "soft"
+    if around == "inner":
+        return "soft" if kind == "soft" else "inner"
+    return kind or around
+
+
 def blocks(html: str) -> list[tuple[str, str]]:
     """The lines of a page in order with what encloses them: ``own``, ``chrome`` or nothing."""
     out: list[tuple[str, str]] = []
@@ -88,7 +126,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
             if not token[0].startswith("<") or token[0] == "<":
                 parts.append(entities.unescape(token[0]))
             continue
-        kind = "" if token["close"] else _kind(name, token["rest"], any(k == "own" for _, k in stack))
+        kind = "" if token["close"] else _kind(name, token["rest"], any(k in ("own", "inner") for _, k in stack))
         if name in INLINE and not kind and not any(n == name for n, _ in stack):
             continue
         if token["close"]:
@@ -102,9 +140,10 @@ def blocks(html: str) -> list[tuple[str, str]]:
             stack.pop()
         if name not in VOID and not token["rest"].endswith("/"):
             around = stack[-1][1] if stack else ""
-            stack.append((name, around if around == "chrome" else kind or around))
+            stack.append((name, _held(name, kind, around)))
     end()
-    return out
+    inner = "chrome" if any(kind == "own" for _, kind in out) else "own"  # of two articles, the one in a sidebar isn't the page's
+    return [(line, {"soft": "chrome", "inner": inner}.get(kind, kind)) for line, kind in out]
 
 
 def _last_row(a: list[int], b: list[int]) -> list[int]:
