@@ -1,7 +1,8 @@
 """HTML extraction by nearest-URL page differencing.
 
 Pages of one host, sorted by the path of their URL, are paired with the
-neighbour of the longest common path. The text lines (blocks) of a pair are
+neighbour of the longest common path. Copies and near copies that follow each other
+count as one page: their neighbours are the nearest pages of other bodies. The text lines (blocks) of a pair are
 aligned by a longest common subsequence: lines that both pages have are the
 host's furniture and go.
 
@@ -11,8 +12,9 @@ Lines in menus, headers, footers, asides, forms, scripts and elements whose
 class, id or role says so are never text; what says so is a whole name or its last
 word. An article or ``main`` that lies in such an element or in a form is the page's own if
 it has no other. On pages that mark no article, the
-lines left are decided by the differencing. If a neighbour has all of them, it
-is a copy and decides nothing.
+lines left are decided by the differencing. A near copy (what both share is over four
+times as long as what either has besides) decides nothing; a page with no neighbour of
+another body keeps all of its lines.
 
 Pages are sorted by range, so a host of any size spreads over tasks; a page at the
 edge of a task has one neighbour instead of two to choose from.
@@ -200,6 +202,17 @@ def main_text(page: list[tuple[str, str]], near: list[tuple[str, str]] | None) -
     return " ".join(lines)
 
 
+def near_copies(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> bool:
+    """Whether two pages have one body: neither marks an article, and what they share is over four times as long as what either has besides."""
+    if a is b:
+        return True
+    if any(kind == "own" for _, kind in a + b):
+        return False
+    x, y = ([line for line, kind in page if not kind] for page in (a, b))
+    both = sum(len(x[i]) for i in common_lines(x, y))
+    return max(sum(map(len, x)), sum(map(len, y))) - both < both / 4 or x == y
+
+
 def _alike(a: str, b: str) -> int:
     """The length of the common beginning of two paths."""
     n = min(len(a), len(b))
@@ -223,20 +236,28 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     )
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = now = None  # pages as (id, url, host, path, blocks)
+        before, run = None, []  # pages as (id, url, host, path, blocks): the last one of another body, and the copies since then
         for batch in batches:
             out: list[tuple] = []
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for one, link, its_host, its_path, source in zip(*columns, strict=True):
                 new = (one, link, its_host, its_path, blocks(source or ""))
-                if now:
-                    out.append(text_of(before, now, new))
-                before, now = now, new
+                if run and run[-1][2] == its_host:
+                    if new[4] == run[-1][4]:
+                        new = (*new[:4], run[-1][4])  # copies are held once
+                    if not near_copies(run[-1][4], new[4]):
+                        out += [text_of(before, x, new) for x in run]
+                        before, run = run[-1], []
+                else:
+                    out += [text_of(before, x, None) for x in run]
+                    before, run = None, []
+                run.append(new)
             yield batch_of(out)
-        yield batch_of([text_of(before, now, None)] if now else [])
+        yield batch_of([text_of(before, x, None) for x in run])
 
     def text_of(before: tuple | None, now: tuple, after: tuple | None) -> tuple:
-        near = [x for x in (before, after) if x and x[2] == now[2]]
+        marked = any(kind == "own" for _, kind in now[4])
+        near = [] if marked else [x for x in (before, after) if x and not near_copies(x[4], now[4])]
         best = max(near, key=lambda x: _alike(x[3], now[3]), default=None)
         text = main_text(now[4], best and best[4])
         return now[0], now[1], text, len(text)

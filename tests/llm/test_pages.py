@@ -27,3 +27,19 @@ def test_wrappers_keep_the_article(start, end):
 def test_an_article_in_a_sidebar_gives_way():
     html = "<div class='sidebar'><article>Teaser</article></div><article>Body</article>"
     assert pages.main_text(pages.blocks(html), None) == "Body"
+
+
+def test_near_copies_keep_the_article(frame):
+    article = "".join(f"<p>Sentence {i} of the story of the day.</p>" for i in range(12))
+    page = lambda date, body: f"<div>Site name</div><p>{date}</p>{body}<div>All about us</div>"
+    plain = article.replace("<p>", " ").replace("</p>", " ").split()
+    rows = [(i, f"http://h.org/a/{i}", page(f"Day {i}", article)) for i in range(5)]
+    other = [(10 + i, f"http://h.org/{p}", page(f"Date {i}", f"<p>Something else {i}</p>" * 20)) for i, p in enumerate("0z")]
+    exact = [(20 + i, f"http://g.org/a/{i}", page("Day", article)) for i in range(3)] + [(29, "http://g.org/b", page("Date", "<p>Else</p>" * 30))]
+    got = {r["page_id"]: r["text"] for r in pages.extract(frame(rows + other + exact, "page_id long, url string, html string", 1).coalesce(1)).collect()}
+    for i in range(5):
+        assert got[i] == " ".join(["Day", str(i), *plain])
+    for i in range(3):
+        assert got[20 + i] == " ".join(["Day", *plain])
+    alone = {r["page_id"]: r["text"] for r in pages.extract(frame(rows, "page_id long, url string, html string", 1)).collect()}
+    assert all(" ".join(plain) in alone[i] for i in range(5))
