@@ -1,7 +1,8 @@
 """License scans by sentence rules, with built-in functions only.
 
 A text is cut into sentences at line ends and after ``.``, ``!``, ``?`` or ``;``
-followed by white space. A sentence is normalised to lower-case words of a-z and
+followed by white space. A known sentence may also be wrapped over the lines of a paragraph, with or without
+comment signs before each: it begins and ends where a line or a sentence does. A sentence is normalised to lower-case words of a-z and
 0-9 with single spaces. Known sentences have an identifier; the identifiers of a
 document, in order, form a sequence, in which an unknown sentence that lies
 between two known ones is left out. A rule is an ordered sequence of identifiers
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BREAK, OTHER = r"([.!?;])[ \t\r\f\x0B]+", r"[^a-z0-9\n]+"
+#: Comment signs at the begin of a line, the end of a sentence, what is no word, and a line end with spaces around.
+COMMENT, BREAK, OTHER, END = r"\n[ \t]*[#*;/!%|>-]+[ \t]+", r"([.!?;])(?:[ \t\r\f\x0B]+\n?|\n)", r"[^a-z0-9\n]+", r" ?\n ?"
 
 #: Identifiers of known license sentences, as their licences and notices have them.
 SENTENCES = {
@@ -72,18 +74,20 @@ def known_sentences() -> dict[str, str]:
     return {normal(re.split(r"(?<=[.!?;])\s", s)[0]): name for name, all_ in SENTENCES.items() for s in all_}
 
 
-def sentences_of(text: Column) -> Column:
-    """The normalised sentences of a text, in order."""
-    marked = F.regexp_replace(text, BREAK, "$1\n")
-    plain = F.regexp_replace(F.translate(marked, UPPER, LOWER), OTHER, " ")
-    return F.transform(F.split(plain, "\n", -1), lambda s: F.btrim(s))
+def sentences_of(text: Column, known: list[str]) -> Column:
+    """The known sentences of a text, in order. Line ends are single, ends of sentences and paragraphs double."""
+    marked = F.regexp_replace(F.regexp_replace(text, COMMENT, "\n"), BREAK, "$1\n\n")
+    plain = F.regexp_replace(F.regexp_replace(F.translate(marked, UPPER, LOWER), OTHER, " "), END, "\n")
+    any_ = "|".join(s.replace(" ", "[ \n]") for s in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(F.btrim(plain), F.lit(rf"(?<![^\n])(?:{any_})(?![^\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, "\n", " "))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids`` and ``licenses``, lists joined by commas, and ``n_known`` sentences."""
     known = known_sentences()
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    found = F.filter(sentences_of(F.coalesce(F.col(text), F.lit(""))), lambda s: s.isin([*known]))
+    found = sentences_of(F.coalesce(F.col(text), F.lit("")), [*known])
     out = docs.withColumn("sentence_ids", F.array_join(F.transform(found, lambda s: F.element_at(lookup, s)), ","))
     padded = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     matched = [F.when(padded.contains(f",{','.join(ids)},"), F.lit(name)) for name, ids in RULES]
