@@ -1,10 +1,11 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""SimHash near-dedup at a similarity: five-word shingles and a Jaccard similarity of 0.8 or more.
 
-Two texts are near-duplicates if their sets of ``WORDS``-word shingles have a
-Jaccard similarity of 4/5 or more. SimHash can't say so: at 4/5, fingerprints of
-64 bits differ in 10 bits on average, which no selective keys cover. So pairs come from
-a prefix filter, which misses none: with all shingles in one common order, two sets of
-that similarity share a shingle among the first ``n - ceil(4 n / 5) + 1`` of each.
+The same fingerprints and pigeonring chains as in ``simhash``, with a wide budget. At a similarity of 4/5
+two fingerprints of 64 bits differ in 10 bits on average and in more than ``BITS`` = 28 about once in 10^8 pairs; they are
+taken over the set of shingles, as the similarity is. No equal segments are sure within so many bits, so the keys
+under which texts are filed are shingles: with all shingles in one common order, two sets of
+the similarity share one among the first ``n - ceil(4 n / 5) + 1`` of each. A pair of one key must have a
+chain of segments that keeps its shares of the budget, then pass the full Hamming check, and at last the exact similarity of the whole sets.
 
 The order is by hash, but shingles that are common in a sample of the texts come
 last. The sample only sets the order: results are the same with any. Texts of equal sets are one
@@ -14,7 +15,7 @@ then, when these are verified and joined to components, all pairs of different c
 Two sets of the similarity share more keys than one: what lies beyond the prefixes can't make up for
 too few (``fewest``), so pairs of fewer common keys are left out before they are verified.
 So a large group of near copies costs in proportion to its rows, and no pair
-that could join two components is left out. Every pair is verified on the whole sets.
+that could join two components is left out.
 
 Nulls, empty texts and texts of white space are copies. A null ``doc_id`` links like
 any other, but never names a component and is never dropped.
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm.components import components
-from driftwatch.llm.simhash import LOWERED, SEED
+from driftwatch.llm.simhash import LOWERED, SEED, majority, within
 from driftwatch.session import materialize
 
 WORDS = 5
+#: Bits in which fingerprints may differ.
+BITS = 28
 #: Buckets of up to so many classes give all their pairs at once.
 SMALL = 64
 #: Texts in the sample, the share of them from which on a shingle is common, and the most common shingles that are sent to all tasks.
@@ -103,9 +106,9 @@ def _buckets(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
         yield from of(*rest)
 
 
-def _batch(key: np.ndarray, a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+def _batch(key: np.ndarray, a: np.ndarray, b: np.ndarray | None, n: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), other, pa.array(n)], ["key", "a", "b", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), other, pa.array(n), pa.array(fp)], ["key", "a", "b", "n", "fp"])
 
 
 def fewest(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -116,7 +119,14 @@ def fewest(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-4 * (n + m) // 9) - np.maximum(-(-4 * n // 5), -(-4 * m // 5)) + 1
 
 
-def first_pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _may_be(n: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sizes and fingerprints of two rows allow the similarity."""
+    ok = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
+    ok[ok] = within(fp[a[ok]].view(np.uint64), fp[b[ok]].view(np.uint64), BITS)
+    return ok
+
+
+def first_pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
     """All pairs of small buckets; of others each class with the first, and its rows with a null ``b``."""
     bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size, ends = np.repeat(np.diff(bounds), np.diff(bounds)), np.repeat(bounds[1:], np.diff(bounds))
@@ -130,12 +140,13 @@ def first_pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.
             break
         pairs.append((rows, rows + off))
     for a, b in pairs:
-        ok = (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (cls[a] != cls[b])
-        yield _batch(key[a[ok]], cls[a[ok]], cls[b[ok]], fewest(n[a[ok]], n[b[ok]]))
-    yield _batch(key[large], cls[large], None, n[large])
+        a, b = a[cls[a] != cls[b]], b[cls[a] != cls[b]]
+        ok = _may_be(n, fp, a, b)
+        yield _batch(key[a[ok]], cls[a[ok]], cls[b[ok]], fewest(n[a[ok]], n[b[ok]]), fp[a[ok]])
+    yield _batch(key[large], cls[large], None, n[large], fp[large])
 
 
-def cross_pairs(key: np.ndarray, label: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def cross_pairs(key: np.ndarray, label: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
     """All pairs of different labels in each bucket whose sizes allow the similarity. Rows are sorted by key and label."""
     new = np.concatenate([[True], key[1:] != key[:-1], [True]])
     bounds = np.flatnonzero(new)
@@ -144,20 +155,18 @@ def cross_pairs(key: np.ndarray, label: np.ndarray, cls: np.ndarray, n: np.ndarr
     others = np.repeat(groups[1:], np.diff(groups))  # where the next label begins
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    held = 0
-    for row in np.flatnonzero(others < ends):
+    held, last = 0, len(key) - 1
+    for row in [*np.flatnonzero(others < ends).tolist(), last]:
         near = np.arange(others[row], ends[row])
         near = near[5 * np.minimum(n[row], n[near]) >= 4 * np.maximum(n[row], n[near])]
         left.append(np.full(len(near), row))
         right.append(near)
         held += len(near)
-        if held >= BATCH:
+        if held >= BATCH or row == last and held:
             a, b = np.concatenate(left), np.concatenate(right)
-            yield _batch(key[a], cls[a], cls[b], fewest(n[a], n[b]))
+            ok = within(fp[a].view(np.uint64), fp[b].view(np.uint64), BITS)
+            yield _batch(key[a[ok]], cls[a[ok]], cls[b[ok]], fewest(n[a[ok]], n[b[ok]]), fp[a[ok]])
             left, right, held = [], [], 0
-    if held:
-        a, b = np.concatenate(left), np.concatenate(right)
-        yield _batch(key[a], cls[a], cls[b], fewest(n[a], n[b]))
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
@@ -212,23 +221,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     common = _common(docs, words)
 
-    @F.arrow_udf("struct<cls:long,n:long,keys:array<long>>")
+    @F.arrow_udf("struct<cls:long,n:long,fp:long,keys:array<long>>")
     def marked(texts: pa.Array) -> pa.Array:
-        digests, sizes, keys = [], [], []
+        digests, sizes, prints, keys = [], [], [], []
         for x in texts.to_pylist():
             hashes = shingles(x or "", words)
             digests.append(_digest(hashes))
             sizes.append(len(hashes))
+            prints.append(majority(hashes))
             keys.append(prefix(hashes, common))
-        columns = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(keys)]
-        return pa.StructArray.from_arrays(columns, ["cls", "n", "keys"])
+        digests, prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (digests, prints))
+        return pa.StructArray.from_arrays([digests, pa.array(sizes, pa.int64()), prints, _lists(keys)], ["cls", "n", "fp", "keys"])
 
     # hashed twice: to write the prefixes beside the ids would take more disk than time
     marks = materialize(docs.select("doc_id", marked("text").alias("m")).select("doc_id", "m.cls"), "near-marks")
     classes = materialize(marks.groupBy("cls").agg(F.min("doc_id").alias("first")), "near-classes")
-    sets = docs.select(marked("text").alias("m")).groupBy("m.cls").agg(F.first("m.n").alias("n"), F.first("m.keys").alias("keys"))
-    keys = sets.select(F.explode("keys").alias("key"), "cls", "n").repartition("key").sortWithinPartitions("key", "cls")
-    found = materialize(keys.mapInArrow(lambda rows: _buckets(rows, first_pairs), "key long, a long, b long, n long"), "near-buckets")
+    sets = docs.select(marked("text").alias("m")).groupBy("m.cls").agg(*[F.first(f"m.{x}").alias(x) for x in ("n", "fp", "keys")])
+    keys = sets.select(F.explode("keys").alias("key"), "cls", "n", "fp").repartition("key").sortWithinPartitions("key", "cls")
+    found = materialize(keys.mapInArrow(lambda rows: _buckets(rows, first_pairs), "key long, a long, b long, n long, fp long"), "near-buckets")
     # a class that shares large buckets has more common keys than its pairs here say: what is left out for that comes again below
     pairs = materialize(_enough(found.where("b IS NOT NULL")), "near-pairs")
     links = materialize(_verified(pairs, classes, docs, words), "near-links")
@@ -236,9 +246,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     large = found.where("b IS NULL")
     if not large.isEmpty():
         label = F.coalesce("component", "a").alias("label")
-        rows = large.join(joined, large.a == joined.node, "left").select("key", label, F.col("a").alias("cls"), "n")
+        rows = large.join(joined, large.a == joined.node, "left").select("key", label, F.col("a").alias("cls"), "n", "fp")
         rows = rows.repartition("key").sortWithinPartitions("key", "label", "cls")
-        more = rows.mapInArrow(lambda batches: _buckets(batches, cross_pairs), "key long, a long, b long, n long")
+        more = rows.mapInArrow(lambda batches: _buckets(batches, cross_pairs), "key long, a long, b long, n long, fp long")
         sized = large.groupBy("key").agg(F.lit(True).alias("large"))
         small = found.where("b IS NOT NULL").join(sized, "key", "left_anti")
         more = materialize(_enough(more.unionByName(small)).join(pairs, ["a", "b"], "left_anti"), "near-pairs")

@@ -41,8 +41,6 @@ from driftwatch.llm.components import components
 from driftwatch.session import materialize
 
 RING, WIDTH, BUDGET = 4, 16, 2
-#: Bits by which chains of 1 to ``RING`` segments may differ.
-CHAIN = [length * BUDGET // RING for length in range(1, RING + 1)]
 #: Buckets of more rows are linked by variants.
 DENSE = 256
 #: From so many rows on, the variants of a bucket are not all made at once.
@@ -62,7 +60,11 @@ def fingerprint(text: str, words: int = 3) -> int:
         shingles = [join(found)]
     else:
         shingles = map(join, zip(*(found[i:] for i in range(words)), strict=False))
-    hashes = np.fromiter((digest(x, SEED) for x in shingles), np.uint64)
+    return majority(np.fromiter((digest(x, SEED) for x in shingles), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero for none."""
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 16):  # bounds the memory that a long text takes
         part = hashes[start : start + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -98,13 +100,23 @@ def ring_keys(values: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1)
 
 
-def chain_holds(start: np.ndarray, differ: np.ndarray) -> np.ndarray:
-    """Whether the chains from segment ``start`` keep their budgets; ``differ`` are the bits that differ."""
+def chain_holds(start: np.ndarray, differ: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+    """Whether the chains from segment ``start`` keep their shares of ``budget``; ``differ`` are the bits that differ."""
     sums, ok = np.zeros(len(differ), np.int64), np.ones(len(differ), bool)
     for length in range(RING):
         shift = (np.uint64(WIDTH) * ((start + np.uint64(length)) % np.uint64(RING))).astype(np.uint64)
         sums += np.bitwise_count((differ >> shift) & np.uint64(0xFFFF))
-        ok &= sums <= CHAIN[length]
+        ok &= sums <= (length + 1) * budget // RING
+    return ok
+
+
+def within(one: np.ndarray, two: np.ndarray, budget: int) -> np.ndarray:
+    """Whether two fingerprints differ in ``budget`` bits or fewer: pairs without a segment whose chains hold go before the full check."""
+    differ, ok = one ^ two, np.zeros(len(one), bool)
+    for start in range(RING):
+        left = np.flatnonzero(~ok)
+        ok[left] = chain_holds(np.full(len(left), start, np.uint64), differ[left], budget)
+    ok[ok] = np.bitwise_count(differ[ok]) <= budget
     return ok
 
 
@@ -167,11 +179,10 @@ def bucket_links(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.n
         ok[ok] = np.bitwise_count(differ[ok]) <= BUDGET
         left.append(rows[ok])
         right.append(rows[ok] + off)
-    for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-        if end - start > DENSE:
-            a, b = _dense_links(values[start:end])
-            left.append(a + start)
-            right.append(b + start)
+    for i in np.flatnonzero(np.diff(bounds) > DENSE):
+        a, b = _dense_links(values[bounds[i] : bounds[i + 1]])
+        left.append(a + bounds[i])
+        right.append(b + bounds[i])
     if not left:
         return values[:0], values[:0]
     a, b = np.concatenate(left), np.concatenate(right)
@@ -191,14 +202,19 @@ def links(distinct: DataFrame, name: str = "fp") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "fp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of a bucket that may go on
         for batch in batches:
-            new = [batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)]
-            keys, values = np.concatenate([keys, new[0]]), np.concatenate([values, new[1]])
-            whole = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last bucket may go on
-            yield batch_of(keys[:whole], values[:whole])
-            keys, values = keys[whole:], values[whole:]
-        yield batch_of(keys, values)
+            keys, values = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            if not len(keys):
+                continue
+            whole = np.searchsorted(keys, keys[-1])
+            if held and keys[0] != held[-1][0][-1] or whole:
+                held.append((keys[:whole], values[:whole]))
+                yield batch_of(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            held.append((keys[whole:], values[whole:]))
+        if held:
+            yield batch_of(*map(np.concatenate, zip(*held, strict=True)))
 
     def batch_of(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
         pairs = bucket_links(keys, values) if len(keys) else (values, values)

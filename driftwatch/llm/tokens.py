@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 
 import numpy as np
@@ -34,18 +35,26 @@ class TextEncoder:
     def __init__(self, json_path: str, ranks_path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(json_path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
+        self.json_path = json_path
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        self.end_id = self.exact.token_to_id(END_OF_TEXT)
+        with open(json_path, encoding="utf-8") as file:
+            self.end_id = next(x["id"] for x in json.load(file)["added_tokens"] if x["content"] == END_OF_TEXT)
         self.quick = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: self.end_id}
         )
 
+    @functools.cached_property
+    def exact(self):
+        """The library's tokenizer, loaded only where a text needs it: it takes as much memory as all the rest of a worker."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.json_path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text as unsigned 32-bit integers."""
         if UNCOMMON.search(text):

@@ -320,12 +320,9 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     from test_text_ops import lines_brute
 
     rows = {int(i): t for i, t, _, _ in lines_brute(list(rows.items()))}
-    prints = {i: fingerprint_brute(t) for i, t in rows.items()}
-    roots = joined(sorted({*prints.values()}), near_brute(sorted({*prints.values()})))
-    first = {}
-    for i in sorted(rows):
-        first.setdefault(roots[prints[i]], i)
-    rows = {i: t for i, t in rows.items() if first[roots[prints[i]]] == i}
+    from test_neardup import brute
+
+    rows = {i: rows[i] for i, first in brute([*rows.items()]) if i == first}
     stage, columns = docs, docs.columns
     for _, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, SMALL)

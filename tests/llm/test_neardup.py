@@ -67,7 +67,7 @@ def test_the_stage_drops_edited_copies(spark, frame):
     random.seed(3)
     text = " ".join(f"w{random.randrange(3000)}" for _ in range(200))
     docs = frame([(1, text), (2, edited(text, 4)), (3, edited(text, 150))], "doc_id long, text string")
-    stage = dict(corpus_pipeline.STAGES)["near-dedup"]
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
     assert {r["doc_id"] for r in stage(spark, docs, SMALL).collect()} == {1, 3}
 
 
