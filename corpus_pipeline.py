@@ -34,7 +34,7 @@ def without_known_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates: five-word shingles of similarity 0.8 or more."""
+    """Keeps the document of smallest id of each group of near-duplicates: SimHash over five-word shingles, similarity 0.8 or more."""
     return neardup.keep_first(docs).select(*docs.columns)
 
 
@@ -47,11 +47,11 @@ STAGES = [
     ("quality classifier", by_classifier),
     ("quality rules", by_rules),
     ("line dedup", without_known_lines),
-    ("near-dedup", without_near_duplicates),
+    ("SimHash near-dedup", without_near_duplicates),
     ("packing", packed),
 ]
 
-#: SQL can express neither the trained models, nor XXH64 fingerprints, nor tokens.
+#: SQL can express neither the trained models, nor XXH64 fingerprints of shingles, nor tokens.
 ORACLE_SQL = None
 
 
