@@ -21,25 +21,104 @@ from driftwatch.llm import pages
 def test_wrappers_keep_the_article(start, end):
     inside = "<p>One</p><p class='related-work'>Two</p><p class='notice-period'>Three</p><div class='ad-slot'>Buy</div><div class='cookie-notice'>We</div>"
     html = f"<body><nav>Menu</nav>{start}{inside}{end}<div id=comments><article>First!</article></div></body>"
-    assert pages.main_text(pages.blocks(html), None) == "One Two Three"
+    assert pages.main_text(pages.blocks(html)) == "One Two Three"
 
 
 def test_an_article_in_a_sidebar_gives_way():
     html = "<div class='sidebar'><article>Teaser</article></div><article>Body</article>"
-    assert pages.main_text(pages.blocks(html), None) == "Body"
-
-
-def test_near_copies_keep_the_article(frame):
-    article = "".join(f"<p>Sentence {i} of the story of the day.</p>" for i in range(12))
-    page = lambda date, body: f"<div>Site name</div><p>{date}</p>{body}<div>All about us</div>"
-    plain = article.replace("<p>", " ").replace("</p>", " ").split()
-    rows = [(i, f"http://h.org/a/{i}", page(f"Day {i}", article)) for i in range(5)]
-    other = [(10 + i, f"http://h.org/{p}", page(f"Date {i}", f"<p>Something else {i}</p>" * 20)) for i, p in enumerate("0z")]
-    exact = [(20 + i, f"http://g.org/a/{i}", page("Day", article)) for i in range(3)] + [(29, "http://g.org/b", page("Date", "<p>Else</p>" * 30))]
-    got = {r["page_id"]: r["text"] for r in pages.extract(frame(rows + other + exact, "page_id long, url string, html string", 1).coalesce(1)).collect()}
-    for i in range(5):
-        assert got[i] == " ".join(["Day", str(i), *plain])
-    for i in range(3):
-        assert got[20 + i] == " ".join(["Day", *plain])
-    alone = {r["page_id"]: r["text"] for r in pages.extract(frame(rows, "page_id long, url string, html string", 1)).collect()}
-    assert all(" ".join(plain) in alone[i] for i in range(5))
+    assert pages.main_text(pages.blocks(html)) == "Body"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<div class='elementor-widget elementor-widget-text'><p>Real text.</div>", "Real text."),
+        ("<div class='layout has-sidebar'><article><p>Body</p></article></div>", "Body"),
+        ("<article><p id='notice-period'>One</p><p class='social-history'>Two</p></article>", "One Two"),
+        ("<article>Let <math><mi>x</mi></math> be small, <svg><text>as drawn</text></svg></article>", "Let x be small, as drawn"),
+        ("<article>Teaser</article><div><p>The long body of the story follows here.</p></div>", "Teaser The long body of the story follows here."),
+        ("<article>The long body of the story follows here.</article><div>3 March</div>", "The long body of the story follows here."),
+    ],
+)
+def test_marks_keep_what_they_should(html, want):
+    assert pages.main_text(pages.blocks(html)) == want
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    import time
+
+    for make in (lambda n: "<div>" * n + "x", lambda n: "<b" + "a" * n, lambda n: "<a " * n, lambda n: "<p>x" * n):
+        began = time.perf_counter()
+        pages.blocks(make(40_000))
+        assert time.perf_counter() - began < 2
+
+
+def story(i, n=12):
+    return "".join(f"<p>Sentence {j} of story number {i} of the day.</p>" for j in range(n))
+
+
+def site(body, date=""):
+    return f"<div>Site name and a very long motto that is furniture on each page of it</div><p>{date}</p>{body}<div>All about us</div>"
+
+
+def brute(rows):
+    """The texts by a plain walk over all pages of a host."""
+    from collections import Counter, defaultdict
+
+    out, hosts = {}, defaultdict(list)
+    for i, url, html in rows:
+        host, _, path = (url or "").removeprefix("http://").partition("/")
+        lines = pages.blocks(html or "")
+        out[i] = pages.main_text(lines)
+        hosts[host].append(("/" + path if url else "", i, lines))
+    for own in hosts.values():
+        own.sort(key=lambda x: x[:2])
+        counts = Counter(line for _, _, lines in own for line in {line for line, _ in lines})
+        common = {line for line, k in counts.items() if k >= 3 and 2 * k > len(own)}
+        own = [x for x in own if x[2]]
+
+        def one_body(a, b):
+            x, y = ({line for line, _ in p[2]} - common for p in (a, b))
+            size = lambda s: sum(map(len, s))
+            return [*a[2]] == [*b[2]] or x == y or 4 * (max(size(x), size(y)) - size(x & y)) < size(x & y)
+
+        runs = []
+        for page in own:
+            if runs and one_body(runs[-1][-1], page):
+                runs[-1].append(page)
+            else:
+                runs.append([page])
+        for k, run in enumerate(runs):
+            near = [runs[k - 1][-1]] * (k > 0) + [x[0] for x in runs[k + 1 : k + 2]]
+            for path, i, lines in run:
+                if near:
+                    best = max(near, key=lambda x: pages._alike(x[0], path))
+                    a, b = ([line for line, _ in p] for p in (lines, best[2]))
+                    shared = pages.common_lines(a, b)
+                    out[i] = pages.main_text(lines, {x for x in shared if a[x] in common} if len(shared) == len(a) else shared)
+    return out
+
+
+def extracted(frame, rows):
+    return {r["page_id"]: r["text"] for r in pages.extract(frame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_differencing_decides_whatever_the_partitions(spark, frame):
+    rows = [(i, f"http://h.org/a/{i // 4:02}", site(story(i // 4))) for i in range(40)]  # copies in fours
+    rows += [(100 + i, f"http://h.org/near/{i:02}", site(story(99), f"Day {i}")) for i in range(30)]  # near copies
+    rows += [(200 + i, f"http://g.org/{i}", site(story(f"g{i}", 1))) for i in range(20)]  # furniture is most of a page
+    rows += [(300 + i, f"http://m.org/{i}", f"<nav>Menu</nav><article>{story(i % 3)}</article><div class='ad'>Ad {i}</div><footer>us</footer>") for i in range(9)]
+    rows += [(400, None, None), (401, "http://h.org/a/05", ""), (402, "http://one.org/", site("Alone")), (403, None, site("Odd"))]
+    want = brute(rows)
+    words = lambda html: " ".join(html.replace("<p>", " ").replace("</p>", " ").split())
+    assert [want[i] for i in (0, 3, 39)] == [words(story(0)), words(story(0)), words(story(9))]
+    assert want[107] == words("<p>Day 7</p>" + story(99)) and want[205] == words(story("g5", 1)) and want[302] == words(story(2))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 6, 30):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert extracted(frame, rows) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
