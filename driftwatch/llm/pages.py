@@ -349,6 +349,7 @@ def pair(rows: DataFrame) -> DataFrame:
     lines = rows.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("k"))
     # a host has twice as many such lines as a mean page of it has lines, at most
     common = lines.where("k >= 3").join(sizes, "host").where("2 * k > n").groupBy("host").agg(F.collect_list("line").alias("common"))
+    common = materialize(common, "page-common")  # of its own, so that the join can split a hot host
     rare = F.transform("lines", lambda x: F.coalesce(~F.array_contains("common", x), F.lit(True)))
     order = ["host", "path", "page_id", "key"]
     marked = rows.join(common, "host", "left").select("key", "page_id", "host", "path", "lines", rare.alias("rare"))
@@ -398,6 +399,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         kinds = [pa.string(), *[pa.int64()] * 4]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["text", "n_lines", "n_shared", "n_restored", "n_marked"])
 
-    whole = own.withColumn("key", key).withColumn("id", F.coalesce("page_id", F.lit(0))).join(pairs, ["key", "id"], "left")
+    whole = own.withColumn("key", key).withColumn("id", F.coalesce("page_id", F.lit(0))).join(pairs.hint("merge"), ["key", "id"], "left")  # a row for each page: never sent to all tasks
     whole = whole.withColumn("_t", texts("html", "shared"))
     return whole.select("page_id", "url", "_t.text", F.length("_t.text").cast("long").alias("n_chars"), "partner", *[f"_t.{n}" for n in ("n_lines", "n_shared", "n_restored", "n_marked")])
