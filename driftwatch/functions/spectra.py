@@ -33,16 +33,17 @@ def psd(x: np.ndarray, rate: float, size: int, overlap: int | None = None, avera
 
 
 def bandpass(x: np.ndarray, rate: float, low: float, high: float, taps: int) -> np.ndarray:
-    """Zero-phase band pass: a windowed-sinc filter (Hamming, unit gain at the band's centre) over the reflected series, forward and back."""
+    """Zero-phase band pass: a windowed-sinc filter (Hamming, unit gain at the band's centre) over the series, evenly reflected by half the filter, forward and back."""
     n = np.arange(taps) - (taps - 1) / 2
     sinc = lambda f: 2 * f / rate * np.sinc(2 * f / rate * n)
     h = (sinc(high) - sinc(low)) * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(taps) / (taps - 1)))
     h /= np.abs((h * np.exp(-2j * np.pi * (low + high) / 2 / rate * np.arange(taps))).sum())
-    pad = min(taps, x.shape[-1] - 1)
-    wide = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(pad, pad)], mode="reflect", reflect_type="odd")
-    size = wide.shape[-1]
-    gain = np.abs(np.fft.rfft(h, size + taps)) ** 2  # forward and reversed pass: the phases cancel
-    return np.fft.irfft(np.fft.rfft(wide, size + taps) * gain, size + taps)[..., pad : pad + x.shape[-1]]
+    pad = min(taps // 2, x.shape[-1] - 1)
+    wide = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(pad, pad)], mode="reflect")
+    size, at = wide.shape[-1], taps // 2
+    gain = np.fft.rfft(h, size + taps)
+    passed = lambda y: np.fft.irfft(np.fft.rfft(y, size + taps) * gain, size + taps)[..., at : at + size]
+    return passed(passed(wide)[..., ::-1])[..., ::-1][..., pad : pad + x.shape[-1]]
 
 
 def whiten(x: np.ndarray, power: np.ndarray, rate: float, duration: float, highpass: float = 0.0) -> np.ndarray:
@@ -64,69 +65,75 @@ def whiten(x: np.ndarray, power: np.ndarray, rate: float, duration: float, highp
 
 
 def fractional_delay(x: np.ndarray, rate: float, tau: float | np.ndarray) -> np.ndarray:
-    """The series ``tau`` seconds later, by the phase of its spectrum; an array of delays adds an axis in front."""
+    """The series ``tau`` seconds ahead, so that later samples come earlier, by the phase of its spectrum; an array of delays adds an axis in front."""
     tau = np.asarray(tau)
     f = np.fft.rfftfreq(x.shape[-1], 1 / rate)
-    phase = np.exp(-2j * np.pi * f * tau.reshape(tau.shape + (1,) * x.ndim))
+    phase = np.exp(2j * np.pi * f * tau.reshape(tau.shape + (1,) * x.ndim))
     return np.fft.irfft(np.fft.rfft(x) * phase, x.shape[-1])
 
 
 STATISTICS = ("cc", "rho", "scc", "edr", "c_energy", "n_energy", "e_total", "e_max", "l_energy", "nbins")
+EPS = 1e-12
 
 
-def flatten(x: np.ndarray, rate: float, size: int) -> np.ndarray:
-    """A series that isn't whitened, divided by the root of its own Welch spectrum in the frequency domain."""
-    power = psd(x, rate, size, average="mean")
-    f, grid = np.fft.rfftfreq(x.shape[-1], 1 / rate), np.fft.rfftfreq(size, 1 / rate)
-    density = np.stack([np.interp(f, grid, row) for row in power.reshape(-1, power.shape[-1])]).reshape(*x.shape[:-1], -1)
-    return np.fft.irfft(np.fft.rfft(x) / np.sqrt(np.maximum(density, 1e-300)), x.shape[-1]) * np.sqrt(2 / rate)
+def band_spectra(x: np.ndarray, rate: float, low: float, high: float, nfft: int | None = None, segment: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The frequencies of a band and the spectra there, of ``nfft`` points (as many as samples unless given) under a symmetric Hann window.
+
+    White noise of unit density has unit energy in a bin. With ``segment``, series that aren't whitened are divided by the root of their
+    own mean Welch spectrum of segments of that size.
+    """
+    n = x.shape[-1]
+    nfft = nfft or n
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / max(n - 1, 1))
+    f = np.fft.rfftfreq(nfft, 1 / rate)
+    band = (f >= low) & (f <= high)
+    out = np.fft.rfft(x * window, nfft)[..., band] / np.sqrt(rate * nfft / 2 * (window**2).mean())
+    if segment:
+        power, grid = psd(x, rate, segment, average="mean"), np.fft.rfftfreq(segment, 1 / rate)
+        density = np.stack([np.interp(f[band], grid, row) for row in power.reshape(-1, power.shape[-1])]).reshape(out.shape)
+        out = out / np.sqrt(density + 1e-30)
+    return f[band], out
 
 
-def coherent_statistics(h: np.ndarray, l: np.ndarray, rate: float, low: float, high: float, taus: np.ndarray) -> dict[str, np.ndarray]:  # noqa: E741
-    """Coherent and null energies of two whitened series for each delay ``taus`` of the second: arrays of shape (delays, rows).
+def coherent_statistics(f: np.ndarray, a: np.ndarray, b: np.ndarray, taus: np.ndarray) -> dict[str, np.ndarray]:
+    """Coherent and null energies of two spectra at frequencies ``f``, for each time ``taus`` by which the second is moved ahead: arrays of shape (taus, rows).
 
-    With spectra H and L in the band: C is the cross energy, N the energy that isn't common, E the total. ``cc`` = C / (|C| + N),
+    C is the cross energy, N the energy that isn't common, E the total. ``cc`` = C / (|C| + N),
     ``rho`` = sqrt(C / (K - 1)) for K = 2 detectors, ``edr`` = N / C, ``scc`` = (E - Em) / ((E - Em) + (E - L) + n)
-    with Em the largest single-detector energy, L the common energy and n the number of bins. An empty band gives NaN.
+    with Em the sum over frequencies of the larger detector's energy, L the common energy and n the number of bins. An empty band gives NaN.
     The energies themselves are ``c_energy``, ``n_energy``, ``e_total``, ``e_max``, ``l_energy``, and ``nbins``.
     """
-    n, eps = h.shape[-1], 1e-12
-    window = hann(n)
-    norm = np.sqrt(rate * n / 2) * np.sqrt((window**2).mean())
-    f = np.fft.rfftfreq(n, 1 / rate)
-    band = (f >= low) & (f <= high)
-    a, b = (np.fft.rfft(x * window)[..., band] / norm for x in (h, l))
-    if not band.any():
-        nothing = np.full((len(taus), *h.shape[:-1]), np.nan)
+    if not len(f):
+        nothing = np.full((len(taus), *a.shape[:-1]), np.nan)
         return dict.fromkeys(STATISTICS, nothing) | {"nbins": np.zeros_like(nothing)}
-    moved = b * np.exp(-2j * np.pi * f[band] * taus.reshape(-1, *[1] * b.ndim))
+    moved = b * np.exp(2j * np.pi * f * taus.reshape(-1, *[1] * b.ndim))
     c = 2 * (a * moved.conj()).real.sum(-1)
     null = (np.abs(a - moved) ** 2).sum(-1) / 2
-    ea, eb = (np.abs(a) ** 2).sum(-1), (np.abs(b) ** 2).sum(-1)
-    total, largest, common = ea + eb, np.maximum(ea, eb), (np.abs(a + moved) ** 2).sum(-1) / 2
+    ea, eb = np.abs(a) ** 2, np.abs(b) ** 2
+    total, largest, common = (ea + eb).sum(-1), np.maximum(ea, eb).sum(-1), (np.abs(a + moved) ** 2).sum(-1) / 2
     plus = np.maximum(c, 0)
     gain = total - largest
     return {
-        "cc": c / (np.abs(c) + null + eps),
+        "cc": c / (np.abs(c) + null + EPS),
         "rho": np.sqrt(plus),
-        "scc": gain / (gain + (total - common) + band.sum()),
-        "edr": null / np.maximum(plus, eps),
+        "scc": gain / (gain + (total - common) + len(f)),
+        "edr": null / np.maximum(plus, EPS),
         "c_energy": c,
         "n_energy": null,
         "e_total": np.broadcast_to(total, c.shape),
         "e_max": np.broadcast_to(largest, c.shape),
         "l_energy": common,
-        "nbins": np.full(c.shape, band.sum()),
+        "nbins": np.full(c.shape, float(len(f))),
     }
 
 
-def scan_delays(h: np.ndarray, l: np.ndarray, rate: float, low: float, high: float, most: float = 0.01, n: int = 81) -> dict[str, np.ndarray]:  # noqa: E741
+def scan_delays(f: np.ndarray, a: np.ndarray, b: np.ndarray, most: float = 0.01, n: int = 81) -> dict[str, np.ndarray]:
     """The statistics at the delay of largest finite ``cc``, the first of equal ones, with that delay as ``tau``."""
     taus = np.linspace(-most, most, n)
-    stats = coherent_statistics(h, l, rate, low, high, taus)
+    stats = coherent_statistics(f, a, b, taus)
     best = np.where(np.isfinite(stats["cc"]), stats["cc"], -np.inf).argmax(0)
     out = {name: np.take_along_axis(x, best[None], 0)[0] for name, x in stats.items()}
-    return out | {"tau": taus[best]}
+    return out | {"tau": np.where(np.isfinite(out["cc"]), taus[best], np.nan)}
 
 
 def coherence(h: np.ndarray, l: np.ndarray, rate: float, low: float, high: float, size: int = 256, overlap: int = 128) -> dict[str, np.ndarray]:  # noqa: E741
@@ -142,14 +149,12 @@ def coherence(h: np.ndarray, l: np.ndarray, rate: float, low: float, high: float
     return {"coh_mean": value.mean(-1), "coh_max": value.max(-1)}
 
 
-def band_correlation(h: np.ndarray, l: np.ndarray, rate: float, low: float, high: float, tau: float | np.ndarray = 0.0) -> dict[str, np.ndarray]:  # noqa: E741
-    """The complex correlation of two spectra in the band, with the second delayed by ``tau``."""
-    f = np.fft.rfftfreq(h.shape[-1], 1 / rate)
-    band = (f >= low) & (f <= high)
-    a, b = (np.fft.rfft(x)[..., band] for x in (h, l))
-    b = b * np.exp(-2j * np.pi * f[band] * np.asarray(tau)[..., None])
-    norm = np.sqrt((np.abs(a) ** 2).sum(-1) * (np.abs(b) ** 2).sum(-1))
-    r = np.where(norm > 0, (a * b.conj()).sum(-1) / np.where(norm > 0, norm, 1), np.nan)
+def band_correlation(f: np.ndarray, a: np.ndarray, b: np.ndarray, tau: float | np.ndarray = 0.0) -> dict[str, np.ndarray]:
+    """The complex correlation of two spectra at frequencies ``f``, with the second moved ahead by ``tau``."""
+    if not len(f):
+        return dict.fromkeys(("corr_mag_fd", "corr_real_fd", "corr_imag_fd", "corr_phase_fd"), np.full(a.shape[:-1], np.nan))
+    b = b * np.exp(2j * np.pi * f * np.asarray(tau)[..., None])
+    r = (a * b.conj()).sum(-1) / (np.sqrt((np.abs(a) ** 2).sum(-1) * (np.abs(b) ** 2).sum(-1)) + EPS)
     return {"corr_mag_fd": np.abs(r), "corr_real_fd": r.real, "corr_imag_fd": r.imag, "corr_phase_fd": np.angle(r)}
 
 
@@ -166,16 +171,14 @@ def cross_correlation(h: np.ndarray, l: np.ndarray) -> dict[str, np.ndarray]:  #
     return {"xcorr": np.take_along_axis(full, at[..., None], -1)[..., 0], "lag": at - (n - 1), "zero_lag": full[..., n - 1]}
 
 
-def inject(window: np.ndarray, waveform: np.ndarray, power: np.ndarray, rate: float, target: float) -> np.ndarray:
-    """A window of shape (detectors, samples) plus a waveform, centred on its largest sample and scaled to a network SNR of ``target``."""
-    n = window.shape[-1]
-    peak = int(np.abs(waveform).max(0).argmax())
-    placed = np.zeros_like(window, dtype=float)
-    start = n // 2 - peak
-    low, high = max(0, start), min(n, start + waveform.shape[-1])
-    placed[:, low:high] = waveform[:, low - start : high - start]
+def inject(window: np.ndarray, waveform: np.ndarray, power: np.ndarray, rate: float, target: np.ndarray) -> np.ndarray:
+    """Windows of shape (rows, detectors, samples) plus their waveforms, each centred on its largest sample and scaled to a network SNR of its ``target``."""
+    n, m = window.shape[-1], waveform.shape[-1]
+    peak = np.abs(waveform).max(1).argmax(-1)
+    at = np.arange(n) - n // 2 + peak[:, None]
+    placed = np.take_along_axis(waveform, np.clip(at, 0, m - 1)[:, None, :], -1) * ((at >= 0) & (at < m))[:, None, :]
     spectrum = np.abs(np.fft.rfft(placed) / rate) ** 2
-    grid = np.interp(np.fft.rfftfreq(n, 1 / rate), np.fft.rfftfreq(2 * (power.shape[-1] - 1), 1 / rate), np.arange(power.shape[-1]))
-    density = np.stack([np.interp(grid, np.arange(len(p)), p) for p in power])
-    snr = np.sqrt((4 * spectrum / density).sum() * rate / n)
-    return window + placed * (target / snr if snr > 0 else 0.0)
+    f, grid = np.fft.rfftfreq(n, 1 / rate), np.fft.rfftfreq(2 * (power.shape[-1] - 1), 1 / rate)
+    density = np.stack([np.interp(f, grid, row) for row in power.reshape(-1, power.shape[-1])]).reshape(spectrum.shape)
+    snr = np.sqrt((4 * spectrum / density).sum((-2, -1)) * rate / n)
+    return window + placed * np.where(snr > 0, target / np.where(snr > 0, snr, 1), 0.0)[:, None, None]

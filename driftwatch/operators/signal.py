@@ -6,28 +6,70 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.functions import spectra
 
 
-def _matrix(values: pa.Array) -> np.ndarray:
-    """Arrays of one length as a matrix; raises ValueError otherwise."""
-    rows = values.to_pylist()
-    if len({len(x) if x is not None else -1 for x in rows}) > 1 or None in rows:
-        raise ValueError("windows differ in length")
-    return np.array(rows, float).reshape(len(rows), -1)
+def _grouped(columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The rows of array columns by the lengths of their arrays, each group as row numbers and matrices; rows with a null or an empty array are left out."""
+    size = np.stack([pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in columns])
+    flat = [c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in columns]
+    start = np.cumsum(size, axis=1) - size
+    for lengths in np.unique(size[:, (size > 0).all(0)], axis=1).T:
+        rows = np.flatnonzero((size == lengths[:, None]).all(0))
+        yield rows, [x[s[rows][:, None] + np.arange(n)] for x, s, n in zip(flat, start, lengths, strict=True)]
+
+
+def _lists(found: dict[int, np.ndarray], n: int) -> pa.Array:
+    """An array of ``n`` lists, null where nothing is found."""
+    sizes = [len(found[i]) if i in found else 0 for i in range(n)]
+    flat = np.concatenate([np.zeros(0), *(found[i] for i in range(n) if i in found)])
+    ends = pa.array(np.cumsum([0, *sizes]).astype(np.int32), mask=np.array([*(i not in found for i in range(n)), False]))
+    return pa.ListArray.from_arrays(ends, pa.array(flat))
+
+
+def _each(columns: list[pa.Array], of: Callable[..., list[np.ndarray]]) -> tuple[list[dict[int, np.ndarray]], list[str | None]]:
+    """What ``of`` makes of matrices, by row, and each row's error. Rows fail alone."""
+    n = len(columns[0])
+    out: list[dict[int, np.ndarray]] = []
+    errors: list[str | None] = ["ValueError: a window is null or empty"] * n
+    for rows, matrices in _grouped(columns):
+        for part in ([rows], [rows[i : i + 1] for i in range(len(rows))]):
+            failed = False
+            for own in part:
+                at = np.searchsorted(rows, own)
+                try:
+                    made = of(own, *(m[at] for m in matrices))
+                except Exception as failure:  # noqa: BLE001  then row by row, so that one bad row stays alone
+                    failed = True
+                    errors[own[0]] = f"{type(failure).__name__}: {failure}"
+                    continue
+                out = out or [{} for _ in made]
+                for i, row in enumerate(own.tolist()):
+                    errors[row] = None
+                    for column, values in zip(out, made, strict=True):
+                        column[row] = values[i]
+            if not failed:
+                break
+    return out, errors
 
 
 def map_windows(rows: DataFrame, column: str, name: str, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Adds the array column of what ``of`` makes of the matrix of windows."""
+    """Adds the array column of what ``of`` makes of matrices of windows of one length, and ``{name}_error``.
 
-    @F.arrow_udf("array<double>")
+    A window that is null, empty or too short has a null array and its error; the others of its batch aren't touched by it.
+    """
+
+    @F.arrow_udf("made array<double>, error string")
     def mapped(values: pa.Array) -> pa.Array:
-        return pa.array(of(_matrix(values)).tolist(), pa.list_(pa.float64()))
+        found, errors = _each([values], lambda _, x: [of(x)])
+        return pa.StructArray.from_arrays([_lists(found[0] if found else {}, len(values)), pa.array(errors, pa.string())], ["made", "error"])
 
-    return rows.withColumn(name, mapped(F.col(column)))
+    out = rows.withColumn("_mapped", mapped(F.col(column)))
+    return out.withColumns({name: F.col("_mapped.made"), f"{name}_error": F.col("_mapped.error")}).drop("_mapped")
 
 
 def spectrum_of(rows: DataFrame, column: str, rate: float, size: int, name: str = "psd") -> DataFrame:
@@ -46,71 +88,67 @@ def whitened(rows: DataFrame, column: str, rate: float, size: int, duration: flo
 
 
 def delayed(rows: DataFrame, column: str, rate: float, tau: float, name: str = "delayed") -> DataFrame:
-    """Adds each window ``tau`` seconds later, by the phase of its spectrum."""
+    """Adds each window ``tau`` seconds ahead, by the phase of its spectrum."""
     return map_windows(rows, column, name, lambda x: spectra.fractional_delay(x, rate, tau))
 
 
 METRICS = ("rho", "edr", "cc", "scc", "coh_max", "coh_mean", "corr_mag_fd", "corr_real_fd")
-EXTRA = ("tau", "xcorr", "lag", "zero_lag")
+EXTRA = ("tau", "xcorr", "lag", "zero_lag", "corr_imag_fd", "corr_phase_fd", "c_energy", "n_energy", "e_total", "e_max", "l_energy", "nbins")
 
 
-def compute_metrics(rows: DataFrame, h: str, l: str, rate: float, low: float, high: float, delay: float = 0.01, delays: int = 81, segment: int = 256, white: bool = True) -> DataFrame:  # noqa: E741
-    """Adds the coherence metrics of two detectors' windows, with ``success`` and ``error``; without ``white`` they are flattened first.
+def compute_metrics(rows: DataFrame, h: str, l: str, rate: float, low: float, high: float, delay: float = 0.01, delays: int = 81, segment: int = 256, nfft: int | None = 4096, white: bool = True) -> DataFrame:  # noqa: E741
+    """Adds the coherence metrics of two detectors' windows, with ``success`` and ``error``; without ``white`` their spectra are flattened first.
 
-    A row that fails has null metrics and its error; the others of its batch aren't touched by it.
+    A row that fails has null metrics and its error; the others of its batch aren't touched by it. ``nfft`` is the length of the transforms,
+    that of the windows if None.
     """
     names = [*METRICS, *EXTRA]
 
     @F.arrow_udf(", ".join([*(f"{n} double" for n in names), "success boolean", "error string"]))
-    def metrics(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in parts:
-            try:
-                found = of(_matrix(left), _matrix(right))
-                columns = [found[n].tolist() for n in names] + [[True] * len(left), [None] * len(left)]
-            except Exception:  # noqa: BLE001  then row by row, so that one bad row stays alone
-                columns = [[] for _ in range(len(names) + 2)]
-                for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
-                    try:
-                        found = of(np.array([a], float), np.array([b], float))
-                        row = [*(float(found[n][0]) for n in names), True, None]
-                    except Exception as failure:  # noqa: BLE001
-                        row = [*[None] * len(names), False, f"{type(failure).__name__}: {failure}"]
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-            kinds = [*[pa.float64()] * len(names), pa.bool_(), pa.string()]
-            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*names, "success", "error"])
-
-    def of(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    def metrics(left: pa.Array, right: pa.Array) -> pa.Array:
+        found, errors = _each([left, right], lambda _, a, b: [np.stack([np.asarray(x, float) for x in of(a, b)], 1)])
+        table = np.stack([found[0][i] if found and i in found[0] else np.zeros(len(names)) for i in range(len(left))]) if len(left) else np.zeros((0, len(names)))
+        bad = np.array([e is not None for e in errors], bool)
+        columns = [pa.array(table[:, i], pa.float64(), mask=bad) for i in range(len(names))]
+        return pa.StructArray.from_arrays([*columns, pa.array(~bad), pa.array(errors, pa.string())], [*names, "success", "error"])
+
+    def of(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        if a.shape != b.shape:
+            raise ValueError("windows differ in length")
         size = min(segment, a.shape[-1])
-        if not white:
-            a, b = (spectra.flatten(x, rate, size) for x in (a, b))
-        return (
-            spectra.scan_delays(a, b, rate, low, high, delay, delays)
-            | spectra.coherence(a, b, rate, low, high, size, size // 2)
-            | spectra.band_correlation(a, b, rate, low, high)
-            | {k: np.asarray(v, float) for k, v in spectra.cross_correlation(a, b).items()}
-        )
+        f, one = spectra.band_spectra(a, rate, low, high, nfft, None if white else size)
+        two = spectra.band_spectra(b, rate, low, high, nfft, None if white else size)[1]
+        made = spectra.scan_delays(f, one, two, delay, delays) | spectra.coherence(a, b, rate, low, high, size, size // 2)
+        made |= spectra.band_correlation(f, one, two) | spectra.cross_correlation(a, b)
+        return [made[n] for n in names]
 
     out = rows.withColumn("_metrics", metrics(F.col(h), F.col(l)))
     return out.withColumns({n: F.col(f"_metrics.{n}") for n in [*names, "success", "error"]}).drop("_metrics")
 
 
 def inject_waveforms(rows: DataFrame, h: str, l: str, wave_h: str, wave_l: str, snr: str, rate: float, size: int) -> DataFrame:  # noqa: E741
-    """Adds ``h_injected`` and ``l_injected``: windows with their row's waveform at its target SNR; a null SNR leaves them as they are."""
+    """Adds ``h_injected``, ``l_injected`` and ``inject_error``: windows with their row's waveform at its target SNR; a null SNR leaves them as they are.
+
+    A row whose windows or waveforms are null, empty, too short or of different lengths has null arrays and its error.
+    """
 
-    @F.arrow_udf("h array<double>, l array<double>")
+    @F.arrow_udf("h array<double>, l array<double>, error string")
     def injected(a: pa.Array, b: pa.Array, wa: pa.Array, wb: pa.Array, target: pa.Array) -> pa.Array:
-        out: tuple[list, list] = ([], [])
-        for x, y, p, q, t in zip(*(v.to_pylist() for v in (a, b, wa, wb, target)), strict=True):
-            window = np.array([x, y], float)
-            if t is not None:
-                window = spectra.inject(window, np.array([p, q], float), spectra.psd(window, rate, size), rate, t)
-            for column, series in zip(out, window, strict=True):
-                column.append(series.tolist())
-        return pa.StructArray.from_arrays([pa.array(c, pa.list_(pa.float64())) for c in out], ["h", "l"])
+        wanted = pc.fill_null(target.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+
+        def of(own: np.ndarray, x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+            if x.shape != y.shape or p.shape != q.shape:
+                raise ValueError("windows differ in length")
+            window = np.stack([x, y], 1)
+            made = spectra.inject(window, np.stack([p, q], 1), spectra.psd(window, rate, size), rate, wanted[own])
+            return [made[:, 0], made[:, 1]]
+
+        found, errors = _each([a, b, wa, wb], of)
+        found = found or [{}, {}]
+        return pa.StructArray.from_arrays([_lists(found[0], len(a)), _lists(found[1], len(a)), pa.array(errors, pa.string())], ["h", "l", "error"])
 
     done = rows.withColumn("_i", injected(F.col(h), F.col(l), F.col(wave_h), F.col(wave_l), F.col(snr)))
-    return done.withColumn("h_injected", F.col("_i.h")).withColumn("l_injected", F.col("_i.l")).drop("_i")
+    return done.withColumns({"h_injected": F.col("_i.h"), "l_injected": F.col("_i.l"), "inject_error": F.col("_i.error")}).drop("_i")
 
 
 def timeslide_whitened(chunks: DataFrame, shifts: DataFrame, by: str, h: str, l: str, rate: float, size: int, duration: float) -> DataFrame:  # noqa: E741

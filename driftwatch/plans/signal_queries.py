@@ -23,45 +23,98 @@ def _total(column: str, digits: int = 6):
     return F.round(F.aggregate(column, F.lit(0.0), lambda a, x: a + x * x), digits)
 
 
-@query()
+#: Sums over samples that say what transforms do: spectra of 7 segments of 16 samples, a density at each of 33 frequencies, whitened samples.
+SPECTRA = """+seg AS (SELECT vec_id, s, dim - 8 * s AS j, x - avg(x) OVER (PARTITION BY vec_id, s) AS x FROM flat, (SELECT unnest(range(7)) AS s) WHERE dim >= 8 * s AND dim < 8 * s + 16),
+spec AS (SELECT vec_id, s, k, sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * cos(2 * pi() * k * j / 16)) AS re,
+  sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * sin(2 * pi() * k * j / 16)) AS im FROM seg, (SELECT unnest(range(9)) AS k) GROUP BY ALL),
+power AS (SELECT vec_id, k, median((re * re + im * im) / 384 * CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END) / (1 + 1 / 3.0::DOUBLE - 1 / 2.0::DOUBLE + 1 / 5.0::DOUBLE - 1 / 4.0::DOUBLE + 1 / 7.0::DOUBLE - 1 / 6.0::DOUBLE) AS p
+  FROM spec GROUP BY ALL),
+density AS (SELECT a.vec_id, j, a.p + coalesce((b.p - a.p) * (j % 4) / 4.0::DOUBLE, 0) AS d FROM power a JOIN (SELECT unnest(range(33)) AS j) ON a.k = j // 4
+  LEFT JOIN power b ON b.vec_id = a.vec_id AND b.k = a.k + 1),
+response AS (SELECT vec_id, o, (0.5 + 0.5 * cos(2 * pi() * o / 16)) * sum(CASE j WHEN 0 THEN 0 WHEN 32 THEN 1 ELSE 2 END / sqrt(d) * cos(2 * pi() * j * o / 64)) / 64 AS r
+  FROM density, (SELECT unnest(range(-7, 8)) AS o) GROUP BY vec_id, o),
+centered AS (SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM flat),
+white AS (SELECT vec_id, dim + o - 8 AS i, sqrt(2 / 64.0::DOUBLE) * sum(r * x) AS w FROM centered JOIN response USING (vec_id) WHERE dim + o BETWEEN 8 AND 55 GROUP BY ALL)"""
+BAND = """+taps AS (SELECT k, (2 * 30 / 64.0::DOUBLE * CASE k WHEN 16 THEN 1 ELSE sin(pi() * 60 / 64 * (k - 16)) / (pi() * 60 / 64 * (k - 16)) END
+  - 2 * 2 / 64.0::DOUBLE * CASE k WHEN 16 THEN 1 ELSE sin(pi() * 4 / 64 * (k - 16)) / (pi() * 4 / 64 * (k - 16)) END) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 32)) AS h
+  FROM (SELECT unnest(range(33)) AS k)),
+gain AS (SELECT sqrt(sum(h * cos(2 * pi() * 16 / 64 * k)) ** 2 + sum(h * sin(2 * pi() * 16 / 64 * k)) ** 2) AS g FROM taps),
+wide AS (SELECT vec_id, i, x FROM (SELECT unnest(range(-16, 80)) AS i) JOIN flat ON dim = CASE WHEN i < 0 THEN -i WHEN i > 63 THEN 126 - i ELSE i END),
+once AS (SELECT vec_id, i + k - 16 AS i, sum(x * h / g) AS x FROM wide, taps, gain WHERE i + k - 16 BETWEEN -16 AND 79 GROUP BY ALL),
+twice AS (SELECT vec_id, i + k - 16 AS i, sum(x * h / g) AS x FROM once, taps, gain WHERE i + k - 16 BETWEEN 0 AND 63 GROUP BY ALL)"""
+
+
+def _samples(rows: DataFrame, column: str, digits: int = 6) -> DataFrame:
+    """A row for each sample of an array column."""
+    return rows.select("vec_id", F.posexplode(column).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", digits).alias("x"))
+
+
+@query(with_tables("flat", SPECTRA + "\nSELECT vec_id, k AS i, round(p, 9) AS x FROM power"))
 def window_spectra(spark: SparkSession, d: str) -> DataFrame:
     rows = _doubles(table(spark, d, "embeddings"), "embedding")
-    return G.spectrum_of(rows, "embedding", RATE, 16).select("vec_id", "psd")
+    return _samples(G.spectrum_of(rows, "embedding", RATE, 16), "psd", 9)
 
 
-@query()
+@query(with_tables("flat", BAND + "\nSELECT vec_id, i, round(x, 6) AS x FROM twice"))
 def bandpassed_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = _doubles(table(spark, d, "embeddings"), "embedding")
-    return G.bandpassed(rows, "embedding", RATE, LOW, HIGH, 33).select("vec_id", _total("filtered").alias("energy"))
+    return _samples(G.bandpassed(rows, "embedding", RATE, LOW, HIGH, 33), "filtered")
 
 
-@query()
+@query(with_tables("flat", SPECTRA + "\nSELECT vec_id, i, round(w, 6) AS x FROM white"))
 def whitened_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = _doubles(table(spark, d, "embeddings"), "embedding")
-    return G.whitened(rows, "embedding", RATE, 16, 0.25).select("vec_id", F.size("white").alias("n"), _total("white").alias("energy"))
+    return _samples(G.whitened(rows, "embedding", RATE, 16, 0.25), "white")
 
 
-@query(with_tables("flat", """SELECT vec_id, round(sum(x * x), 6) AS energy FROM flat GROUP BY vec_id"""))
+@query(with_tables("flat", """SELECT vec_id, (dim + 64 - 5) % 64 AS i, round(x, 6) AS x FROM flat"""))
 def delayed_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Two delays of half the window bring it back, so the energy is that of the window itself."""
+    """Three samples ahead, and two more."""
     rows = _doubles(table(spark, d, "embeddings"), "embedding")
-    once = G.delayed(rows, "embedding", RATE, 0.5, "once")
-    return G.delayed(once, "once", RATE, 0.5, "twice").select("vec_id", _total("twice").alias("energy"))
+    first = G.delayed(rows, "embedding", RATE, 3 / 64, "once")
+    return _samples(G.delayed(first, "once", RATE, 2 / 64, "twice"), "twice")
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return G.compute_metrics(_doubles(V.pairs(spark, d), "h", "l"), "h", "l", RATE, LOW, HIGH, delay=0.1, delays=21, segment=16)
-
-
-@query()
+    return G.compute_metrics(_doubles(V.pairs(spark, d), "h", "l"), "h", "l", RATE, LOW, HIGH, delay=0.1, delays=21, segment=16, nfft=64)
+
+
+METRICS = SPECTRA + """,
+pair AS (SELECT a.vec_id, a.dim AS i, a.x AS h, b.x AS l, 0.5 - 0.5 * cos(2 * pi() * a.dim / 63) AS w FROM flat a JOIN flat b ON b.vec_id = a.vec_id + 1 AND b.dim = a.dim),
+norm AS (SELECT sqrt(0.5 * 64 * 64 * avg((0.5 - 0.5 * cos(2 * pi() * i / 63)) ** 2)) AS norm FROM (SELECT unnest(range(64)) AS i)),
+bins AS (SELECT vec_id, j, sum(h * w * cos(2 * pi() * j * i / 64) / norm) AS hr, -sum(h * w * sin(2 * pi() * j * i / 64) / norm) AS hi,
+  sum(l * w * cos(2 * pi() * j * i / 64) / norm) AS lr, -sum(l * w * sin(2 * pi() * j * i / 64) / norm) AS li FROM pair, norm, (SELECT unnest(range(2, 31)) AS j) GROUP BY ALL),
+moved AS (SELECT *, lr * cos(2 * pi() * j * tau) - li * sin(2 * pi() * j * tau) AS mr, lr * sin(2 * pi() * j * tau) + li * cos(2 * pi() * j * tau) AS mi
+  FROM bins, (SELECT t, -0.1::DOUBLE + t * 0.01::DOUBLE AS tau FROM (SELECT unnest(range(21)) AS t))),
+sums AS (SELECT vec_id, t, tau, sum(2 * (hr * mr + hi * mi)) AS c, sum((hr - mr) ** 2 + (hi - mi) ** 2) / 2 AS n, sum(hr ** 2 + hi ** 2 + lr ** 2 + li ** 2) AS e,
+  sum(greatest(hr ** 2 + hi ** 2, lr ** 2 + li ** 2)) AS em, sum((hr + mr) ** 2 + (hi + mi) ** 2) / 2 AS l, count(*)::DOUBLE AS nbins FROM moved GROUP BY ALL),
+best AS (SELECT *, c / (abs(c) + n + 1e-12) AS cc FROM sums QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c / (abs(c) + n + 1e-12) DESC, t) = 1),
+corr AS (SELECT vec_id, sum(hr * lr + hi * li) / (sqrt(sum(hr ** 2 + hi ** 2) * sum(lr ** 2 + li ** 2)) + 1e-12) AS re, sum(hi * lr - hr * li) / (sqrt(sum(hr ** 2 + hi ** 2) * sum(lr ** 2 + li ** 2)) + 1e-12) AS im
+  FROM bins GROUP BY vec_id),
+coh AS (SELECT a.vec_id, a.k, (avg(a.re * b.re + a.im * b.im) ** 2 + avg(a.im * b.re - a.re * b.im) ** 2) / (avg(a.re ** 2 + a.im ** 2) * avg(b.re ** 2 + b.im ** 2)) AS v
+  FROM spec a JOIN spec b ON b.vec_id = a.vec_id + 1 AND b.s = a.s AND b.k = a.k WHERE a.k BETWEEN 1 AND 7 GROUP BY ALL),
+band AS (SELECT vec_id, avg(v) AS coh_mean, max(v) AS coh_max FROM coh GROUP BY vec_id),
+lags AS (SELECT a.vec_id, a.dim - b.dim AS lag, sum(a.x * b.x) / any_value(sqrt(e.v * f.v)) AS v FROM centered a JOIN centered b ON b.vec_id = a.vec_id + 1
+  JOIN (SELECT vec_id, sum(x * x) AS v FROM centered GROUP BY 1) e ON e.vec_id = a.vec_id JOIN (SELECT vec_id, sum(x * x) AS v FROM centered GROUP BY 1) f ON f.vec_id = b.vec_id GROUP BY ALL),
+peak AS (SELECT vec_id, v AS xcorr, lag FROM lags QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, lag) = 1),
+zero AS (SELECT vec_id, v AS zero_lag FROM lags WHERE lag = 0),
+metrics AS (SELECT vec_id, sqrt(greatest(c, 0)) AS rho, n / greatest(c, 1e-12) AS edr, cc, (e - em) / (e - em + e - l + nbins) AS scc, coh_max, coh_mean, sqrt(re * re + im * im) AS corr_mag_fd,
+  re AS corr_real_fd, tau, xcorr, lag::DOUBLE AS lag, zero_lag, im AS corr_imag_fd, atan2(im, re) AS corr_phase_fd, c AS c_energy, n AS n_energy, e AS e_total, em AS e_max, l AS l_energy, nbins
+  FROM best JOIN corr USING (vec_id) JOIN band USING (vec_id) JOIN peak USING (vec_id) JOIN zero USING (vec_id))"""
+
+
+@query(with_tables("flat", METRICS + "\nSELECT vec_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in (*G.METRICS, *G.EXTRA)) + ", true AS success, CAST(NULL AS VARCHAR) AS error FROM metrics"))
 def coherence_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _metrics(spark, d).select("vec_id", *G.METRICS, *G.EXTRA, "success", "error")
+    return _metrics(spark, d).select("vec_id", *[F.round(n, 6).alias(n) for n in (*G.METRICS, *G.EXTRA)], "success", "error")
 
 
-@query()
+@query(with_tables("flat", METRICS + """
+SELECT vec_id, round(cc, 6) AS cc, round(edr, 6) AS edr, round(coh_max, 6) AS coh_max, concat_ws('; ', CASE WHEN cc < 0.1 THEN 'cc < 0.1' END, CASE WHEN edr > 5 THEN 'edr > 5' END, CASE WHEN coh_max < 0.2 THEN 'coh_max < 0.2' END) AS cuts,
+cc < 0.1 OR edr > 5 OR coh_max < 0.2 AS vetoed FROM metrics"""))
 def coherence_vetoes(spark: SparkSession, d: str) -> DataFrame:
     cuts = {"cc": {"min": 0.1, "max": None}, "edr": {"min": None, "max": 5.0}, "coh_max": {"min": 0.2, "max": None}}
-    return vetoes.apply_vetoes(_metrics(spark, d), cuts).select("vec_id", "cc", "edr", "coh_max", "failed_cuts", "vetoed")
+    found = vetoes.apply_vetoes(_metrics(spark, d), cuts)
+    return found.select("vec_id", *[F.round(n, 6).alias(n) for n in ("cc", "edr", "coh_max")], F.array_join("failed_cuts", "; ").alias("cuts"), "vetoed")
 
 
 @query(with_tables("pairs", """+x AS (SELECT vec_id, list_transform(h, lambda v: v::DOUBLE) AS h, list_transform(l, lambda v: v::DOUBLE) AS l FROM pairs),
@@ -70,15 +123,29 @@ def zero_lag_correlation(spark: SparkSession, d: str) -> DataFrame:
     return _metrics(spark, d).select("vec_id", F.round("zero_lag", 6).alias("zero_lag"))
 
 
-@query()
+@query(with_tables("flat", SPECTRA + """,
+hl AS (SELECT a.vec_id, a.label, a.dim, a.x AS h, b.x AS l FROM flat a JOIN flat b ON b.vec_id = a.vec_id + 1 AND b.dim = a.dim),
+top AS (SELECT vec_id, dim AS top FROM hl WHERE dim < 16 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY greatest(abs(h), abs(l)) DESC, dim) = 1),
+placed AS (SELECT vec_id, dim + 32 - top AS i, l AS ph, h AS pl FROM hl JOIN top USING (vec_id) WHERE dim < 16),
+bins AS (SELECT vec_id, j, sum(ph * cos(2 * pi() * i * j / 64)) ** 2 + sum(ph * sin(2 * pi() * i * j / 64)) ** 2 AS h, sum(pl * cos(2 * pi() * i * j / 64)) ** 2 + sum(pl * sin(2 * pi() * i * j / 64)) ** 2 AS l
+  FROM placed, (SELECT unnest(range(33)) AS j) GROUP BY ALL),
+strength AS (SELECT b.vec_id, sqrt(sum(4 * (b.h / x.d + b.l / y.d) / 4096)) AS snr FROM bins b JOIN density x ON x.vec_id = b.vec_id AND x.j = b.j JOIN density y ON y.vec_id = b.vec_id + 1 AND y.j = b.j GROUP BY 1)
+SELECT vec_id, CASE WHEN label < 8 THEN 12.0::DOUBLE END AS snr, dim AS i, round(h + CASE WHEN label < 8 THEN coalesce(ph, 0) * 12 / s.snr ELSE 0 END, 6) AS h, round(l + CASE WHEN label < 8 THEN coalesce(pl, 0) * 12 / s.snr ELSE 0 END, 6) AS l
+FROM hl JOIN strength s USING (vec_id) LEFT JOIN placed p ON p.vec_id = hl.vec_id AND p.i = hl.dim"""))
 def injected_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = _doubles(V.pairs(spark, d), "h", "l").withColumn("snr", F.when(F.col("label") < 8, F.lit(12.0)))
     waves = rows.withColumn("wave_h", F.slice("l", F.lit(1), F.lit(16))).withColumn("wave_l", F.slice("h", F.lit(1), F.lit(16)))
     out = G.inject_waveforms(waves, "h", "l", "wave_h", "wave_l", "snr", RATE, 16)
-    return out.select("vec_id", "snr", _total("h_injected").alias("h_energy"), _total("l_injected").alias("l_energy"))
+    flat = out.select("vec_id", "snr", F.posexplode(F.arrays_zip("h_injected", "l_injected")).alias("i", "x"))
+    return flat.select("vec_id", "snr", F.col("i").cast("long").alias("i"), F.round("x.h_injected", 6).alias("h"), F.round("x.l_injected", 6).alias("l"))
 
 
-@query()
+@query(with_tables("flat", SPECTRA + """,
+energy AS (SELECT vec_id, sum(w * w) AS e FROM white GROUP BY 1),
+p AS (SELECT a.vec_id, a.vec_id // 50 AS segment, a.vec_id % 50 AS chunk, a.e AS h, b.e AS l FROM energy a JOIN energy b ON b.vec_id = a.vec_id + 1),
+ends AS (SELECT segment, max(chunk) AS last FROM p GROUP BY 1)
+SELECT x.segment, s.shift::INTEGER AS shift, x.chunk, round(x.h, 6) AS h_energy, round(y.l, 6) AS l_energy FROM p x, (VALUES (1), (3)) s(shift), p y, ends
+WHERE y.segment = x.segment AND y.chunk = x.chunk + s.shift AND ends.segment = x.segment AND y.chunk < ends.last"""))
 def slid_whitened(spark: SparkSession, d: str) -> DataFrame:
     rows = _doubles(V.pairs(spark, d), "h", "l").select(F.floor(F.col("vec_id") / 50).alias("segment"), (F.col("vec_id") % 50).alias("chunk"), "h", "l")
     out = G.timeslide_whitened(rows, spark.createDataFrame([(1,), (3,)], "shift int"), "segment", "h", "l", RATE, 16, 0.25)
