@@ -20,20 +20,30 @@ def with_gap_run(rows: DataFrame, by: list[str], order: list[str], starts: Colum
     return rows.withColumn("run", F.sum(F.when(starts, 1).otherwise(0)).over(upto))
 
 
-def running_total(rows: DataFrame, order: str, totals: dict[str, str], descending: bool = False) -> DataFrame:
-    """Adds, for each name of ``totals``, the sum of its column over all rows up to this one in the order of a column without ties.
+def running_total(rows: DataFrame, order: str, totals: dict[str, str], descending: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Adds, for each name of ``totals``, the sum of its column over all rows (of the group ``by``) up to this one in the order of a column without ties.
 
-    Rows are dealt out by ranges of ``order`` and summed within each range; the offsets are the totals of
-    earlier ranges, of which there is one for each partition. No task sees all rows. The ranges are written to the
+    Rows are dealt out by ranges of ``by`` and ``order`` and summed within each range; the offsets are the totals of
+    earlier ranges, of which there is one for each partition and group in it. No task sees all rows of a group. The ranges are written to the
     shared folder, as totals and rows must see the same ones.
     """
+    by = by or []
     key = F.col(order).desc() if descending else F.col(order).asc()
-    dealt = materialize(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy("_range").agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = materialize(rows.repartitionByRange(*by, key).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*by, "_range").agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = [F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_base_{name}") for name in totals]
-    offsets = sums.select(F.col("_range").alias("_of"), *bases)
-    within = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    joined = dealt.join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
+    names, same = keyed(sums, by)
+    offsets = sums.select(*names, F.col("_range").alias("_of"), *bases)
+    within = Window.partitionBy("_range", *by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.join(offsets if by else F.broadcast(offsets), same & (F.col("_range") == F.col("_of")))
     added = {name: F.col(f"_base_{name}") + F.sum(value).over(within) for name, value in totals.items()}
-    return joined.withColumns(added).drop("_range", "_of", *[f"_base_{name}" for name in totals])
+    return joined.withColumns(added).drop("_range", "_of", *[f"_base_{name}" for name in totals], *[f"_by_{c}" for c in by])
+
+
+def keyed(rows: DataFrame, by: list[str]) -> tuple[list[Column], Column]:
+    """Columns of ``rows`` that carry the keys ``by`` under other names, and the condition that they equal ``by``, nulls included."""
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return [rows[c].alias(f"_by_{c}") for c in by], same

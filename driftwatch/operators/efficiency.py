@@ -90,17 +90,18 @@ def valid_clusters(clusters: DataFrame, n_background: int) -> DataFrame:
 def roc_curve(rows: DataFrame, score: str, positive: str, by: str | None = None) -> DataFrame:
     """False and true positive rates at each distinct score, from the highest on; with ``by``, one curve for each class.
 
-    Without ``by`` the scores are dealt out by range, so no task sorts all of them.
+    Scores are dealt out by range, so no task sorts all of them, nor all of a class.
     """
     keys = [by] if by else []
     at = rows.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("_p"), F.count_if(~F.col(positive)).alias("_n"))
-    if by:
-        upto = Window.partitionBy(by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-        summed = at.withColumn("_tp", F.sum("_p").over(upto)).withColumn("_fp", F.sum("_n").over(upto))
-    else:
-        summed = running_total(at, score, {"_tp": "_p", "_fp": "_n"}, descending=True)
-    totals = rows.groupBy(*keys).agg(F.count_if(F.col(positive)).alias("_ps"), F.count_if(~F.col(positive)).alias("_ns"))
-    joined = summed.join(F.broadcast(totals), by) if by else summed.crossJoin(F.broadcast(totals))
+    return _curve(at, score, keys)
+
+
+def _curve(at: DataFrame, score: str, keys: list[str]) -> DataFrame:
+    """The curve of counts ``_p`` and ``_n`` at each distinct score."""
+    summed = running_total(at, score, {"_tp": "_p", "_fp": "_n"}, descending=True, by=keys)
+    totals = at.groupBy(*keys).agg(F.sum("_p").alias("_ps"), F.sum("_n").alias("_ns"))
+    joined = summed.join(F.broadcast(totals), keys) if keys else summed.crossJoin(F.broadcast(totals))
     return joined.select(*keys, score, (F.col("_fp") / F.col("_ns")).alias("fpr"), (F.col("_tp") / F.col("_ps")).alias("tpr"), "_p", "_n", "_tp", "_ps", "_ns")
 
 
@@ -110,12 +111,18 @@ def roc_auc(curve: DataFrame, by: str | None = None) -> DataFrame:
     return curve.groupBy(*([by] if by else [])).agg(F.sum(area).alias("auc"))
 
 
-def one_against_background(rows: DataFrame, by: str, background: list) -> DataFrame:
-    """The rows of each signal class with all background rows beside them, as class ``against`` and ``positive``."""
+def roc_by_class(rows: DataFrame, score: str, by: str, background: list) -> DataFrame:
+    """The curve of each signal class, as ``against``, beside all background rows.
+
+    Rows are counted for each class and score before the background is set beside every class: what is repeated are its distinct scores.
+    """
     back = F.col(by).isin(*background)
-    classes = F.broadcast(rows.where(~back).select(F.col(by).alias("against")).distinct())
-    noise = rows.where(back).crossJoin(classes).withColumn("positive", F.lit(False))
-    return rows.where(~back).withColumn("against", F.col(by)).withColumn("positive", F.lit(True)).unionByName(noise)
+    counts = rows.groupBy(F.when(~back, F.col(by)).alias("against"), score).agg(F.count("*").alias("_k"))
+    signals = counts.where("against IS NOT NULL").select("against", score, F.col("_k").alias("_p"), F.lit(0).cast("long").alias("_n"))
+    classes = rows.where(~back).select(F.col(by).alias("against")).distinct()
+    noise = counts.where("against IS NULL").drop("against").crossJoin(F.broadcast(classes)).select("against", score, F.lit(0).cast("long").alias("_p"), F.col("_k").alias("_n"))
+    at = signals.unionByName(noise).groupBy("against", score).agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    return _curve(at, score, ["against"])
 
 
 def snr_by_class(rows: DataFrame, by: str, background: list, snr: str = "snr") -> DataFrame:

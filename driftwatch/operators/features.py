@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwatch.functions.islands import keyed, running_total
 from driftwatch.functions.quantiles import quantiles
 
 
@@ -65,17 +68,34 @@ def split_files(files: DataFrame, name: str, val: float = 0.1, test: float = 0.1
     return files.withColumn("split", F.when(place < train, "train").when(place < train + upto, "val").otherwise("test"))
 
 
+#: A prime under 2^31; products of two numbers below it fit a long.
+PRIME = (1 << 31) - 1
+
+
+def split_factors(seed: int) -> tuple[int, int]:
+    """Factor and offset of the hash of ``split_rows``, those of different seeds unrelated."""
+    drawn = int.from_bytes(sha256(str(seed).encode()).digest(), "big")
+    return 1 + drawn % (PRIME - 1), drawn // PRIME % PRIME
+
+
 def split_rows(rows: DataFrame, key: str, percent: int, seed: int = 0) -> DataFrame:
-    """``is_val`` for about ``percent`` of the rows, always the same ones: by a product of id and a large odd number."""
-    mixed = F.pmod((F.col(key) + seed) * 2654435761, F.lit(4294967296))
-    return rows.withColumn("is_val", F.pmod((mixed / 65536).cast("long"), F.lit(100)) < percent)
+    """``is_val`` for about ``percent`` of the rows, always the same ones for a seed: by ``(factor * key + offset) mod PRIME``.
+
+    Any long is a key; strings are hashed first. A null key is never in the validation set.
+    """
+    factor, offset = split_factors(seed)
+    value = F.col(key) if rows.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(key)
+    mixed = F.pmod(F.pmod(value.cast("long"), F.lit(PRIME)) * F.lit(factor) + F.lit(offset), F.lit(PRIME))
+    return rows.withColumn("is_val", F.coalesce(F.col(key).isNotNull() & (mixed * 100 < F.lit(percent) * F.lit(PRIME).cast("long")), F.lit(False)))
 
 
 def split_stratified(rows: DataFrame, by: str, order: Column, share: float = 0.5) -> DataFrame:
-    """``is_val`` for the first ``share`` of each class in the given order."""
-    whole = Window.partitionBy(by)
-    place = F.row_number().over(whole.orderBy(order))
-    return rows.withColumn("is_val", place <= F.floor(F.count("*").over(whole) * share))
+    """``is_val`` for the first ``share`` of each class in an order without ties. Places are counted by range, so a class of any size spreads over tasks."""
+    placed = running_total(rows.withColumn("_order", order).withColumn("_one", F.lit(1)), "_order", {"_place": "_one"}, by=[by])
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_size"))
+    names, same = keyed(sizes, [by])
+    joined = placed.join(F.broadcast(sizes.select(*names, "_size")), same)  # a row for each class
+    return joined.withColumn("is_val", F.col("_place") <= F.floor(F.col("_size") * share)).drop("_order", "_one", "_place", "_size", f"_by_{by}")
 
 
 def class_quotas(classes: DataFrame, batch: int, rebalance: bool = False) -> DataFrame:

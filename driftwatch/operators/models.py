@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwatch.session import materialize
+
 NODE = "tree int, node int, feature int, split double, left int, right int, size int"
 
 
@@ -40,16 +42,19 @@ def _grow(x: np.ndarray, tree: int, seed: int) -> pd.DataFrame:
 
 
 def fit_isolation_forest(rows: DataFrame, features: str, key: str, trees: int = 1000, sample: int = 256, seed: int = 42) -> DataFrame:
-    """The trees of a forest as rows of nodes; each grows in a task of its own on about ``sample`` rows.
+    """The trees of a forest as rows of nodes; each grows in a task of its own on ``sample`` rows, fewer where there are fewer.
 
-    A tree draws rows by a hash of (key, tree); the draws of all trees are made in one pass that emits about ``trees * sample`` rows.
+    Each tree draws about 1.5 times ``sample`` rows and takes as many of them. Rows that no tree draws leave by a hash of their key before Python sees them.
     """
     n = rows.count()
-    share = min(1.0, 1.2 * sample / max(n, 1))
-    # the trees that a row is drawn for: with a small share only a few; the hash decides for each
-    drawn = rows.select(F.col(key).alias("_key"), F.col(features).alias("_x")).crossJoin(
-        F.broadcast(rows.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree")))
-    ) if share == 1.0 else _drawn(rows, features, key, trees, share, seed)
+    share = min(1.0, (1.5 * sample + 30) / max(n, 1))
+    # the gaps between a row's trees are geometric: the first one is drawn here, of the hash alone
+    uniform = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = rows if share == 1.0 else rows.where(uniform < 1 - (1 - share) ** trees)
+
+    @F.pandas_udf("array<int>")
+    def trees_of(hashes: pd.Series) -> pd.Series:
+        return pd.Series([_drawn(int(h) & 0x7FFFFFFFFFFFFFFF, trees, share, seed) for h in hashes])
 
     def grow(key_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_key").reset_index(drop=True)
@@ -57,22 +62,20 @@ def fit_isolation_forest(rows: DataFrame, features: str, key: str, trees: int =
         pick = draw.choice(len(frame), min(sample, len(frame)), replace=False)
         return _grow(np.stack(frame["_x"].to_numpy()[np.sort(pick)]).astype(float), int(key_[0]), seed)
 
+    drawn = some.select(F.col(key).alias("_key"), F.col(features).alias("_x"), F.explode(trees_of(F.xxhash64(key))).alias("tree"))
     return drawn.groupBy("tree").applyInPandas(grow, NODE)
 
 
-def _drawn(rows: DataFrame, features: str, key: str, trees: int, share: float, seed: int) -> DataFrame:
-    """Each row with the trees that draw it: steps between these trees are geometric, so the work follows the draws."""
-
-    @F.pandas_udf("array<int>")
-    def trees_of(keys: pd.Series) -> pd.Series:
-        out = []
-        for k in keys:
-            draw = np.random.default_rng([seed, int(k) & 0x7FFFFFFFFFFFFFFF])
-            steps = draw.geometric(share, max(1, int(trees * share * 3) + 20)).cumsum() - 1
-            out.append(steps[steps < trees].tolist())
-        return pd.Series(out)
-
-    return rows.select(F.col(key).alias("_key"), F.col(features).alias("_x"), F.explode(trees_of(F.xxhash64(key))).alias("tree"))
+def _drawn(value: int, trees: int, share: float, seed: int) -> list[int]:
+    """The trees that draw a row which at least one draws: each with the chance ``share``, by geometric gaps."""
+    if share >= 1:
+        return [*range(trees)]
+    draw = np.random.default_rng([seed, value])
+    first = math.floor(math.log1p(-draw.uniform() * (1 - (1 - share) ** trees)) / math.log1p(-share))
+    out = [min(first, trees - 1)]
+    while (at := out[-1] + int(draw.geometric(share))) < trees:
+        out.append(at)
+    return out
 
 
 def _flat(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -110,30 +113,43 @@ def score_isolation_forest(rows: DataFrame, forest: DataFrame, features: str, na
 
 
 def score_kde(rows: DataFrame, background: DataFrame, features: str, bandwidth: float = 0.5, most: int = 10_000, name: str = "score") -> DataFrame:
-    """Minus the log density of each row under Gaussian kernels at background rows.
+    """Minus the log density of each row under Gaussian kernels at background rows; null without any.
 
-    The background is broadcast; beyond ``most`` rows it is an error: sample it first.
+    The background is written in blocks of at most about ``most`` rows. Each block in turn is sent to all tasks and adds its part to every
+    row's sum, in logarithms; after each but the last the rows are written, so that driver and tasks hold one block at a time.
     """
-    block = background.select(features).limit(most + 1).toPandas()[features]
-    if len(block) > most:
-        raise ValueError(f"the background has over {most} rows")
-    points = np.stack(block.to_numpy()).astype(float)
-    n, d = points.shape
-    constant = math.log(n) + d * math.log(bandwidth * math.sqrt(2 * math.pi))
+    n = background.count()
+    if not n:
+        return rows.withColumn(name, F.lit(None).cast("double"))
+    parts = -(-n // most)
+    blocks = materialize(background.select(features).repartition(parts).withColumn("_block", F.spark_partition_id()), "background") if parts > 1 else background
+    out = rows.withColumn("_log", F.lit(float("-inf")))
+    for i in range(parts):
+        found = (blocks.where(F.col("_block") == i) if parts > 1 else blocks).select(features).toPandas()[features]
+        if len(found):
+            out = out.withColumn("_log", _log_sum(np.stack(found.to_numpy()).astype(float), bandwidth)(F.col(features), F.col("_log")))
+        if i < parts - 1:
+            out = materialize(out, "densities")
+    size = F.size(features)
+    constant = F.lit(math.log(n)) + size * math.log(bandwidth * math.sqrt(2 * math.pi))
+    return out.withColumn(name, constant - F.col("_log")).drop("_log")
+
+
+def _log_sum(points: np.ndarray, bandwidth: float):
     squares = (points**2).sum(1)
 
     @F.arrow_udf("double")
-    def score(values: pa.Array) -> pa.Array:
-        x = np.array(values.to_pylist(), float).reshape(len(values), -1)
+    def added(values: pa.Array, logs: pa.Array) -> pa.Array:
+        x, before = np.array(values.to_pylist(), float).reshape(len(values), -1), logs.to_numpy(zero_copy_only=False)
         out = np.empty(len(x))
         for i in range(0, len(x), 256):
             part = x[i : i + 256]
             far = -np.maximum((part**2).sum(1)[:, None] + squares - 2 * part @ points.T, 0) / (2 * bandwidth**2)
             top = far.max(1)
-            out[i : i + 256] = constant - top - np.log(np.exp(far - top[:, None]).sum(1))
-        return pa.array(out)
+            out[i : i + 256] = top + np.log(np.exp(far - top[:, None]).sum(1))
+        return pa.array(np.logaddexp(before, out))
 
-    return rows.withColumn(name, score(F.col(features)))
+    return added
 
 
 def score_model(rows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], features: str, flip: bool = False, batch: int = 256, name: str = "score") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwatch.functions.islands import with_gap_run, with_run
+from driftwatch.functions.islands import keyed, with_gap_run, with_run
 from driftwatch.functions.quantiles import quantiles
 
 
@@ -66,13 +66,18 @@ def valid_smooth(
 
 
 def veto_long_runs(rows: DataFrame, share: float, max_run: int, by: list[str], order: str = "idx", score: str = "smooth") -> DataFrame:
-    """Rows without runs of over ``max_run`` rows in a row that lie under the ``share`` quantile of all scores."""
+    """Rows without runs of over ``max_run`` rows in a row that lie under the ``share`` quantile of all scores. ``order`` counts up by one in each stream.
+
+    Only rows under the quantile are put in order; those of long runs leave by a join on stream and order, which has no hot key.
+    """
     cut = quantiles(rows, score, {"_cut": share})
-    flagged = rows.crossJoin(F.broadcast(cut)).withColumn("_low", F.col(score) < F.col("_cut"))
-    numbered = flagged.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    runs = with_run(numbered, [*by, "_low"], "_place")
-    long = F.count("*").over(Window.partitionBy(*by, "_low", "run")) > max_run
-    return runs.withColumn("_long", F.col("_low") & long).where("not _long").drop("_cut", "_low", "_place", "run", "_long")
+    low = rows.crossJoin(F.broadcast(cut)).where(F.col(score) < F.col("_cut")).select(*by, order)
+    runs = with_run(low, by, order)
+    long = runs.groupBy(*by, "run").agg(F.count("*").alias("_n")).where(F.col("_n") > max_run)
+    names, same = keyed(long, by)
+    gone = runs.join(long.select(*names, F.col("run").alias("_run")), same & (F.col("run") == F.col("_run")), "left_semi")
+    names, same = keyed(gone, by)
+    return rows.join(gone.select(*names, F.col(order).alias("_order")), same & (F.col(order) == F.col("_order")), "left_anti")
 
 
 def threshold(rows: DataFrame, level: float, score: str = "score") -> DataFrame:
@@ -89,10 +94,14 @@ def threshold_from_far(background: DataFrame, seconds: float, score: str = "scor
 
 
 def select_outliers(rows: DataFrame, cut: DataFrame, by: list[str], psd_length: int, rate: float = 1.0, score: str = "score") -> DataFrame:
-    """Rows strictly under the threshold, of streams longer than the ``psd_length`` seconds that fill the spectrum."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    out = rows.withColumn("_n", n).crossJoin(F.broadcast(cut))
-    return out.where((F.col("_n") > rate * psd_length) & (F.col(score) < F.col("threshold"))).drop("_n", "threshold")
+    """Rows strictly under the threshold, of streams longer than the ``psd_length`` seconds that fill the spectrum.
+
+    Streams are counted before the shuffle; only rows under the threshold meet the counts.
+    """
+    long = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > rate * psd_length)
+    names, same = keyed(long, by)
+    low = rows.crossJoin(F.broadcast(cut)).where(F.col(score) < F.col("threshold")).drop("threshold")
+    return low.join(long.select(*names), same, "left_semi")
 
 
 def cluster_outliers(rows: DataFrame, gap: float, by: list[str], pad: float | None = None, time: str = "t", score: str = "score", digits: int = 2) -> DataFrame:

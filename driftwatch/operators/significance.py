@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,38 +58,53 @@ def ifar_curve(scores: DataFrame, seconds: float, direction: str, score: str = "
 
 
 def thin_log_levels(curve: DataFrame, max_points: int) -> DataFrame:
-    """The curve itself up to ``max_points`` rows. Beyond, for each level k * 10^e the row of the smallest count that reaches it, and both ends."""
-    spark = curve.sparkSession
+    """The curve itself up to ``max_points`` rows. Beyond, for each level k * 10^e the row of the smallest count that reaches it, and both ends.
+
+    A count belongs to the largest level that it reaches; the smallest of each level is the first to reach it, and all levels up to it from the count before.
+    """
     n, lowest, highest = curve.agg(F.count("*"), F.min("count"), F.max("count")).first()
     if n <= max_points:
         return curve
-    levels = [(k * 10**e,) for e in range(int(math.log10(highest)) + 1) for k in range(1, 11) if k * 10**e <= highest]
-    table = F.broadcast(spark.createDataFrame(sorted({*levels}), "level long"))
-    reach = curve.select("count").join(table, F.col("count") >= F.col("level")).groupBy("level").agg(F.min("count").alias("count"))
-    ends = spark.createDataFrame([(lowest,), (highest,)], "count long")
-    return curve.join(F.broadcast(reach.select("count").unionByName(ends).distinct()), "count", "left_semi")
+    unit = F.pow(F.lit(10), F.length(F.col("count").cast("string")) - 1).cast("long")
+    reach = curve.groupBy((F.floor(F.col("count") / unit) * unit).alias("level")).agg(F.min("count").alias("_reach")).select("_reach")
+    ends = curve.sparkSession.createDataFrame([(lowest,), (highest,)], "_reach long")
+    return curve.join(F.broadcast(reach.unionByName(ends)), F.col("count") == F.col("_reach"), "left_semi")
+
 
+def poisson_quantiles(shares: list[float], mean: float) -> list[int]:
+    """For each share the smallest k whose Poisson distribution function reaches it, summed over 12 deviations around the mean."""
+    reach = 12 * math.sqrt(mean)
+    first, last = max(0, math.floor(mean - reach - 10)), math.ceil(mean + reach + 30)
+    k = np.arange(first, last + 1, dtype=float)
+    logs = np.concatenate([[0.0], np.cumsum(math.log(mean) - np.log(k[1:]))])
+    weights = np.exp(logs - logs.max())
+    below = np.cumsum(weights) / weights.sum()
+    return [first + int(np.searchsorted(below, share * (1 - 1e-15))) for share in shares]
 
-def poisson_quantile(share: float, mean: np.ndarray) -> np.ndarray:
-    """The smallest k whose Poisson distribution function reaches ``share``, for each mean."""
-    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(mean.max(initial=1) + 20 * math.sqrt(mean.max(initial=1)) + 50))))])
-    k = np.arange(len(log_factorial))
-    out = np.zeros(len(mean))
-    for i, m in enumerate(mean):
-        cdf = np.cumsum(np.exp(k * math.log(m) - m - log_factorial))
-        out[i] = int(np.searchsorted(cdf, share * (1 - 1e-15)))
-    return out
+
+BANDS = (0.682689, 0.954499, 0.9973)
 
 
 def poisson_bands(curve: DataFrame, points: int = 1000) -> DataFrame:
-    """Bands of 1, 2 and 3 sigma around expected counts from 1.2 times the largest count down to 0.001."""
+    """Bands of 1, 2 and 3 sigma around expected counts from 1.2 times the largest count down to 0.001.
+
+    The expected counts are dealt out to tasks; the work for one follows the root of the count.
+    """
     spark = curve.sparkSession
-    top = curve.agg(F.max("count")).first()[0]
-    if not top:
-        return spark.createDataFrame([], "expected double, low1 double, high1 double, low2 double, high2 double, low3 double, high3 double")
-    grid = np.logspace(math.log10(top * 1.2), -3, points)
-    columns = [grid]
-    for share in (0.682689, 0.954499, 0.9973):
-        columns += [np.maximum(poisson_quantile((1 - share) / 2, grid) - 0.5, 0), poisson_quantile((1 + share) / 2, grid) + 0.5]
-    names = ["expected", "low1", "high1", "low2", "high2", "low3", "high3"]
-    return spark.createDataFrame([[float(x) for x in row] for row in zip(*columns, strict=True)], names)
+    names = ["expected", *(f"{side}{i}" for i in (1, 2, 3) for side in ("low", "high"))]
+    shares = [share for band in BANDS for share in ((1 - band) / 2, (1 + band) / 2)]
+
+    @F.arrow_udf(", ".join(f"{n} double" for n in names))
+    def bands(places: pa.Array, tops: pa.Array) -> pa.Array:
+        rows = []
+        for i, top in zip(places.to_pylist(), tops.to_pylist(), strict=True):
+            start = math.log10(top * 1.2)
+            mean = 10 ** (start + (-3 - start) * i / max(points - 1, 1))
+            found = poisson_quantiles(shares, mean)
+            rows.append([mean, *(max(k - 0.5, 0.0) if j % 2 == 0 else k + 0.5 for j, k in enumerate(found))])
+        table = np.array(rows).reshape(-1, len(names))
+        return pa.StructArray.from_arrays([pa.array(table[:, j]) for j in range(len(names))], names)
+
+    top = curve.agg(F.max("count").alias("top")).where("top > 0")
+    grid = spark.range(points).repartition("id").crossJoin(F.broadcast(top))
+    return grid.select(bands("id", "top").alias("b")).select("b.*")

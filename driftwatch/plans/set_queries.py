@@ -116,8 +116,7 @@ AGAINST = """+src AS (SELECT class AS against, hrss, true AS positive FROM class
 @query(with_tables("classes", ROC.replace("+hits", AGAINST).format(key="against,", part="PARTITION BY against") + """
 SELECT against, round(sum(n / ns::DOUBLE * (tp - p / 2) / ps), 9) AS auc FROM curve GROUP BY against"""))
 def roc_by_class(spark: SparkSession, d: str) -> DataFrame:
-    rows = E.one_against_background(V.classes(spark, d), "class", ["N"])
-    return E.roc_auc(E.roc_curve(rows, "hrss", "positive", "against"), "against").select("against", _r("auc", 9))
+    return E.roc_auc(E.roc_by_class(V.classes(spark, d), "hrss", "class", ["N"]), "against").select("against", _r("auc", 9))
 
 
 @query(with_tables("classes", "SELECT class, min(snr) AS lowest, max(snr) AS highest, round(avg(snr), 6) AS mean, count(*) AS n FROM classes WHERE class <> 'N' GROUP BY class"))
@@ -195,7 +194,7 @@ def split_files(spark: SparkSession, d: str) -> DataFrame:
     return X.split_files(V.files(spark, d), "path").select("path", "split")
 
 
-@query("SELECT vec_id, CAST(((vec_id + 3) * 2654435761 % 4294967296) // 65536 AS BIGINT) % 100 < 20 AS is_val FROM embeddings")
+@query("SELECT vec_id, (vec_id % {2} * {0} + {1}) % {2} * 100 < 20::BIGINT * {2} AS is_val FROM embeddings".format(*X.split_factors(3), X.PRIME))
 def split_rows(spark: SparkSession, d: str) -> DataFrame:
     return X.split_rows(table(spark, d, "embeddings"), "vec_id", 20, seed=3).select("vec_id", "is_val")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,21 +186,31 @@ SELECT sequence_id, (count(*) - 2)::INTEGER AS n, round(sum(score) FILTER (idx <
 def live_assembly(spark: SparkSession, d: str) -> DataFrame:
     path = _requests(spark, d)
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumnRenamed("samples", "scores")
-    out = streams.run_once(streams.ordered_assembly(source), "assembled", spark, fresh_path(spark, "live"))
-    total = F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 6).alias("total")
-    return out.select("sequence_id", F.size("scores").alias("n"), total, "complete")
+    out = streams.run_once(streams.ordered_assembly(source, most_pad=16), "assembled", spark, fresh_path(spark, "live"))
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    pieces = out.groupBy("sequence_id").agg(F.sum(F.size("scores")).cast("int").alias("n"), F.round(F.sum(total), 6).alias("total"), F.max("complete").alias("complete"))
+    return pieces.select("sequence_id", "n", "total", "complete")
 
 
 @query(with_tables("scores", """+w AS (SELECT stream AS sequence_id, idx - 15 AS start, count(*) OVER f AS n, avg(score) OVER f AS m, stddev_samp(score) OVER f AS s FROM scores
   WINDOW f AS (PARTITION BY stream ORDER BY idx ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
 SELECT sequence_id, start, round(m / s, 6) AS score FROM w WHERE n = 16 AND start % 4 = 0"""))
 def live_window_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots, windows and scores in one stream."""
     path = _requests(spark, d)
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    seen = streams.run_once(streams.snapshot_stream(source, 24), "snapshots", spark, fresh_path(spark, "live"))
-    new = F.size("samples") - F.when(F.col("request_id") == 0, 0).otherwise(F.least(F.lit(24), (F.col("request_id") * 8).cast("int")))
-    scored = streams.stream_windows(seen.withColumn("n_new", new), 16, 4, lambda x: x.mean(1))
-    return scored.select("sequence_id", "start", F.round("score", 6).alias("score"))
+    scored = streams.stream_windows(streams.snapshot_stream(source, 24, "ts"), 16, 4, lambda x: x.mean(1))
+    return streams.run_once(scored, "window-scores", spark, fresh_path(spark, "live")).select("sequence_id", "start", F.round("score", 6).alias("score"))
+
+
+@query()
+def live_whitened_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same with spectrum, band pass and whitening before the windows are cut."""
+    path = _requests(spark, d)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    prepare = streams.whitening(RATE, 32, 16, 0.125, LOW, HIGH, 9)
+    scored = streams.stream_windows(streams.snapshot_stream(source, 32 + 8 + 16, "ts"), 16, 4, lambda x: np.abs(x).max(1), prepare)
+    return streams.run_once(scored, "whitened-scores", spark, fresh_path(spark, "live")).select("sequence_id", "start", F.round("score", 6).alias("score"))
 
 
 @query("""WITH low AS (SELECT user_id, ts, value FROM events WHERE value < 60),

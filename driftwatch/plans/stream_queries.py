@@ -184,9 +184,15 @@ def thinned_ifar_curve(spark: SparkSession, d: str) -> DataFrame:
     return G.thin_log_levels(G.ifar_curve(V.scores(spark, d), 86_400, "low"), 50).select("score", "count")
 
 
-@query()
+@query("""WITH top AS (SELECT log10(count(*) * 1.2::DOUBLE) AS a FROM events),
+grid AS (SELECT i, 10 ** (a + (-3 - a) * i / 999.0::DOUBLE) AS m FROM top, (SELECT unnest(range(1000)) AS i)),
+terms AS (SELECT i, m, unnest(range(greatest(0, floor(m - 9 * sqrt(m) - 10))::BIGINT, ceil(m + 9 * sqrt(m) + 20)::BIGINT)) AS k FROM grid),
+sums AS (SELECT i, m, k, sum(exp(k * ln(m) - m - lgamma(k + 1))) OVER (PARTITION BY i ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM terms),
+found AS (SELECT m, """ + ", ".join(f"min(k) FILTER (cdf >= {share!r}::DOUBLE) {half} AS {name}" for band, n in zip(G.BANDS, "123", strict=True) for share, half, name in (((1 - band) / 2, "- 0.5::DOUBLE", "low" + n), ((1 + band) / 2, "+ 0.5::DOUBLE", "high" + n))) + """ FROM sums GROUP BY i, m)
+SELECT round(m, 9) AS expected, greatest(low1, 0) AS low1, high1, greatest(low2, 0) AS low2, high2, greatest(low3, 0) AS low3, high3 FROM found""")
 def poisson_bands(spark: SparkSession, d: str) -> DataFrame:
-    return G.poisson_bands(G.ifar_curve(V.scores(spark, d), 86_400, "low"))
+    out = G.poisson_bands(G.ifar_curve(V.scores(spark, d), 86_400, "low"))
+    return out.withColumn("expected", F.round("expected", 9))
 
 
 @query(with_tables("scores", "SELECT stream, idx, idx / 4 + stream AS t, score FROM scores WHERE idx >= 16"))

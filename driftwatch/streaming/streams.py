@@ -10,81 +10,125 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SNAPSHOT = "sequence_id long, request_id long, first long, samples array<double>"
-ASSEMBLED = "sequence_id long, scores array<double>, complete boolean"
+from driftwatch.functions import spectra
 
+SNAPSHOT = "sequence_id long, request_id long, first long, n_new int, samples array<double>"
+ASSEMBLED = "sequence_id long, first long, scores array<double>, complete boolean"
 
-def snapshot_stream(updates: DataFrame, keep: int) -> DataFrame:
-    """Each update ``(sequence_id, request_id, samples)`` with the last ``keep`` samples of its sequence before it.
+
+def snapshot_stream(updates: DataFrame, keep: int, time: str | None = None, late: str = "1 hour", idle_ms: int = 60_000_000) -> DataFrame:
+    """Each update ``(sequence_id, request_id, samples, is_end)`` with the last ``keep`` samples of its sequence before it.
 
     Requests are taken in order of ``request_id``; one that comes early waits in the state for those before it. The first
-    update of a sequence has nothing before it. ``first`` is the number of the first sample that is emitted.
+    update of a sequence has nothing before it. ``first`` is the number of the first sample that is emitted, ``n_new`` how many are new.
+    The state of a sequence goes with the update flagged ``is_end``, a null flag being none, or, if updates have a ``time``, once the watermark has
+    left its last update ``idle_ms`` behind.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, done, upto, early = state.get if state.exists else ([], 0, 0, [])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tail, done, upto, end, seen, early = state.get if state.exists else ([], 0, 0, -1, 0, [])
         waiting = {int(r): list(s) for r, s in early}
         for frame in frames:
-            for request, samples in zip(frame["request_id"], frame["samples"], strict=True):
+            seen = max([seen, *(int(at.timestamp() * 1000) for at in frame[time])]) if time else 0
+            for request, samples, is_end in zip(frame["request_id"], frame["samples"], frame["is_end"], strict=True):
                 if request >= upto:
                     waiting[int(request)] = [float(x) for x in samples]
+                    end = int(request) if is_end is not None and is_end == 1 else end
         out = []
         while upto in waiting:
             new = waiting.pop(upto)
             whole = [*tail, *new]
-            out.append((key[0], upto, done - len(tail), whole))
+            out.append((key[0], upto, done - len(tail), len(new), whole))
             done += len(new)
             tail = whole[-keep:] if keep else []
             upto += 1
-        state.update((tail, done, upto, [(r, s) for r, s in sorted(waiting.items())]))
-        yield pd.DataFrame(out, columns=["sequence_id", "request_id", "first", "samples"])
+        if 0 <= end < upto:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((tail, done, upto, end, seen, sorted(waiting.items())))
+            if time:
+                state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(out, columns=["sequence_id", "request_id", "first", "n_new", "samples"])
 
-    kept = "tail array<double>, done long, upto long, early array<struct<request: long, samples: array<double>>>"
-    return updates.groupBy("sequence_id").applyInPandasWithState(step, SNAPSHOT, kept, "append", GroupStateTimeout.NoTimeout)
+    kept = "tail array<double>, done long, upto long, last long, seen long, early array<struct<request: long, samples: array<double>>>"
+    kind = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    marked = updates.withWatermark(time, late) if time else updates
+    return marked.groupBy("sequence_id").applyInPandasWithState(step, SNAPSHOT, kept, "append", kind)
 
 
-def ordered_assembly(replies: DataFrame, idle_ms: int = 60_000_000, late: str = "1 hour", time: str = "ts") -> DataFrame:
-    """Replies ``(sequence_id, request_id, is_end, n_pad, scores, ts)`` put in order, a row for each sequence once all are there.
+def ordered_assembly(replies: DataFrame, most_pad: int = 1024, idle_ms: int = 60_000_000, late: str = "1 hour", time: str = "ts") -> DataFrame:
+    """Replies ``(sequence_id, request_id, is_end, n_pad, scores, ts)`` put in order, in pieces that follow each other as ``first`` tells.
 
-    The reply flagged ``is_end`` tells how many there are; the scores that come from its padding are cut off. A sequence whose
-    last reply the watermark has left ``idle_ms`` behind is emitted as it is, with ``complete`` false.
+    What is in order is emitted at once, but for the last ``most_pad`` scores: the reply flagged ``is_end`` tells how many of these come from
+    padding and are cut off. So the state holds these and the replies that wait for earlier ones, not the sequence. The last piece of
+    a sequence has ``complete``: true, or false where the watermark has left its last reply ``idle_ms`` behind; what then waits is emitted as it is.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last, pad, seen = state.get if state.exists else ([], -1, 0, 0)
-        parts = {int(r): list(s) for r, s in held}
+        held, done, upto, end, pad, seen, early = state.get if state.exists else ([], 0, 0, -1, 0, 0, [])
+        waiting, ready = {int(r): list(s) for r, s in early}, list(held)
         if state.hasTimedOut:
             state.remove()
-            yield row(key, [parts[r] for r in sorted(parts)], 0, False)
+            yield piece(key, done, [*ready, *(x for r in sorted(waiting) for x in waiting[r])], False)
             return
         for frame in frames:
             for request, is_end, n_pad, scores, at in zip(*(frame[c] for c in ("request_id", "is_end", "n_pad", "scores", time)), strict=True):
-                parts[int(request)] = [float(x) for x in scores]
+                if request >= upto:
+                    waiting[int(request)] = [float(x) for x in scores]
                 seen = max(seen, int(at.timestamp() * 1000))
                 if is_end:
-                    last, pad = int(request), int(n_pad)
-        if last >= 0 and len(parts) == last + 1:
+                    end, pad = int(request), int(n_pad)
+        while upto in waiting:
+            ready += waiting.pop(upto)
+            upto += 1
+        if 0 <= end < upto:
             if state.exists:
                 state.remove()
-            yield row(key, [parts[r] for r in range(last + 1)], pad, True)
-        else:
-            state.update((sorted(parts.items()), last, pad, seen))
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
+            yield piece(key, done, ready[: max(0, len(ready) - pad)], True)
+            return
+        now = max(0, len(ready) - most_pad)
+        state.update((ready[now:], done + now, upto, end, pad, seen, sorted(waiting.items())))
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
+        if now:
+            yield piece(key, done, ready[:now], None)
 
-    def row(key: tuple, parts: list, pad: int, complete: bool) -> pd.DataFrame:
-        scores = [x for part in parts for x in part]
-        return pd.DataFrame([(key[0], scores[: len(scores) - pad], complete)], columns=["sequence_id", "scores", "complete"])
+    def piece(key: tuple, first: int, scores: list, complete: bool | None) -> pd.DataFrame:
+        out = pd.DataFrame([(key[0], first, scores)], columns=["sequence_id", "first", "scores"])
+        return out.assign(complete=pd.array([complete], dtype="boolean"))
 
-    kept = "parts array<struct<request: long, scores: array<double>>>, last long, pad long, seen long"
+    kept = "held array<double>, done long, upto long, last long, pad long, seen long, early array<struct<request: long, scores: array<double>>>"
     marked = replies.withWatermark(time, late).groupBy("sequence_id")
     return marked.applyInPandasWithState(step, ASSEMBLED, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_windows(snapshots: DataFrame, kernel: int, stride: int, scorer: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def whitening(rate: float, psd_samples: int, size: int, duration: float, low: float | None = None, high: float | None = None, taps: int = 0) -> Callable[[np.ndarray], tuple[np.ndarray, int, int]]:
+    """How ``stream_windows`` prepares a snapshot: its first samples give the spectrum, the others are band-passed (where a band is given) and whitened.
+
+    It returns the series with how many samples are lost before and behind it.
+    """
+    half = int(duration * rate) // 2
+
+    def prepared(x: np.ndarray) -> tuple[np.ndarray, int, int]:
+        before, data = x[:psd_samples], x[psd_samples:]
+        if len(before) < psd_samples or len(data) <= 2 * half + 1:
+            return x[:0], psd_samples + half, half
+        power = spectra.psd(before, rate, size)
+        if high is not None:
+            data = spectra.bandpass(data, rate, low, high, taps)
+        return spectra.whiten(data, power, rate, duration, low or 0.0), psd_samples + half, half
+
+    return prepared
+
+
+def stream_windows(snapshots: DataFrame, kernel: int, stride: int, scorer: Callable[[np.ndarray], np.ndarray], prepare: Callable[[np.ndarray], tuple[np.ndarray, int, int]] | None = None) -> DataFrame:
     """Scores of the windows of ``kernel`` samples, every ``stride`` of the sequence, that end within the newest update.
 
-    ``snapshots`` come from ``snapshot_stream`` with ``keep`` of ``kernel`` samples or more and ``n_new`` samples in each update.
-    Windows are scaled by their own standard deviation.
+    ``snapshots`` come from ``snapshot_stream``, live or as a table, with ``keep`` of ``kernel`` samples or more, and of what ``prepare`` loses besides.
+    Windows are scaled by their own standard deviation. The windows of an update that the scorer fails on have NaN.
     """
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,13 +136,18 @@ def stream_windows(snapshots: DataFrame, kernel: int, stride: int, scorer: Calla
             rows = []
             for sequence, first, samples, n_new in zip(frame["sequence_id"], frame["first"], frame["samples"], frame["n_new"], strict=True):
                 x = np.asarray(samples, float)
-                end = first + len(x)
+                x, before, behind = prepare(x) if prepare else (x, 0, 0)
+                first, end = first + before, first + before + len(x)
                 start = max(first, end - n_new - kernel + 1)
                 starts = np.arange(-(-start // stride) * stride, end - kernel + 1, stride)
-                if len(starts):
+                if len(x) and len(starts):
                     windows = np.stack([x[s - first : s - first + kernel] for s in starts])
                     scaled = windows / np.maximum(windows.std(1, ddof=1, keepdims=True), 1e-8)
-                    rows += [(sequence, int(s), float(v)) for s, v in zip(starts, scorer(scaled), strict=True)]
+                    try:
+                        values = [float(v) for v in scorer(scaled)]
+                    except Exception:  # noqa: BLE001  a scorer's failure doesn't end the stream
+                        values = [float("nan")] * len(starts)
+                    rows += [(sequence, int(s), v) for s, v in zip(starts, values, strict=True)]
             yield pd.DataFrame(rows, columns=["sequence_id", "start", "score"])
 
     return snapshots.mapInPandas(score, "sequence_id long, start long, score double")

@@ -119,8 +119,6 @@ def test_far_and_ranks(frame):
 
 
 def test_poisson_quantiles():
-    import numpy as np
-
     for mean in (0.001, 0.5, 3.0, 40.0):
         cdf, k, p = 0.0, 0, math.exp(-mean)
         want = []
@@ -128,7 +126,9 @@ def test_poisson_quantiles():
             while cdf + p < share:
                 cdf, k, p = cdf + p, k + 1, p * mean / (k + 1)
             want.append(k)
-        assert [float(significance.poisson_quantile(s, np.array([mean]))[0]) for s in (0.05, 0.5, 0.95)] == want
+        assert significance.poisson_quantiles([0.05, 0.5, 0.95], mean) == want
+    low, middle, high = significance.poisson_quantiles([0.158655, 0.5, 0.841345], 1e8)
+    assert middle == 10**8 and abs(10**8 - low - 10**4) < 3 and abs(high - 10**8 - 10**4) < 3
 
 
 def test_running_total_needs_no_single_task(spark):
@@ -234,3 +234,56 @@ def test_picks_an_array_column(frame):
 def test_split_rows_is_stable(spark):
     rows = features.split_rows(spark.range(20_000), "id", 20)
     assert abs(rows.where("is_val").count() - 4_000) < 300
+    far = spark.range(9_000_000_000_000_000_000, 9_000_000_000_000_002_000).withColumn("id", F.when(F.col("id") % 100 > 0, F.col("id")))
+    one, two = (features.split_rows(far, "id", 20, seed=s).where("is_val") for s in (1, 2))
+    assert 300 < one.count() < 500 and one.join(two, "id").count() < 0.4 * one.count() and one.where("id is null").count() == 0
+    names = features.split_rows(spark.range(1000).selectExpr("concat('k', id) as k"), "k", 50)
+    assert 400 < names.where("is_val").count() < 600
+
+
+def test_stratified_places_and_classes_by_range(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id < 900, 'a', if(id < 990, 'b', null)) as c")
+    got = features.split_stratified(rows, "c", -F.col("id"), 0.3)
+    assert got.columns == ["id", "c", "is_val"]
+    assert {r["c"]: (r["n"], r["low"]) for r in got.where("is_val").groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("low")).collect()} == {
+        "a": (270, 630), "b": (27, 963), None: (3, 997),
+    }
+
+
+def test_curves_of_classes_beside_one_background(frame):
+    rows = frame([("n", 1.0), ("n", 2.0), ("a", 1.5), ("a", 3.0), ("b", 2.0)], "c string, x double")
+    got = {r["against"]: r["auc"] for r in efficiency.roc_auc(efficiency.roc_by_class(rows, "x", "c", ["n"]), "against").collect()}
+    assert got == pytest.approx({"a": 0.75, "b": 0.75})
+
+
+def test_density_in_blocks(frame):
+    import numpy as np
+    from driftwatch.operators import models
+
+    points = np.random.default_rng(2).normal(size=(30, 3))
+    rows = frame([(i, x.tolist()) for i, x in enumerate(points)], "i int, x array<double>")
+    want = [-np.log(np.mean(np.exp(-((x - points) ** 2).sum(1) / 0.5)) / (2 * np.pi * 0.25) ** 1.5) for x in points]
+    for most in (7, 100):
+        got = models.score_kde(rows, rows, "x", most=most).orderBy("i").collect()
+        assert [r["score"] for r in got] == pytest.approx(want)
+    assert models.score_kde(rows, rows.limit(0), "x").where("score is not null").count() == 0
+
+
+def test_forest_scores_equal_a_recursive_walk(frame):
+    import numpy as np
+    from driftwatch.operators import models
+
+    points = np.random.default_rng(3).normal(size=(400, 3))
+    rows = frame([(i, x.tolist()) for i, x in enumerate(points)], "i long, x array<double>")
+    forest = models.fit_isolation_forest(rows, "x", "i", trees=15, sample=64)
+    nodes = {(r["tree"], r["node"]): r for r in forest.collect()}
+    common = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+
+    def depth(x, tree, node=0):
+        r = nodes[tree, node]
+        return common(r["size"]) if r["feature"] < 0 else 1 + depth(x, tree, r["left"] if x[r["feature"]] <= r["split"] else r["right"])
+
+    assert len({t for t, _ in nodes}) == 15 and {r["size"] for (_, n), r in nodes.items() if n == 0} == {64}
+    got = models.score_isolation_forest(rows, forest, "x").orderBy("i").collect()
+    for r, x in zip(got[:40], points, strict=False):
+        assert r["score"] == pytest.approx(-(2 ** (-np.mean([depth(x, t) for t in range(15)]) / common(64))))

@@ -18,11 +18,11 @@ def fed(spark, rows, schema, of, name):
 
 
 def test_snapshots_wait_for_earlier_requests(spark):
-    schema = "sequence_id long, request_id long, samples array<double>"
-    batches = [[(1, 1, [3.0, 4.0]), (2, 0, [9.0])], [(1, 0, [1.0, 2.0])], [(1, 2, [5.0])]]
+    schema = "sequence_id long, request_id long, samples array<double>, is_end boolean"
+    batches = [[(1, 1, [3.0, 4.0], None), (2, 0, [9.0], True)], [(1, 0, [1.0, 2.0], False), (2, 0, [8.0], True)], [(1, 2, [5.0], False)]]
     got = fed(spark, batches, schema, lambda s: streams.snapshot_stream(s, 3), "snap").orderBy("sequence_id", "request_id").collect()
-    assert [(r["sequence_id"], r["request_id"], r["first"], r["samples"]) for r in got] == [
-        (1, 0, 0, [1.0, 2.0]), (1, 1, 0, [1.0, 2.0, 3.0, 4.0]), (1, 2, 1, [2.0, 3.0, 4.0, 5.0]), (2, 0, 0, [9.0]),
+    assert sorted((r["sequence_id"], r["request_id"], r["first"], r["n_new"], r["samples"]) for r in got) == [
+        (1, 0, 0, 2, [1.0, 2.0]), (1, 1, 0, 2, [1.0, 2.0, 3.0, 4.0]), (1, 2, 1, 1, [2.0, 3.0, 4.0, 5.0]), (2, 0, 0, 1, [8.0]), (2, 0, 0, 1, [9.0]),
     ]
 
 
@@ -38,6 +38,11 @@ def test_assembly_and_its_timeout(spark):
         [(4, 0, True, 0, [6.0], t + timedelta(days=6))],
     ]
     got = fed(spark, batches, schema, streams.ordered_assembly, "whole").orderBy("sequence_id").collect()
+    pieces = fed(spark, batches[:2], schema, lambda s: streams.ordered_assembly(s, most_pad=1), "pieces").where("sequence_id = 1").orderBy("first").collect()
+    assert [(r["first"], r["scores"], r["complete"]) for r in pieces] == [(0, [1.0, 2.0, 3.0], True)]
+    early = [[(1, 0, False, 0, [1.0, 2.0, 3.0], t)], [(1, 1, True, 1, [4.0], t)]]
+    pieces = fed(spark, early, schema, lambda s: streams.ordered_assembly(s, most_pad=1), "pieces").orderBy("first").collect()
+    assert [(r["first"], r["scores"], r["complete"]) for r in pieces] == [(0, [1.0, 2.0], None), (2, [3.0], True)]
     assert [(r["sequence_id"], r["scores"], r["complete"]) for r in got] == [
         (1, [1.0, 2.0, 3.0], True), (2, [7.0], False), (3, [5.0], True), (4, [6.0], True),
     ]
@@ -51,3 +56,29 @@ def test_sessions_merge_at_the_gap(spark):
     got = fed(spark, rows, "k string, ts timestamp, score double", lambda s: streams.stream_outliers(s, 1.0, "16 seconds", "1 hour", "k"), "sessions")
     spans = sorted((r["first"].timestamp() - t.timestamp(), r["n"]) for r in got.where(F.col("k") == "a").collect())
     assert [n for _, n in spans][:2] == [2, 2]
+
+
+def test_windows_of_whitened_snapshots_equal_brute_force(spark):
+    import numpy as np
+
+    from driftwatch.functions import spectra
+
+    x, rate = np.random.default_rng(5).normal(size=200), 64.0
+    prepare = streams.whitening(rate, 32, 16, 0.125, 2.0, 30.0, 9)
+    rows = [(1, i, x[8 * i : 8 * i + 8].tolist(), i == 24) for i in range(25)]
+    schema, keep = "sequence_id long, request_id long, samples array<double>, is_end boolean", 64
+    of = lambda s: streams.stream_windows(streams.snapshot_stream(s, keep), 16, 4, lambda w: np.abs(w).max(1), prepare)
+    got = {r["start"]: r["score"] for r in fed(spark, [rows[12:], rows[:12]], schema, of, "white").collect()}
+    want = {}
+    for upto in range(8, 201, 8):
+        seen = x[max(0, upto - 8 - keep) : upto]
+        first = upto - len(seen)
+        if len(seen) > 32 + 9:
+            white = spectra.whiten(spectra.bandpass(seen[32:], rate, 2.0, 30.0, 9), spectra.psd(seen[:32], rate, 16), rate, 0.125, 2.0)
+            for s in range(0, 200, 4):
+                at = s - first - 36
+                if 0 <= at and at + 16 <= len(white) and s not in want:
+                    w = white[at : at + 16]
+                    want[s] = np.abs(w / w.std(ddof=1)).max()
+    assert got.keys() == want.keys() and len(got) > 30
+    assert all(abs(got[s] - want[s]) < 1e-9 for s in got)
