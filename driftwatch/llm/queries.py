@@ -87,23 +87,27 @@ def queries() -> dict:
 
 
 def _license_sql() -> str:
+    """Cuts at line ends too, and knows the sentences without a break inside: it agrees where notices aren't wrapped, as in the given tables."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(s)}, {quote(name)})" for s, name in licenses.known_sentences().items())
-    cases = ", ".join(
-        f"CASE WHEN contains(',' || sentence_ids || ',', {quote(',' + ','.join(ids) + ',')}) THEN {quote(name)} END"
-        for name, ids in dict.fromkeys((name, tuple(ids)) for name, ids in licenses.RULES)
-    )
+    known = ", ".join(f"({quote(s)}, {quote(name)})" for s, (name, *parts) in licenses.known_sentences().items() if len(parts) == 1)
+    rules: dict[str, list[str]] = {}
+    for name, ids, _ in licenses.RULES:
+        rules.setdefault(name, []).append(f"regexp_matches(seq, {quote(licenses.rule_pattern(ids))})")
+    beside = {name: others for name, _, others in licenses.RULES}
+    one = lambda name: f"({' OR '.join(rules[name])})"
+    cases = ", ".join(f"CASE WHEN {' AND NOT '.join([one(name), *map(one, beside[name])])} THEN {quote(name)} END" for name in rules)
     return rf"""
 WITH known(sentence, name) AS (VALUES {known}),
 numbered AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
 cut AS (
-  SELECT rn, doc_id, string_split(regexp_replace(translate(regexp_replace(coalesce(text, ''), '([.!?;])[ \t\r\f\x0B]+', '\1' || chr(10), 'g'),
+  SELECT rn, string_split(regexp_replace(translate(regexp_replace(coalesce(text, ''), '([.!?;])[ \t\r\f\x0B]+', '\1' || chr(10), 'g'),
     '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS s
   FROM numbered),
-each AS (SELECT rn, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM cut),
-seen AS (SELECT rn, string_agg(name, ',' ORDER BY i) AS ids, count(*) AS n FROM each JOIN known ON trim(each.sentence, ' ') = known.sentence GROUP BY rn),
-found AS (SELECT n.doc_id, coalesce(s.ids, '') AS sentence_ids, coalesce(s.n, 0)::BIGINT AS n_known FROM numbered n LEFT JOIN seen s USING (rn))
-SELECT doc_id, array_to_string(list_filter(list_value({cases}), lambda x: x IS NOT NULL), ',') AS licenses, sentence_ids, n_known FROM found
+each AS (SELECT rn, trim(unnest(s), ' ') AS sentence, generate_subscripts(s, 1) AS i FROM cut),
+seen AS (SELECT rn, string_agg(coalesce(',' || name || ',', '') || '.', '' ORDER BY i) AS seq, coalesce(string_agg(name, ',' ORDER BY i), '') AS ids, count(name) AS n
+  FROM each LEFT JOIN known USING (sentence) GROUP BY rn),
+found AS (SELECT n.doc_id, s.seq, s.ids AS sentence_ids, s.n::BIGINT AS n_known FROM numbered n JOIN seen s USING (rn))
+SELECT doc_id, CASE WHEN n_known = 0 THEN '' ELSE array_to_string(list_filter(list_value({cases}), lambda x: x IS NOT NULL), ',') END AS licenses, sentence_ids, n_known FROM found
 """
 
 

@@ -21,3 +21,45 @@ def test_wrapped_notices(frame, sign, end):
             (4, "Licensed under the MIT\n\nLicense."), (5, "It is not Licensed under\nthe MIT License."), (6, "SPDX-License-Identifier: MIT\nx")]
     got = {r["doc_id"]: (r["licenses"], r["n_known"]) for r in licenses.scan(frame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("GPL-3.0-or-later", 3), 2: ("MIT", 2), 3: ("Apache-2.0", 2), 4: ("", 0), 5: ("", 0), 6: ("MIT", 1)}
+
+
+def wrapped(paragraphs, sign=" * "):
+    return "\n".join(sign + line for p in paragraphs for line in [*textwrap.wrap(p, 70), ""])
+
+
+def test_versions_and_families_are_told_apart(frame):
+    said = lambda *names: [licenses.SENTENCES[n][0] for n in names]
+    bsd = said("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")
+    rows = {
+        "MPL-1.1": [licenses.SENTENCES["mpl-1"][1]],
+        "MPL-2.0": [" ".join(said("mpl-2", "mpl-2-copy"))],
+        "BSD-3-Clause": [bsd[0], *(f"{i}. {s}" for i, s in enumerate(bsd[1:], 1))],
+        "BSD-2-Clause": bsd[:3],
+        "BSD": bsd[:1],
+        "GPL-2.0-or-later": [" ".join(said("gpl-2-free", "gpl-hope", "gpl-implied"))],
+        "GPL-2.0-only": said("gpl-2-only"),
+        "LGPL-2.1-or-later": said("lgpl-2-free") + [" ".join(said("lgpl-hope", "gpl-implied"))],
+        "AGPL-3.0-or-later": said("agpl-free") + [" ".join(said("gpl-hope", "gpl-implied"))],
+        "MIT-0": said("mit-0-grant", "mit-warranty"),
+        "ISC": said("isc-grant"), "0BSD": said("0bsd-grant"), "Unlicense": said("unlicense"), "CC-BY-NC-ND-3.0": [licenses.SENTENCES["cc-by-nc-nd-3"][2]],
+        "Zlib": said("zlib-as-is", "zlib-liable", "zlib-grant"), "EPL-2.0": ["SPDX-License-Identifier: EPL-2.0"],
+    }
+    assert len(licenses.SENTENCES) >= 60
+    names = [*rows]
+    docs = frame([(i, wrapped(rows[n])) for i, n in enumerate(names)], "doc_id long, text string")
+    assert {names[r["doc_id"]]: r["licenses"] for r in licenses.scan(docs).collect()} == {n: n for n in names}
+
+
+def test_gaps_are_bounded(frame):
+    one, two = (licenses.SENTENCES[n][0] for n in ("apache-notice", "apache-may-not"))
+    rows = [(n, " ".join([one, *["Something else."] * n, two])) for n in (0, 7, 8, 500)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(frame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "Apache-2.0", 7: "Apache-2.0", 8: "", 500: ""}
+
+
+def test_tables_of_any_kind(frame):
+    rows = [(1, None, 5), (2, "", 6), (3, MIT[0] + "\n" + MIT[1], 7), (3, MIT[0] + "\n" + MIT[1], 7)]
+    got = licenses.scan(frame(rows, "doc_id long, text string, licenses int"))
+    assert got.columns == ["doc_id", "text", "licenses", "sentence_ids", "n_known"]
+    assert sorted((r["doc_id"], r["licenses"]) for r in got.collect()) == [(1, ""), (2, ""), (3, "MIT"), (3, "MIT")]
+    assert licenses.scan(frame([], "doc_id long, text string")).count() == 0
