@@ -2,8 +2,8 @@
 
 The ids of documents follow each other in the order of ``doc_id``, each document
 ended by ``end_id``. Windows of at most ``size`` tokens cut this stream. A cut
-costs nothing at the end of a document, ``SENTENCE`` after a sentence or line,
-``INSIDE`` elsewhere; a window also costs its padding. The best cost up to a
+costs nothing at the end of a document, ``SENTENCE`` after a sentence or line;
+only a sentence longer than a window may be cut inside, for ``INSIDE``. A window also costs its padding. The best cost up to a
 cut is that of the best earlier cut within ``size`` tokens, plus what the
 window costs. All that depends on the earlier cut is ``cost - (-position)``,
 so the candidates lie in a monotone queue and each enters and leaves once.
@@ -11,8 +11,9 @@ so the candidates lie in a monotone queue and each enters and leaves once.
 Each task packs its rows in runs of about ``run_tokens`` tokens; a run that is
 not the last of its task hands its unfinished last window to the next one, so
 only the last window of a task can be padded for lack of further documents.
-Memory is bounded by a run and one document. Places inside a sentence are
-candidates every ``STRIDE`` tokens, so that a sentence of any length can be cut.
+Memory is bounded by a run and one document. Places inside an over-long sentence are
+candidates every ``STRIDE`` tokens. Documents follow each other within an input split: ordering them over
+all splits would shuffle every text for one padded window less in each.
 
 Nulls and empty texts are documents of one token. Equal ids are ordered by
 their text; rows that repeat are packed as often. Extra columns are ignored and
@@ -87,11 +88,12 @@ class Packer:
         stream = np.concatenate([ids[done:] for _, ids, done in self.docs])
         n = len(stream)
         cost = np.full(n + 1, np.inf)
-        stride = min(STRIDE, self.size)
-        cost[stride:n:stride] = INSIDE
         cost[1:][self.ends[stream]] = SENTENCE
         cost[np.cumsum([len(ids) - done for _, ids, done in self.docs])] = 0
         cost[0] = 0
+        ends, stride = np.flatnonzero(np.isfinite(cost)), min(STRIDE, self.size)
+        for i in np.flatnonzero(np.diff(ends) > self.size):
+            cost[ends[i] + stride : ends[i + 1] : stride] = INSIDE
         places = np.flatnonzero(np.isfinite(cost))
         cuts = best_cuts(places, cost[places], self.size)
         if not last:

@@ -143,11 +143,14 @@ def test_rule_counts_equal_brute_force():
 
 
 def test_rules_reject_the_odd_and_keep_the_common(spark):
-    sf = SMALL.replace("0.001", "0.01")
+    """Judged on fold 0 alone, which the fit doesn't read."""
+    sf = SMALL.replace("0.001", "0.1")
     docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     forest, cut = rules.fit(docs, marks)
-    got = rules.apply_rules(docs.withColumn("kept", F.lit("x")), forest, cut).join(marks, "doc_id").collect()
+    own = docs.join(marks.where(labels.held_out(F.col("doc_id"))), "doc_id")
+    got = rules.apply_rules(own.withColumn("kept", F.lit("x")), forest, cut).collect()
     good, bad = ([r for r in got if r["quality"] == q and not r["base_failed"]] for q in (1, 0))
+    assert len(good) > 300 and len(bad) > 50
     assert sum(r["kept"] for r in good) >= 0.98 * len(good)
     assert sum(r["kept"] for r in bad) <= 0.2 * len(bad)
     for r in got:
@@ -198,6 +201,16 @@ def test_classifier_on_held_out_rows(spark):
     assert right >= 0.93 * len(held) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+def test_scores_replace_a_column_and_repeat_with_rows(frame):
+    rows = [(1, "A plain sentence of words.", "x"), (1, "A plain sentence of words.", "x"), (2, None, "y"), (3, "$$$ ||| !!!", "z")]
+    docs = frame(rows, DOC + ", score string")
+    marks = frame([(1, 1), (3, 0)], "doc_id long, quality int")
+    got = classifier.score(docs, classifier.fit(docs, marks))
+    assert got.columns == ["doc_id", "text", "score"]
+    scores = [(r["doc_id"], r["score"]) for r in got.collect()]
+    assert len(scores) == 4 and len({s for i, s in scores if i == 1}) == 1 and all(0 <= s <= 1 for _, s in scores)
+
+
 def test_flat_trees_equal_a_walk():
     draw = np.random.default_rng(4)
     x = draw.normal(size=(600, 5))
