@@ -3,14 +3,14 @@
 A payload of 8-bit samples is stored in packets of 188 bytes: a program
 association table, a program map table and one elementary stream whose
 packetized units carry ``UNIT`` frames of 576 samples each with a presentation
-timestamp; every ``RANDOM_EVERY``-th unit starts at a random-access point. The
+timestamp; every ``RANDOM_EVERY``-th unit starts at a random-access point, which carries the clock reference. The
 tables are repeated before each of these.
 
 Reading parses the tables to find the elementary stream, checks sync bytes,
 section checksums and continuity counters, reassembles the units and lists
 their timestamps and random-access points.
 
-Nulls and empty texts are one frame of filling bytes; a null stream reads as nulls. Streams are independent:
+Nulls and empty texts are one frame of filling bytes; a null stream reads as nulls, a broken one as nulls with its ``error``. Streams are independent:
 equal texts give equal streams, repeated rows repeat results, an empty table stays empty.
 Extra columns pass through; output names replace columns of the same name.
 """
@@ -91,9 +91,10 @@ def mux(payload: bytes) -> bytes:
             tables += 1
             packets.append(pair)
         body = payload[at : at + step]
+        ticks = number * UNIT * TICKS % CLOCK
         unit = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(body) + 8).to_bytes(2, "big") + b"\x84\x80\x05"
-        unit += _timestamp(number * UNIT * TICKS) + body
-        lead = 2 * random  # the adaptation field that marks a random-access point
+        unit += _timestamp(ticks) + body
+        lead = 8 * random  # the adaptation field that marks a random-access point: length, flags, clock reference
         n = -(-(len(unit) + lead) // 184)
         out = np.zeros((n, PACKET), np.uint8)
         out[:, 0], out[:, 1], out[:, 2] = SYNC, MEDIA_PID >> 8, MEDIA_PID & 0xFF
@@ -108,8 +109,10 @@ def mux(payload: bytes) -> bytes:
                 out[i, 3] |= 0x20
                 out[i, 4] = field[i] - 1
                 if field[i] > 1:
-                    out[i, 5] = 0x40 if random and i == 0 else 0
+                    out[i, 5] = 0x50 if random and i == 0 else 0
                     out[i, 6 : 4 + field[i]] = 0xFF
+                    if random and i == 0:
+                        out[i, 6:12] = [*(ticks >> n & 0xFF for n in (25, 17, 9, 1)), (ticks & 1) << 7 | 0x7E, 0]
         out[np.arange(PACKET) >= 4 + field[:, None]] = np.frombuffer(unit, np.uint8)
         packets.append(out)
     return np.concatenate(packets).tobytes()
@@ -165,6 +168,8 @@ class Stream:
             self.timestamps.append((a & 0xE) << 29 | b << 22 | (c & 0xFE) << 14 | d << 7 | e >> 1)
             parts.append(flat[at + 9 + flat[at + 8] : end])
         self.payload = b"".join(parts)
+        clocks = packets[has_field & (packets[:, 4] >= 7) & (packets[:, 5] & 0x10 > 0), 6:11].astype(np.int64)
+        self.clocks = (clocks[:, 0] << 25 | clocks[:, 1] << 17 | clocks[:, 2] << 9 | clocks[:, 3] << 1 | clocks[:, 4] >> 7).tolist()
 
     def feature(self) -> str:
         """Counts, the span of timestamps in ticks, and mean and spread of the samples."""
@@ -195,14 +200,14 @@ def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
 
 
 def read(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds what the streams of ``media`` hold: payload and its digests, timestamps, random-access points, ``feature``."""
+    """Adds what the streams of ``media`` hold: payload and its digests, timestamps, random-access points, ``feature``, and the ``error`` of those that can't be read."""
     kinds = {
         "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(),
-        "media_sha256": pa.string(), "feature": pa.string(), "timestamps": pa.list_(pa.int64()), "random_access": pa.list_(pa.int64()),
+        "media_sha256": pa.string(), "feature": pa.string(), "timestamps": pa.list_(pa.int64()), "random_access": pa.list_(pa.int64()), "error": pa.string(),
     }
     ddl = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    @F.arrow_udf(ddl + ", timestamps array<long>, random_access array<long>")
+    @F.arrow_udf(ddl + ", timestamps array<long>, random_access array<long>, error string")
     def parsed(values: pa.Array) -> pa.Array:
         rows = []
         for value in values:
@@ -210,11 +215,15 @@ def read(df: DataFrame, media: str = "media") -> DataFrame:
                 rows.append((None,) * len(kinds))
                 continue
             data = value.as_buffer().to_pybytes()
-            stream = Stream(data)
+            try:
+                stream = Stream(data)
+            except (ValueError, IndexError) as failure:
+                rows.append((*(None,) * (len(kinds) - 1), f"{type(failure).__name__}: {failure}"))
+                continue
             points = [i for i, flag in enumerate(stream.random_access) if flag]
             own = stream.payload
             rows.append(
-                (len(own), sha256(own).hexdigest(), zlib.crc32(own[-32:]), len(data), sha256(data).hexdigest(), stream.feature(), stream.timestamps, points)
+                (len(own), sha256(own).hexdigest(), zlib.crc32(own[-32:]), len(data), sha256(data).hexdigest(), stream.feature(), stream.timestamps, points, None)
             )
         columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], [*kinds])
