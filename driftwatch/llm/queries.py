@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftwatch.llm import bpe, classifier, line_dedup, licenses, packing, pages, records, rules, simhash, transport
 from driftwatch.llm.labels import held_out
 from driftwatch.llm.tokens import default_vocabulary
-from driftwatch.session import fresh_path, materialize, table
+from driftwatch.session import fresh_path, table
 
 #: Scores from here on are predicted as label 1.
 GOOD = 0.3
@@ -48,8 +48,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path, vocabulary = fresh_path(spark, "token-records"), default_vocabulary()
     records.write_records(docs, path, *vocabulary)
-    index = materialize(records.read_index(spark, path, *vocabulary), "token-index")
-    return records.with_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
+    return records.with_starts(records.write_index(spark, path, *vocabulary)).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,17 @@
 
 A record is one document. Its frame is
 
-    u64 length | u32 masked checksum of the length | payload | u32 masked checksum of the payload | byte 10
+    u64 length | u32 masked checksum of the length | payload | u32 masked checksum of the payload
 
-all little-endian. A checksum is CRC-32C, masked by rotating it right by 15
-bits and adding a constant. The byte 10 is the row end that Spark's text sink
-writes. The payload is ``i64 doc_id | u32 tokens | zstd`` of the ids as unsigned
-16-bit integers (32-bit ones in a vocabulary of more than 65,536 ids).
+all little-endian, and frames follow each other without anything between. A checksum is CRC-32C, masked by rotating it right by 15
+bits and adding a constant. The payload is ``i64 doc_id | u32 tokens | zstd | u32 seal``, zstd of the ids as unsigned
+16-bit integers (32-bit ones in a vocabulary of more than 65,536 ids). The seal is chosen so that the last byte of
+the frame is a byte 10.
 
-Spark's own sink writes the frames: each task sends its rows as raw bytes, and
-a lost task's files are written again. Files follow each other by name in the order
-of ``doc_id``, each ordered within. Reading the files back checks all
-checksums, and gives the offset index: a row for each record with its file,
+Spark's own text sink writes the frames as raw bytes, without their last one, which is the row end that it adds; a lost task's files are
+written again. Files lie under ``records`` of the folder and follow each other by name in the order
+of ``doc_id``, each ordered within and made of at most about ``file_bytes`` bytes of text. Reading the files back checks all
+checksums, and gives the offset index, written under ``index``: a row for each record with its file,
 offset and length, from which records can be read in any order.
 
 Nulls and empty texts have the end id only. A null ``doc_id`` comes first and is
@@ -96,8 +96,27 @@ def checksums(parts: list[bytes]) -> np.ndarray:
     return (out >> np.uint32(15) | out << np.uint32(17)) + np.uint32(MASK_DELTA)
 
 
-def frames(payloads: list[bytes]) -> list[bytes]:
-    """The frames of the payloads, without the byte 10 that the sink adds."""
+def seals(bodies: list[bytes]) -> np.ndarray:
+    """Four bytes for each body, as a number, behind which the masked checksum ends in byte 10.
+
+    The other bytes of that checksum are those that the body's own has. The last four bytes lead from any state to any other: the way back is by the tables' last bytes.
+    """
+    table = _tables()[0]
+    last = np.zeros(256, np.uint32)
+    last[table >> np.uint32(24)] = np.arange(256, dtype=np.uint32)
+    own = checksums(bodies)
+    state, wanted = (
+        ~((x - np.uint32(MASK_DELTA)) >> np.uint32(17) | (x - np.uint32(MASK_DELTA)) << np.uint32(15)) for x in (own, own & np.uint32(0xFFFFFF) | np.uint32(10 << 24))
+    )
+    for _ in range(4):
+        at = last[wanted >> np.uint32(24)]
+        wanted = (wanted ^ table[at]) << np.uint32(8) | at
+    return wanted ^ state
+
+
+def frames(bodies: list[bytes]) -> list[bytes]:
+    """The frames of payloads that are sealed here; each ends in byte 10."""
+    payloads = [body + seal.tobytes() for body, seal in zip(bodies, seals(bodies).astype("<u4"), strict=True)]
     lengths = [struct.pack("<Q", len(p)) for p in payloads]
     sums = checksums(lengths + payloads).astype("<u4")
     half = len(payloads)
@@ -108,7 +127,7 @@ def frames(payloads: list[bytes]) -> list[bytes]:
 
 
 def payload(doc_id: int | None, ids: np.ndarray, wide: bool, press: zstandard.ZstdCompressor) -> bytes:
-    """The payload of one record."""
+    """The payload of one record, before it is sealed."""
     body = press.compress(ids.astype("<u4" if wide else "<u2").tobytes())
     return struct.pack("<qI", NO_ID if doc_id is None else doc_id, len(ids)) + body
 
@@ -116,7 +135,7 @@ def payload(doc_id: int | None, ids: np.ndarray, wide: bool, press: zstandard.Zs
 def read_payload(data: bytes, wide: bool) -> tuple[int | None, np.ndarray]:
     """The id and token ids of a payload."""
     doc_id, n = struct.unpack_from("<qI", data)
-    ids = np.frombuffer(zstandard.decompress(data[12:]), "<u4" if wide else "<u2").astype("<u4")
+    ids = np.frombuffer(zstandard.decompress(data[12:-4]), "<u4" if wide else "<u2").astype("<u4")
     if len(ids) != n:
         raise ValueError(f"a record of {len(ids)} ids says that it has {n}")
     return None if doc_id == NO_ID else doc_id, ids
@@ -128,13 +147,13 @@ def read_frames(content: bytes) -> tuple[np.ndarray, list[bytes]]:
     while at < len(content):
         length = content[at : at + 8]
         end = at + 12 + (struct.unpack("<Q", length)[0] if len(length) == 8 else len(content))
-        if end + 5 > len(content) or content[end + 4] != 10:
+        if end + 4 > len(content):
             raise ValueError(f"the record at byte {at} is cut off")
         offsets.append(at)
         lengths.append(length)
         payloads.append(content[at + 12 : end])
         sums += [content[at + 8 : at + 12], content[end : end + 4]]
-        at = end + 5
+        at = end + 4
     told = np.frombuffer(b"".join(sums), "<u4").reshape(-1, 2).T.ravel()
     if (checksums(lengths + payloads) != told).any():
         raise ValueError("a record's checksum is wrong")
@@ -142,7 +161,7 @@ def read_frames(content: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def write_records(
-    docs: DataFrame, path: str, json_path: str, ranks_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str, json_path: str, ranks_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", file_bytes: int = 1 << 28
 ) -> None:
     """Writes the record files of all documents to the folder ``path``."""
 
@@ -152,16 +171,18 @@ def write_records(
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             made = [payload(one, np.append(encoder.encode(value or ""), np.uint32(end_id)), wide, press) for one, value in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(frames(made), pa.binary())], ["frame"])
+            yield pa.RecordBatch.from_arrays([pa.array([frame[:-1] for frame in frames(made)], pa.binary())], ["frame"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    ordered.mapInArrow(framed, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
+    ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
+    ordered.mapInArrow(framed, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(f"{path}/records")
 
 
-def read_index(spark: SparkSession, path: str, json_path: str, ranks_path: str) -> DataFrame:
-    """The offset index, read from the files: a row for each record, with the ids before it in its file."""
+def write_index(spark: SparkSession, path: str, json_path: str, ranks_path: str) -> DataFrame:
+    """Reads and checks the files and writes their offset index: a row for each record, with the ids before it in its file."""
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = text_encoder(json_path, ranks_path).quick.n_vocab > 1 << 16
@@ -181,8 +202,14 @@ def read_index(spark: SparkSession, path: str, json_path: str, ranks_path: str)
                 kinds = [pa.string(), *[pa.int64()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(indexed, INDEX)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
+    files.select("path", "content").mapInArrow(indexed, INDEX).write.parquet(f"{path}/index")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The offset index of the folder ``path``."""
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
