@@ -8,9 +8,10 @@ that key, if at least two documents hold it.
 Batches come in ascending order of ``doc_id``. The runs hold one row for each
 key seen so far, with its owner. A new batch reduces its lines to one row for a
 key (pre-aggregated before the shuffle, so a line that every document holds is a
-few rows), anti-joins the runs and adds what is left as a run of level 0. Once a
-level holds ``fan_in`` runs they are compacted to one run of the next level, so
-a batch reads only about ``log(batches)`` runs. A key is its 128-bit digest.
+few rows), is dealt out by key once, merge-anti-joins the runs one after the other and adds what is left as a run of level 0. Once a
+level holds ``fan_in`` runs they are merged to one run of the next level, so
+a batch joins only about ``log(batches)`` runs. Runs are tables bucketed and sorted by key, so they are never
+dealt out again, neither for a join nor for a merge. A key is its 128-bit digest.
 
 What a document keeps are the run rows that it owns, so no join has a hot key:
 documents and runs meet by ``doc_id``.
@@ -23,6 +24,7 @@ the smallest ``doc_id`` is unique. Extra columns pass through; ``n_lines`` and
 
 from __future__ import annotations
 
+import functools
 from hashlib import md5
 
 import pyarrow as pa
@@ -56,35 +58,54 @@ def line_digests(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Levels of runs of ``(key, owner)``, each sorted by key and holding keys that no other run holds."""
+    """Levels of runs of ``(key, owner)``: tables of ``buckets`` buckets by key, sorted within, each of keys that no other run holds.
 
-    def __init__(self, spark, fan_in: int = 2):
+    The tables' files lie in the shared folder; only their names are in the session's catalog.
+    """
+
+    def __init__(self, spark, fan_in: int = 2, buckets: int | None = None):
         self.spark, self.fan_in = spark, fan_in
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
+    def runs(self) -> list[str]:
+        """The names of all runs' tables, the largest first."""
+        return [name for level in reversed(self.levels) for name in level]
+
     def rows(self) -> DataFrame:
         """All rows of all runs."""
-        paths = [path for level in self.levels for path in level]
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+        return functools.reduce(DataFrame.unionByName, map(self.spark.table, self.runs())) if self.runs() else self.spark.createDataFrame([], RUN)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = fresh_path(self.spark, f"line-run-{level}")
-        rows.sortWithinPartitions("key").write.parquet(path)
+        name = "line_run_" + path.rpartition("-")[2]
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
 
     def add(self, batch: DataFrame) -> None:
         """Adds the keys of ``batch`` (one row each: key, owner) that no run holds."""
-        if any(self.levels):
-            batch = batch.join(self.rows().select("key"), "key", "left_anti")
-        self._write(batch.select("key", "owner"), 0)
+        batch = batch.select("key", "owner")
+        if not any(self.levels):
+            batch = batch.repartition(self.buckets, "key")
+        for run in self.runs():
+            batch = batch.join(self.spark.table(run).select("key").hint("merge"), "key", "left_anti")
+        self._write(batch, 0)
         level = 0
         while len(self.levels[level]) >= self.fan_in:
-            full = self.spark.read.schema(RUN).parquet(*self.levels[level])
-            self.levels[level] = []
+            full, self.levels[level] = self.levels[level], []
             level += 1
-            self._write(full.repartition("key"), level)
+            self._write(functools.reduce(self._merged, map(self.spark.table, full)), level)
+            for name in full:
+                self.spark.sql(f"DROP TABLE {name}")  # of the name; files stay where jobs that have begun may read them
+
+    @staticmethod
+    def _merged(one: DataFrame, two: DataFrame) -> DataFrame:
+        """Both runs; they have no key in common."""
+        two = two.select(F.col("key").alias("_key"), F.col("owner").alias("_owner")).hint("merge")
+        both = one.join(two, F.col("key") == F.col("_key"), "full_outer")
+        return both.select(F.coalesce("key", "_key").alias("key"), F.coalesce("owner", "_owner").alias("owner"))
 
 
 def add_documents(
@@ -106,9 +127,9 @@ def add_documents(
         .select("owner", "batch", F.explode("keys").alias("key"))
         .groupBy("batch", "key")
         .agg(F.min("owner").alias("owner"))
-        .write.parquet(path)
+        .write.partitionBy("batch").parquet(path)
     )
-    lines = spark.read.schema(f"batch int, {RUN}").parquet(path)
+    lines = spark.read.schema(f"{RUN}, batch int").parquet(path)
     for i in range(len({*bounds}) + 1):
         runs.add(lines.where(F.col("batch") == i).drop("batch"))
     return runs

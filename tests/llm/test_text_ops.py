@@ -62,6 +62,10 @@ def test_runs_grow_in_levels(spark, frame):
         line_dedup.add_documents(runs, docs, batches=1)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert runs.rows().count() == 51 and runs.rows().where("owner = 0").count() == 2
+    batch = spark.createDataFrame([(b"x", 1)], line_dedup.RUN)
+    left = batch.join(spark.table(runs.runs()[0]).select("key").hint("merge"), "key", "left_anti")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan  # the run itself isn't dealt out again
 
 
 def test_licenses(frame):
