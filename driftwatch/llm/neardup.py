@@ -13,9 +13,10 @@ class from the start. Buckets of up to ``SMALL`` classes give all pairs whose
 sizes allow the similarity. Larger ones give each class with the bucket's first, and
 then, when these are verified and joined to components, all pairs of different components.
 Two sets of the similarity share more keys than one: what lies beyond the prefixes can't make up for
-too few (``fewest``), so pairs of fewer common keys are left out before they are verified.
-So a large group of near copies costs in proportion to its rows, and no pair
-that could join two components is left out.
+too few (``fewest``), so pairs of fewer common keys are left out before they are verified. In a large bucket each row
+has with it the class's keys of all large buckets: so a pair is counted at once, and emitted in the first of the buckets that it shares.
+A pair that shares small buckets too is known from these.
+No pair that could join two components is left out.
 
 Nulls, empty texts and texts of white space are copies. A null ``doc_id`` links like
 any other, but never names a component and is never dropped.
@@ -91,11 +92,22 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
+def _column(values: pa.Array) -> np.ndarray:
+    """A column of numbers, or of lists of them as an array of arrays."""
+    if not pa.types.is_list(values.type):
+        return values.to_numpy()
+    out = np.empty(len(values), object)
+    flat, ends = values.flatten().to_numpy(), values.offsets.to_numpy() - values.offsets[0].as_py()
+    for i in range(len(values)):
+        out[i] = flat[ends[i] : ends[i + 1]]
+    return out
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
     """``of`` over the columns of whole buckets, which may go on in the next batch. Rows are sorted by the first column."""
     rest: list[np.ndarray] = []
     for batch in batches:
-        new = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        new = [_column(batch.column(i)) for i in range(batch.num_columns)]
         rest = [np.concatenate(x) for x in zip(rest, new, strict=True)] if rest else new
         if len(rest[0]):
             whole = np.searchsorted(rest[0], rest[0][-1])
@@ -146,26 +158,42 @@ def first_pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray)
     yield _batch(key[large], cls[large], None, n[large], fp[large])
 
 
-def cross_pairs(key: np.ndarray, label: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All pairs of different labels in each bucket whose sizes allow the similarity. Rows are sorted by key and label."""
+def cross_pairs(key: np.ndarray, label: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The pairs of different labels in each bucket whose sizes, fingerprints and numbers of common large buckets allow the similarity.
+
+    Rows are sorted by key and label, the ``keys`` of each in ascending order. A pair comes in the bucket of the smallest key that it shares.
+    """
     new = np.concatenate([[True], key[1:] != key[:-1], [True]])
     bounds = np.flatnonzero(new)
     ends = np.repeat(bounds[1:], np.diff(bounds))
     groups = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]), [True]]))
     others = np.repeat(groups[1:], np.diff(groups))  # where the next label begins
+    flat, size = np.concatenate([np.zeros(0, np.int64), *keys]), np.array([len(x) for x in keys], np.int64)
+    start = np.cumsum(size) - size
+    values, ids = np.unique(flat, return_inverse=True)
+    mine, mark = np.searchsorted(values, key), np.zeros(len(values), bool)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     held, last = 0, len(key) - 1
     for row in [*np.flatnonzero(others < ends).tolist(), last]:
         near = np.arange(others[row], ends[row])
         near = near[5 * np.minimum(n[row], n[near]) >= 4 * np.maximum(n[row], n[near])]
-        left.append(np.full(len(near), row))
-        right.append(near)
-        held += len(near)
+        near = near[within(np.full(len(near), fp[row]).view(np.uint64), fp[near].view(np.uint64), BITS)]
+        if len(near):
+            mark[ids[start[row] : start[row] + size[row]]] = True
+            first = np.cumsum(size[near]) - size[near]
+            at = np.repeat(start[near] - first, size[near]) + np.arange(size[near].sum())
+            shared = mark[ids[at]]
+            ok = np.add.reduceat(shared, first, dtype=np.int64) >= fewest(n[row], n[near])
+            ok &= ~np.logical_or.reduceat(shared & (ids[at] < mine[row]), first)
+            mark[ids[start[row] : start[row] + size[row]]] = False
+            near = near[ok]
+            left.append(np.full(len(near), row))
+            right.append(near)
+            held += len(near)
         if held >= BATCH or row == last and held:
             a, b = np.concatenate(left), np.concatenate(right)
-            ok = within(fp[a].view(np.uint64), fp[b].view(np.uint64), BITS)
-            yield _batch(key[a[ok]], cls[a[ok]], cls[b[ok]], fewest(n[a[ok]], n[b[ok]]), fp[a[ok]])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], ["a", "b"])
             left, right, held = [], [], 0
 
 
@@ -184,15 +212,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
         digests = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
         return pa.StructArray.from_arrays([pa.array(digests), _lists(sets)], ["d", "hashes"])
 
-    @F.arrow_udf("boolean")
-    def alike(one: pa.Array, two: pa.Array) -> pa.Array:
-        out = []
-        for i in range(len(one)):
-            x, y = one[i].values.to_numpy(), two[i].values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(5 * both >= 4 * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
-
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     needed = materialize(needed.join(classes, "cls"), "near-needed")
     slot = F.pmod(F.xxhash64(F.col("first").cast("string")), F.lit(SLOTS)).cast("int")
@@ -213,7 +232,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
     sets = materialize(sets, "near-sets")
     one = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("one"))
     two = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("two"))
-    return pairs.join(one, "a").join(two, "b").where(alike("one", "two")).select("a", "b")
+    both = F.size(F.array_intersect("one", "two"))
+    return pairs.join(one, "a").join(two, "b").where(5 * both >= 4 * (F.size("one") + F.size("two") - both)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -245,13 +265,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = components(links)
     large = found.where("b IS NULL")
     if not large.isEmpty():
+        lists = materialize(large.groupBy(F.col("a").alias("cls")).agg(F.array_sort(F.collect_list("key")).alias("keys")), "near-large")  # of a prefix at most
         label = F.coalesce("component", "a").alias("label")
-        rows = large.join(joined, large.a == joined.node, "left").select("key", label, F.col("a").alias("cls"), "n", "fp")
-        rows = rows.repartition("key").sortWithinPartitions("key", "label", "cls")
-        more = rows.mapInArrow(lambda batches: _buckets(batches, cross_pairs), "key long, a long, b long, n long, fp long")
+        rows = large.join(joined, large.a == joined.node, "left").select("key", label, F.col("a").alias("cls"), "n", "fp").join(lists, "cls")
+        rows = rows.select("key", "label", "cls", "n", "fp", "keys").repartition("key").sortWithinPartitions("key", "label", "cls")
+        more = rows.mapInArrow(lambda batches: _buckets(batches, cross_pairs), "a long, b long")
         sized = large.groupBy("key").agg(F.lit(True).alias("large"))
         small = found.where("b IS NOT NULL").join(sized, "key", "left_anti")
-        more = materialize(_enough(more.unionByName(small)).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+        small = small.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n")).where("k < n")
+        one, two = (lists.select(F.col("cls").alias(c), F.col("keys").alias(f"{c}_keys")) for c in "ab")
+        known = small.join(one, "a").join(two, "b").where(F.col("k") + F.size(F.array_intersect("a_keys", "b_keys")) >= F.col("n")).select("a", "b")
+        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(known).distinct()
+        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
         links = materialize(links.unionByName(_verified(more, classes, docs, words)), "near-links")
         joined = components(links)
     of_class = classes.join(joined, classes.cls == joined.node, "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
