@@ -30,6 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the Arrow batches of the session to about ``size`` bytes, 1,000 rows at most: texts may be long, and a task holds several copies of a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other job uses."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
