@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import json
 import re
 
 import numpy as np
@@ -40,7 +39,7 @@ class TextEncoder:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         with open(json_path, encoding="utf-8") as file:
-            self.end_id = next(x["id"] for x in json.load(file)["added_tokens"] if x["content"] == END_OF_TEXT)
+            self.end_id = int(re.search(rf'"id":\s*(\d+),\s*"content":\s*"{re.escape(END_OF_TEXT)}"', file.read())[1])
         self.quick = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: self.end_id}
         )
