@@ -56,19 +56,19 @@ def window_spectra(spark: SparkSession, d: str) -> DataFrame:
     return _samples(G.spectrum_of(rows, "embedding", RATE, 16), "psd", 9)
 
 
-@query(with_tables("flat", BAND + "\nSELECT vec_id, i, round(x, 6) AS x FROM twice"))
+@query(with_tables("flat", BAND + "\nSELECT vec_id, i, round(x, 6) + 0 AS x FROM twice"))
 def bandpassed_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = _doubles(table(spark, d, "embeddings"), "embedding")
     return _samples(G.bandpassed(rows, "embedding", RATE, LOW, HIGH, 33), "filtered")
 
 
-@query(with_tables("flat", SPECTRA + "\nSELECT vec_id, i, round(w, 6) AS x FROM white"))
+@query(with_tables("flat", SPECTRA + "\nSELECT vec_id, i, round(w, 6) + 0 AS x FROM white"))
 def whitened_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = _doubles(table(spark, d, "embeddings"), "embedding")
     return _samples(G.whitened(rows, "embedding", RATE, 16, 0.25), "white")
 
 
-@query(with_tables("flat", """SELECT vec_id, (dim + 64 - 5) % 64 AS i, round(x, 6) AS x FROM flat"""))
+@query(with_tables("flat", """SELECT vec_id, (dim + 64 - 5) % 64 AS i, round(x, 6) + 0 AS x FROM flat"""))
 def delayed_windows(spark: SparkSession, d: str) -> DataFrame:
     """Three samples ahead, and two more."""
     rows = _doubles(table(spark, d, "embeddings"), "embedding")
@@ -104,13 +104,13 @@ metrics AS (SELECT vec_id, sqrt(greatest(c, 0)) AS rho, n / greatest(c, 1e-12) A
   FROM best JOIN corr USING (vec_id) JOIN band USING (vec_id) JOIN peak USING (vec_id) JOIN zero USING (vec_id))"""
 
 
-@query(with_tables("flat", METRICS + "\nSELECT vec_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in (*G.METRICS, *G.EXTRA)) + ", true AS success, CAST(NULL AS VARCHAR) AS error FROM metrics"))
+@query(with_tables("flat", METRICS + "\nSELECT vec_id, " + ", ".join(f"round({n}, 6) + 0 AS {n}" for n in (*G.METRICS, *G.EXTRA)) + ", true AS success, CAST(NULL AS VARCHAR) AS error FROM metrics"))
 def coherence_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _metrics(spark, d).select("vec_id", *[F.round(n, 6).alias(n) for n in (*G.METRICS, *G.EXTRA)], "success", "error")
 
 
 @query(with_tables("flat", METRICS + """
-SELECT vec_id, round(cc, 6) AS cc, round(edr, 6) AS edr, round(coh_max, 6) AS coh_max, concat_ws('; ', CASE WHEN cc < 0.1 THEN 'cc < 0.1' END, CASE WHEN edr > 5 THEN 'edr > 5' END, CASE WHEN coh_max < 0.2 THEN 'coh_max < 0.2' END) AS cuts,
+SELECT vec_id, round(cc, 6) + 0 AS cc, round(edr, 6) AS edr, round(coh_max, 6) AS coh_max, concat_ws('; ', CASE WHEN cc < 0.1 THEN 'cc < 0.1' END, CASE WHEN edr > 5 THEN 'edr > 5' END, CASE WHEN coh_max < 0.2 THEN 'coh_max < 0.2' END) AS cuts,
 cc < 0.1 OR edr > 5 OR coh_max < 0.2 AS vetoed FROM metrics"""))
 def coherence_vetoes(spark: SparkSession, d: str) -> DataFrame:
     cuts = {"cc": {"min": 0.1, "max": None}, "edr": {"min": None, "max": 5.0}, "coh_max": {"min": 0.2, "max": None}}
@@ -131,7 +131,7 @@ placed AS (SELECT vec_id, dim + 32 - top AS i, l AS ph, h AS pl FROM hl JOIN top
 bins AS (SELECT vec_id, j, sum(ph * cos(2 * pi() * i * j / 64)) ** 2 + sum(ph * sin(2 * pi() * i * j / 64)) ** 2 AS h, sum(pl * cos(2 * pi() * i * j / 64)) ** 2 + sum(pl * sin(2 * pi() * i * j / 64)) ** 2 AS l
   FROM placed, (SELECT unnest(range(33)) AS j) GROUP BY ALL),
 strength AS (SELECT b.vec_id, sqrt(sum(4 * (b.h / x.d + b.l / y.d) / 4096)) AS snr FROM bins b JOIN density x ON x.vec_id = b.vec_id AND x.j = b.j JOIN density y ON y.vec_id = b.vec_id + 1 AND y.j = b.j GROUP BY 1)
-SELECT vec_id, CASE WHEN label < 8 THEN 12.0::DOUBLE END AS snr, dim AS i, round(h + CASE WHEN label < 8 THEN coalesce(ph, 0) * 12 / s.snr ELSE 0 END, 6) AS h, round(l + CASE WHEN label < 8 THEN coalesce(pl, 0) * 12 / s.snr ELSE 0 END, 6) AS l
+SELECT vec_id, CASE WHEN label < 8 THEN 12.0::DOUBLE END AS snr, dim AS i, round(h + CASE WHEN label < 8 THEN coalesce(ph, 0) * 12 / s.snr ELSE 0 END, 6) + 0 AS h, round(l + CASE WHEN label < 8 THEN coalesce(pl, 0) * 12 / s.snr ELSE 0 END, 6) + 0 AS l
 FROM hl JOIN strength s USING (vec_id) LEFT JOIN placed p ON p.vec_id = hl.vec_id AND p.i = hl.dim"""))
 def injected_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = _doubles(V.pairs(spark, d), "h", "l").withColumn("snr", F.when(F.col("label") < 8, F.lit(12.0)))
