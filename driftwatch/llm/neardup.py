@@ -1,6 +1,6 @@
 """SimHash near-dedup at a similarity: five-word shingles and a Jaccard similarity of 0.8 or more.
 
-The same fingerprints and pigeonring chains as in ``simhash``, with a wide budget. At a similarity of 4/5
+Fingerprints and pigeonring chains as in ``simhash``, with a wide budget; a shingle's hash is mixed from its words' hashes. At a similarity of 4/5
 two fingerprints of 64 bits differ in 10 bits on average and in more than ``BITS`` = 28 about once in 10^8 pairs; they are
 taken over the set of shingles, as the similarity is. No equal segments are sure within so many bits, so the keys
 under which texts are filed are shingles: with all shingles in one common order, two sets of
@@ -8,7 +8,7 @@ the similarity share one among the first ``n - ceil(4 n / 5) + 1`` of each. A pa
 chain of segments that keeps its shares of the budget, then pass the full Hamming check, and at last the exact similarity of the whole sets.
 
 The order is by hash, but shingles that are common in a sample of the texts come
-last. The sample only sets the order: results are the same with any. Texts of equal sets are one
+last. The sample only sets the order: results are the same with any. Texts of equal words are one
 class from the start. Buckets of up to ``SMALL`` classes give all pairs whose
 sizes allow the similarity. Larger ones give each class with the bucket's first, and
 then, when these are verified and joined to components, all pairs of different components.
@@ -25,11 +25,12 @@ any other, but never names a component and is never dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm.components import components
@@ -45,18 +46,34 @@ SMALL = 64
 SAMPLE, COMMON, MOST = 4_000, 1 / 1000, 1 << 16
 #: Slots by which documents of no candidate pair are left out before a join.
 SLOTS = 1 << 20
-#: Pairs in a batch.
-BATCH = 1 << 16
+#: Pairs in a batch, and bytes of rows of buckets that are taken together.
+BATCH, HELD = 1 << 16, 4 << 20
+#: Odd factors by which the hashes of words become the hash of a shingle.
+MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of the shingles of a text; a text of fewer words is one shingle."""
-    found = text.encode().translate(LOWERED).split()
+def split(text: str | None) -> list[bytes]:
+    """The words of a text, with A-Z lower-cased."""
+    return (text or "").encode().translate(LOWERED).split()
+
+
+def class_of(found: list[bytes]) -> int:
+    """The digest of a text's words, which copies have in common."""
+    return xxhash.xxh64_intdigest(b" ".join(found), SEED)
+
+
+def shingles(found: list[bytes], words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text's words, each mixed from the words' hashes; fewer words are one shingle."""
     if not found:
         return np.zeros(0, np.uint64)
-    join, digest = b" ".join, xxhash.xxh64_intdigest
-    parts = [join(found)] if len(found) <= words else map(join, zip(*(found[i:] for i in range(words)), strict=False))
-    return np.unique(np.fromiter((digest(x, SEED) for x in parts), np.uint64))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found))
+    width = min(words, len(found))
+    out = np.zeros(len(found) - width + 1, np.uint64)
+    for i in range(width):
+        out = out * MIX[0] + hashes[i : i + len(out)]
+    for factor in MIX[1:]:
+        out = (out ^ (out >> np.uint64(33))) * factor
+    return np.unique(out ^ (out >> np.uint64(33)))
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -69,8 +86,12 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return hashes[: len(hashes) - -(-4 * len(hashes) // 5) + 1]
 
 
-def _digest(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+def _classes(text: Column) -> Column:
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([class_of(split(x)) for x in texts.to_pylist()], np.uint64).view(np.int64))
+
+    return of(text)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -81,7 +102,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def _common(docs: DataFrame, words: int) -> np.ndarray:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(x or "", words) for x in batch.column(0).to_pylist()]
+            found = [shingles(split(x), words) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
 
     n = docs.count()
@@ -104,18 +125,23 @@ def _column(values: pa.Array) -> np.ndarray:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
-    """``of`` over the columns of whole buckets, which may go on in the next batch. Rows are sorted by the first column."""
-    rest: list[np.ndarray] = []
+    """``of`` over the columns of whole buckets, many at once. Rows are sorted by the first column."""
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, HELD
     for batch in batches:
-        new = [_column(batch.column(i)) for i in range(batch.num_columns)]
-        rest = [np.concatenate(x) for x in zip(rest, new, strict=True)] if rest else new
-        if len(rest[0]):
-            whole = np.searchsorted(rest[0], rest[0][-1])
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            rows = pa.concat_batches(held)
+            key = rows.column(0).to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
             if whole:
-                yield from of(*(x[:whole] for x in rest))
-                rest = [x[whole:] for x in rest]
-    if rest and len(rest[0]):
-        yield from of(*rest)
+                yield from of(*map(_column, rows.slice(0, whole).columns))
+            held = [rows.slice(whole)]
+            size = held[0].nbytes
+            limit = max(HELD, 2 * size)
+    if held and (rows := pa.concat_batches(held)).num_rows:
+        yield from of(*map(_column, rows.columns))
 
 
 def _batch(key: np.ndarray, a: np.ndarray, b: np.ndarray | None, n: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -123,6 +149,11 @@ def _batch(key: np.ndarray, a: np.ndarray, b: np.ndarray | None, n: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), other, pa.array(n), pa.array(fp)], ["key", "a", "b", "n", "fp"])
 
 
+def _paired(key: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (one, two))
+    return _batch(key[a], cls[a], cls[b], fewest(n[a], n[b]), fp[a])
+
+
 def fewest(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The least number of keys that the prefixes of two sets of these sizes share if the sets have the similarity.
 
@@ -145,16 +176,27 @@ def first_pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray)
     rows = np.flatnonzero((size > 1) & (size <= SMALL))
     large = np.flatnonzero(size > SMALL)
     firsts = np.repeat(bounds[:-1], np.diff(bounds))[large]
-    pairs = [(large, firsts)]
-    for off in range(1, SMALL):
-        rows = rows[rows + off < ends[rows]]
-        if not len(rows):
-            break
-        pairs.append((rows, rows + off))
-    for a, b in pairs:
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield large, firsts
+        left = rows
+        for off in range(1, SMALL):
+            left = left[left + off < ends[left]]
+            if not len(left):
+                return
+            yield left, left + off
+
+    one: list[np.ndarray] = []
+    two: list[np.ndarray] = []
+    for a, b in pairs():
         a, b = a[cls[a] != cls[b]], b[cls[a] != cls[b]]
         ok = _may_be(n, fp, a, b)
-        yield _batch(key[a[ok]], cls[a[ok]], cls[b[ok]], fewest(n[a[ok]], n[b[ok]]), fp[a[ok]])
+        one.append(a[ok])
+        two.append(b[ok])
+        if sum(map(len, one)) >= BATCH:
+            yield _paired(key, cls, n, fp, one, two)
+            one, two = [], []
+    yield _paired(key, cls, n, fp, one, two)
     yield _batch(key[large], cls[large], None, n[large], fp[large])
 
 
@@ -206,11 +248,14 @@ def _enough(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs whose whole sets have the similarity."""
 
-    @F.arrow_udf("struct<d:long,hashes:array<long>>")
-    def whole(texts: pa.Array) -> pa.Array:
-        sets = [shingles(x or "", words) for x in texts.to_pylist()]
-        digests = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(digests), _lists(sets)], ["d", "hashes"])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, sets = [], []
+            for mine, text in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1).to_pylist(), strict=True):
+                if class_of(found := split(text)) == mine:  # the id may have another text too
+                    cls.append(mine)
+                    sets.append(shingles(found, words))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(cls, np.uint64).view(np.int64)), _lists(sets)], ["cls", "hashes"])
 
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     needed = materialize(needed.join(classes, "cls"), "near-needed")
@@ -226,9 +271,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
     texts = some.join(needed, F.col("doc_id") == F.col("first")).select("cls", "text")
     nameless = needed.where(F.col("first").isNull()).select("cls")  # only documents of null id have these sets
     texts = texts.unionByName(
-        docs.where("doc_id IS NULL").withColumn("_d", whole("text")["d"]).join(nameless, F.col("_d") == F.col("cls")).select("cls", "text")
+        docs.where("doc_id IS NULL").withColumn("_d", _classes(F.col("text"))).join(nameless, F.col("_d") == F.col("cls")).select("cls", "text")
     )
-    sets = texts.withColumn("_w", whole("text")).where("_w.d = cls").groupBy("cls").agg(F.first("_w.hashes").alias("hashes"))
+    sets = texts.mapInArrow(whole, "cls long, hashes array<long>").groupBy("cls").agg(F.first("hashes").alias("hashes"))
     sets = materialize(sets, "near-sets")
     one = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("one"))
     two = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("two"))
@@ -245,16 +290,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def marked(texts: pa.Array) -> pa.Array:
         digests, sizes, prints, keys = [], [], [], []
         for x in texts.to_pylist():
-            hashes = shingles(x or "", words)
-            digests.append(_digest(hashes))
+            found = split(x)
+            hashes = shingles(found, words)
+            digests.append(class_of(found))
             sizes.append(len(hashes))
             prints.append(majority(hashes))
             keys.append(prefix(hashes, common))
         digests, prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (digests, prints))
         return pa.StructArray.from_arrays([digests, pa.array(sizes, pa.int64()), prints, _lists(keys)], ["cls", "n", "fp", "keys"])
 
-    # hashed twice: to write the prefixes beside the ids would take more disk than time
-    marks = materialize(docs.select("doc_id", marked("text").alias("m")).select("doc_id", "m.cls"), "near-marks")
+    # read twice: to write the prefixes beside the ids would take more disk than time
+    marks = materialize(docs.select("doc_id", _classes(F.col("text")).alias("cls")), "near-marks")
     classes = materialize(marks.groupBy("cls").agg(F.min("doc_id").alias("first")), "near-classes")
     sets = docs.select(marked("text").alias("m")).groupBy("m.cls").agg(*[F.first(f"m.{x}").alias(x) for x in ("n", "fp", "keys")])
     keys = sets.select(F.explode("keys").alias("key"), "cls", "n", "fp").repartition("key").sortWithinPartitions("key", "cls")
