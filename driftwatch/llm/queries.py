@@ -79,7 +79,8 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     own = [rule.kind for rule in secret_scan.BASE]
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    number = [F.size(F.filter("spans", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in own]
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    number = [count(kind).alias(f"n_{kind}") for kind in own]
     base = F.filter("spans", lambda x: x["kind"].isin(own))
     return done.select("doc_id", *number, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 

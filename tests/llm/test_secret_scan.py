@@ -1,10 +1,12 @@
 """Secret scans against Python's own expressions over random texts, and edge cases."""
 
+import hashlib
 import random
 import re
 
 import pytest
 
+from driftwatch.llm import queries
 from driftwatch.llm import secret_scan as S
 from driftwatch.llm.automata import compiled, parse
 
@@ -74,3 +76,15 @@ def test_masks(frame):
     rows = frame([(1, f"é token={key}! and AKIAABCDEFGH1234 end"), (2, "plain"), (3, None), (4, key)], "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_masked"]) for r in S.mask(rows).collect()}
     assert got == {1: ("é [assign]! and [access] end", 2), 2: ("plain", 0), 3: (None, 0), 4: ("[hex]", 1)}
+
+
+def test_query_digests(spark, tmp_path):
+    texts = ["é token=12345678 and AKIAABCDEFGH1234", "0123456789abcdef" * 2 + " ghp_" + "A" * 36, None, "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op11_secret_scan(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        spans = plainly(text or "")
+        base = [s for s in spans if s[0] in ("assign", "access", "hex")]
+        text_of = lambda own: ",".join(f"{k}:{a}:{b}" for k, a, b in own)
+        assert got[i]["spans"] == text_of(spans) and got[i]["base_sha256"] == hashlib.sha256(text_of(base).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s[0] == k for s in base) for k in ("assign", "access", "hex")]
