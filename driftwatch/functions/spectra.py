@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -46,24 +48,43 @@ def bandpass(x: np.ndarray, rate: float, low: float, high: float, taps: int) ->
     return passed(passed(wide)[..., ::-1])[..., ::-1][..., pad : pad + x.shape[-1]]
 
 
-def whiten(x: np.ndarray, power: np.ndarray, rate: float, duration: float, highpass: float = 0.0) -> np.ndarray:
-    """The series divided by its amplitude spectrum; the filter is cut to ``duration`` seconds, half of which go at either end."""
-    n, taps = x.shape[-1], int(duration * rate)
+def _response(power: np.ndarray, rate: float, duration: float, highpass: float, n: int) -> np.ndarray:
+    """The whitening filter of each spectrum over ``n`` samples, lag zero first, cut to under half of ``duration`` seconds on either side."""
     f = np.fft.rfftfreq(n, 1 / rate)
     grid = np.fft.rfftfreq(2 * (power.shape[-1] - 1), 1 / rate)
     inverse = np.stack([np.interp(f, grid, row) for row in power.reshape(-1, power.shape[-1])]).reshape(*power.shape[:-1], -1) ** -0.5
     inverse[..., f < highpass] = 0
     inverse[..., 0] = 0
     response = np.fft.irfft(inverse, n)
-    half = taps // 2
-    window = hann(taps)[half:]
+    half = int(duration * rate) // 2
+    window = hann(int(duration * rate))[half:]
     response[..., :half] *= window
     response[..., n - half + 1 :] *= window[1:][::-1]
     response[..., half : n - half + 1] = 0
+    return response
+
+
+def whiten(x: np.ndarray, power: np.ndarray, rate: float, duration: float, highpass: float = 0.0) -> np.ndarray:
+    """The series divided by its amplitude spectrum; the filter is cut to ``duration`` seconds, half of which go at either end."""
+    n, half = x.shape[-1], int(duration * rate) // 2
+    response = _response(power, rate, duration, highpass, n)
     out = np.fft.irfft(np.fft.rfft(x - x.mean(-1, keepdims=True)) * np.fft.rfft(response), n) * np.sqrt(2 / rate)
     return out[..., half : n - half]
 
 
+def whitening_taps(power: np.ndarray, rate: float, duration: float, highpass: float, n: int) -> np.ndarray:
+    """The whitening filter as taps from the earliest lag to the latest, of a grid of ``n`` samples: the same for a series of any length."""
+    half = int(duration * rate) // 2
+    return np.roll(_response(power, rate, duration, highpass, n), half - 1, -1)[..., : 2 * half - 1] * np.sqrt(2 / rate)
+
+
+def convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The series under a filter of an odd number of centred taps, without samples beyond its ends."""
+    size = x.shape[-1] + taps.shape[-1] - 1
+    at = taps.shape[-1] // 2
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps, size), size)[..., at : at + x.shape[-1]]
+
+
 def fractional_delay(x: np.ndarray, rate: float, tau: float | np.ndarray) -> np.ndarray:
     """The series ``tau`` seconds ahead, so that later samples come earlier, by the phase of its spectrum; an array of delays adds an axis in front."""
     tau = np.asarray(tau)
@@ -95,44 +116,72 @@ def band_spectra(x: np.ndarray, rate: float, low: float, high: float, nfft: int
     return f[band], out
 
 
-def coherent_statistics(f: np.ndarray, a: np.ndarray, b: np.ndarray, taus: np.ndarray) -> dict[str, np.ndarray]:
-    """Coherent and null energies of two spectra at frequencies ``f``, for each time ``taus`` by which the second is moved ahead: arrays of shape (taus, rows).
+@lru_cache(maxsize=8)
+def _phases(f: bytes, taus: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines and sines of all frequencies at all delays: two matrices (bins, delays)."""
+    angle = 2 * np.pi * np.outer(np.frombuffer(f), np.frombuffer(taus))
+    return np.cos(angle), np.sin(angle)
 
-    C is the cross energy, N the energy that isn't common, E the total. ``cc`` = C / (|C| + N),
-    ``rho`` = sqrt(C / (K - 1)) for K = 2 detectors, ``edr`` = N / C, ``scc`` = (E - Em) / ((E - Em) + (E - L) + n)
-    with Em the sum over frequencies of the larger detector's energy, L the common energy and n the number of bins. An empty band gives NaN.
-    The energies themselves are ``c_energy``, ``n_energy``, ``e_total``, ``e_max``, ``l_energy``, and ``nbins``.
+
+def cross_energies(f: np.ndarray, a: np.ndarray, b: np.ndarray, taus: np.ndarray) -> np.ndarray:
+    """The cross energy of each pair of spectra for each delay, (rows, delays): of the cross spectrum's parts, one matrix product each.
+
+    With ``b`` moved ahead by tau, it is ``2 Re(sum a conj(b) exp(-2 pi i f tau))``, so no spectrum is moved.
     """
-    if not len(f):
-        nothing = np.full((len(taus), *a.shape[:-1]), np.nan)
-        return dict.fromkeys(STATISTICS, nothing) | {"nbins": np.zeros_like(nothing)}
-    moved = b * np.exp(2j * np.pi * f * taus.reshape(-1, *[1] * b.ndim))
-    c = 2 * (a * moved.conj()).real.sum(-1)
-    null = (np.abs(a - moved) ** 2).sum(-1) / 2
-    ea, eb = np.abs(a) ** 2, np.abs(b) ** 2
-    total, largest, common = (ea + eb).sum(-1), np.maximum(ea, eb).sum(-1), (np.abs(a + moved) ** 2).sum(-1) / 2
-    plus = np.maximum(c, 0)
-    gain = total - largest
+    cos, sin = _phases(np.ascontiguousarray(f, float).tobytes(), np.ascontiguousarray(taus, float).tobytes())
+    cross = a * b.conj()
+    return 2 * (cross.real @ cos + cross.imag @ sin)
+
+
+def _from_cross(c: np.ndarray, total: np.ndarray, largest: np.ndarray, bins: int) -> dict[str, np.ndarray]:
+    """The statistics from cross energies; the null energy is half of what is left of the total, the common one half of both together."""
+    null, common = np.maximum(total - c, 0) / 2, np.maximum(total + c, 0) / 2
+    plus, gain = np.maximum(c, 0), total - largest
     return {
         "cc": c / (np.abs(c) + null + EPS),
         "rho": np.sqrt(plus),
-        "scc": gain / (gain + (total - common) + len(f)),
+        "scc": gain / (gain + (total - common) + bins),
         "edr": null / np.maximum(plus, EPS),
         "c_energy": c,
         "n_energy": null,
         "e_total": np.broadcast_to(total, c.shape),
         "e_max": np.broadcast_to(largest, c.shape),
         "l_energy": common,
-        "nbins": np.full(c.shape, float(len(f))),
+        "nbins": np.full(c.shape, float(bins)),
     }
 
 
+def _energies(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ea, eb = np.abs(a) ** 2, np.abs(b) ** 2
+    return (ea + eb).sum(-1), np.maximum(ea, eb).sum(-1)
+
+
+def coherent_statistics(f: np.ndarray, a: np.ndarray, b: np.ndarray, taus: np.ndarray) -> dict[str, np.ndarray]:
+    """Coherent and null energies of two spectra at frequencies ``f``, for each time ``taus`` by which the second is moved ahead: arrays of shape (taus, rows).
+
+    C is the cross energy, N the energy that isn't common, E the total. ``cc`` = C / (|C| + N),
+    ``rho`` = sqrt(C / (K - 1)) for K = 2 detectors, ``edr`` = N / C, ``scc`` = (E - Em) / ((E - Em) + (E - L) + n)
+    with Em the sum over frequencies of the larger detector's energy, L the common energy and n the number of bins. An empty band gives NaN.
+    The energies themselves are ``c_energy``, ``n_energy``, ``e_total``, ``e_max``, ``l_energy``, and ``nbins``.
+    """
+    if not len(f):
+        nothing = np.full((len(taus), *a.shape[:-1]), np.nan)
+        return dict.fromkeys(STATISTICS, nothing) | {"nbins": np.zeros_like(nothing)}
+    return _from_cross(cross_energies(f, a, b, taus).T, *_energies(a, b), len(f))
+
+
 def scan_delays(f: np.ndarray, a: np.ndarray, b: np.ndarray, most: float = 0.01, n: int = 81) -> dict[str, np.ndarray]:
-    """The statistics at the delay of largest finite ``cc``, the first of equal ones, with that delay as ``tau``."""
+    """The statistics at the delay of largest finite ``cc``, the first of equal ones, with that delay as ``tau``.
+
+    Only cross energies are kept for all delays: rows times delays numbers. ``cc`` follows from them and the total.
+    """
     taus = np.linspace(-most, most, n)
-    stats = coherent_statistics(f, a, b, taus)
-    best = np.where(np.isfinite(stats["cc"]), stats["cc"], -np.inf).argmax(0)
-    out = {name: np.take_along_axis(x, best[None], 0)[0] for name, x in stats.items()}
+    if not len(f):
+        return {name: x[0] for name, x in coherent_statistics(f, a, b, taus).items()} | {"tau": np.full(a.shape[:-1], np.nan)}
+    c, (total, largest) = cross_energies(f, a, b, taus), _energies(a, b)
+    cc = c / (np.abs(c) + np.maximum(total[:, None] - c, 0) / 2 + EPS)
+    best = np.where(np.isfinite(cc), cc, -np.inf).argmax(1)
+    out = _from_cross(np.take_along_axis(c, best[:, None], 1)[:, 0], total, largest, len(f))
     return out | {"tau": np.where(np.isfinite(out["cc"]), taus[best], np.nan)}
 
 

@@ -92,6 +92,8 @@ sums AS (SELECT vec_id, t, tau, sum(2 * (hr * mr + hi * mi)) AS c, sum((hr - mr)
 best AS (SELECT *, c / (abs(c) + n + 1e-12) AS cc FROM sums QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c / (abs(c) + n + 1e-12) DESC, t) = 1),
 corr AS (SELECT vec_id, sum(hr * lr + hi * li) / (sqrt(sum(hr ** 2 + hi ** 2) * sum(lr ** 2 + li ** 2)) + 1e-12) AS re, sum(hi * lr - hr * li) / (sqrt(sum(hr ** 2 + hi ** 2) * sum(lr ** 2 + li ** 2)) + 1e-12) AS im
   FROM bins GROUP BY vec_id),
+ahead AS (SELECT m.vec_id, sum(hr * mr + hi * mi) / (sqrt(sum(hr ** 2 + hi ** 2) * sum(lr ** 2 + li ** 2)) + 1e-12) AS bre, sum(hi * mr - hr * mi) / (sqrt(sum(hr ** 2 + hi ** 2) * sum(lr ** 2 + li ** 2)) + 1e-12) AS bim
+  FROM moved m JOIN best b ON b.vec_id = m.vec_id AND b.t = m.t GROUP BY 1),
 coh AS (SELECT a.vec_id, a.k, (avg(a.re * b.re + a.im * b.im) ** 2 + avg(a.im * b.re - a.re * b.im) ** 2) / (avg(a.re ** 2 + a.im ** 2) * avg(b.re ** 2 + b.im ** 2)) AS v
   FROM spec a JOIN spec b ON b.vec_id = a.vec_id + 1 AND b.s = a.s AND b.k = a.k WHERE a.k BETWEEN 1 AND 7 GROUP BY ALL),
 band AS (SELECT vec_id, avg(v) AS coh_mean, max(v) AS coh_max FROM coh GROUP BY vec_id),
@@ -100,8 +102,9 @@ lags AS (SELECT a.vec_id, a.dim - b.dim AS lag, sum(a.x * b.x) / any_value(sqrt(
 peak AS (SELECT vec_id, v AS xcorr, lag FROM lags QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, lag) = 1),
 zero AS (SELECT vec_id, v AS zero_lag FROM lags WHERE lag = 0),
 metrics AS (SELECT vec_id, sqrt(greatest(c, 0)) AS rho, n / greatest(c, 1e-12) AS edr, cc, (e - em) / (e - em + e - l + nbins) AS scc, coh_max, coh_mean, sqrt(re * re + im * im) AS corr_mag_fd,
-  re AS corr_real_fd, tau, xcorr, lag::DOUBLE AS lag, zero_lag, im AS corr_imag_fd, atan2(im, re) AS corr_phase_fd, c AS c_energy, n AS n_energy, e AS e_total, em AS e_max, l AS l_energy, nbins
-  FROM best JOIN corr USING (vec_id) JOIN band USING (vec_id) JOIN peak USING (vec_id) JOIN zero USING (vec_id))"""
+  re AS corr_real_fd, tau, xcorr, lag::DOUBLE AS lag, zero_lag, im AS corr_imag_fd, atan2(im, re) AS corr_phase_fd, c AS c_energy, n AS n_energy, e AS e_total, em AS e_max, l AS l_energy, nbins,
+  sqrt(bre * bre + bim * bim) AS corr_mag_fd_best, bre AS corr_real_fd_best, bim AS corr_imag_fd_best, atan2(bim, bre) AS corr_phase_fd_best
+  FROM best JOIN corr USING (vec_id) JOIN ahead USING (vec_id) JOIN band USING (vec_id) JOIN peak USING (vec_id) JOIN zero USING (vec_id))"""
 
 
 @query(with_tables("flat", METRICS + "\nSELECT vec_id, " + ", ".join(f"round({n}, 6) + 0 AS {n}" for n in (*G.METRICS, *G.EXTRA)) + ", true AS success, CAST(NULL AS VARCHAR) AS error FROM metrics"))
@@ -141,18 +144,64 @@ def injected_windows(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("vec_id", "snr", F.col("i").cast("long").alias("i"), F.round("x.h_injected", 6).alias("h"), F.round("x.l_injected", 6).alias("l"))
 
 
-@query(with_tables("flat", SPECTRA + """,
+#: The 96 samples in front of each vector, their spectrum (11 segments), and the vector whitened with it.
+LED = """+lead AS (SELECT t.vec_id, f.dim + 64 * (f.vec_id - t.vec_id) + 96 AS p, f.x FROM (SELECT DISTINCT vec_id FROM flat) t JOIN flat f ON f.vec_id BETWEEN t.vec_id - 2 AND t.vec_id - 1 WHERE f.dim + 64 * (f.vec_id - t.vec_id) + 96 >= 0),
+seg AS (SELECT vec_id, s, p - 8 * s AS j, x - avg(x) OVER (PARTITION BY vec_id, s) AS x FROM lead, (SELECT unnest(range(11)) AS s) WHERE p >= 8 * s AND p < 8 * s + 16),
+spec AS (SELECT vec_id, s, k, sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * cos(2 * pi() * k * j / 16)) AS re,
+  sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * sin(2 * pi() * k * j / 16)) AS im FROM seg, (SELECT unnest(range(9)) AS k) GROUP BY ALL),
+bias AS (SELECT 1 + sum(1 / (2 * k + 1)::DOUBLE - 1 / (2 * k)::DOUBLE) AS bias FROM (SELECT unnest(range(1, 6)) AS k)),
+power AS (SELECT vec_id, k, median((re * re + im * im) / 384 * CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END) / any_value(bias) AS p FROM spec, bias GROUP BY ALL),
+density AS (SELECT a.vec_id, j, a.p + coalesce((b.p - a.p) * (j % 4) / 4.0::DOUBLE, 0) AS d FROM power a JOIN (SELECT unnest(range(33)) AS j) ON a.k = j // 4
+  LEFT JOIN power b ON b.vec_id = a.vec_id AND b.k = a.k + 1),
+response AS (SELECT vec_id, o, (0.5 + 0.5 * cos(2 * pi() * o / 16)) * sum(CASE j WHEN 0 THEN 0 WHEN 32 THEN 1 ELSE 2 END / sqrt(d) * cos(2 * pi() * j * o / 64)) / 64 AS r
+  FROM density, (SELECT unnest(range(-7, 8)) AS o) GROUP BY vec_id, o),
+centered AS (SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM flat),
+white AS (SELECT vec_id, dim + o - 8 AS i, sqrt(2 / 64.0::DOUBLE) * sum(r * x) AS w FROM centered JOIN response USING (vec_id) WHERE dim + o BETWEEN 8 AND 55 GROUP BY ALL)"""
+
+
+@query(with_tables("flat", LED + """,
 energy AS (SELECT vec_id, sum(w * w) AS e FROM white GROUP BY 1),
-p AS (SELECT a.vec_id, a.vec_id // 50 AS segment, a.vec_id % 50 AS chunk, a.e AS h, b.e AS l FROM energy a JOIN energy b ON b.vec_id = a.vec_id + 1),
-ends AS (SELECT segment, max(chunk) AS last FROM p GROUP BY 1)
+ids AS (SELECT DISTINCT vec_id, vec_id // 50 AS segment, vec_id % 50 AS chunk FROM flat WHERE vec_id + 1 IN (SELECT vec_id FROM flat)),
+p AS (SELECT i.segment, i.chunk, a.e AS h, b.e AS l FROM ids i JOIN energy a ON a.vec_id = i.vec_id JOIN energy b ON b.vec_id = i.vec_id + 1 WHERE i.chunk >= 2),
+ends AS (SELECT segment, max(chunk) AS last FROM ids GROUP BY 1)
 SELECT x.segment, s.shift::INTEGER AS shift, x.chunk, round(x.h, 6) AS h_energy, round(y.l, 6) AS l_energy FROM p x, (VALUES (1), (3)) s(shift), p y, ends
 WHERE y.segment = x.segment AND y.chunk = x.chunk + s.shift AND ends.segment = x.segment AND y.chunk < ends.last"""))
 def slid_whitened(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of 50 chunks of 64 samples; the 96 samples before a chunk give its spectrum."""
     rows = _doubles(V.pairs(spark, d), "h", "l").select(F.floor(F.col("vec_id") / 50).alias("segment"), (F.col("vec_id") % 50).alias("chunk"), "h", "l")
-    out = G.timeslide_whitened(rows, spark.createDataFrame([(1,), (3,)], "shift int"), "segment", "h", "l", RATE, 16, 0.25)
+    out = G.timeslide_whitened(rows, spark.createDataFrame([(1,), (3,)], "shift int"), "segment", "h", "l", RATE, 16, 0.25, 96, 64)
     return out.select("segment", "shift", "chunk", _total("h_white").alias("h_energy"), _total("l_white").alias("l_energy"))
 
 
+@query(with_tables("flat", """+series AS (SELECT vec_id // 10 AS segment, 64 * (vec_id % 10) + dim AS p, x FROM flat),
+ends AS (SELECT segment, max(p) + 1 AS stop FROM series GROUP BY 1),
+seg AS (SELECT segment, s, p - 8 * s AS j, x - avg(x) OVER (PARTITION BY segment, s) AS x FROM series, (SELECT unnest(range(11)) AS s) WHERE p < 96 AND p >= 8 * s AND p < 8 * s + 16),
+spec AS (SELECT segment, s, k, sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * cos(2 * pi() * k * j / 16)) AS re,
+  sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 16)) * sin(2 * pi() * k * j / 16)) AS im FROM seg, (SELECT unnest(range(9)) AS k) GROUP BY ALL),
+bias AS (SELECT 1 + sum(1 / (2 * k + 1)::DOUBLE - 1 / (2 * k)::DOUBLE) AS bias FROM (SELECT unnest(range(1, 6)) AS k)),
+power AS (SELECT segment, k, median((re * re + im * im) / 384 * CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END) / any_value(bias) AS p FROM spec, bias GROUP BY ALL),
+density AS (SELECT a.segment, j, a.p + coalesce((b.p - a.p) * (j % 4) / 4.0::DOUBLE, 0) AS d FROM power a JOIN (SELECT unnest(range(33)) AS j) ON a.k = j // 4
+  LEFT JOIN power b ON b.segment = a.segment AND b.k = a.k + 1),
+response AS (SELECT segment, o, (0.5 + 0.5 * cos(2 * pi() * o / 16)) * sum(CASE WHEN j < 2 THEN 0 WHEN j = 32 THEN 1 ELSE 2 END / sqrt(d) * cos(2 * pi() * j * o / 64)) / 64 AS r
+  FROM density, (SELECT unnest(range(-7, 8)) AS o) GROUP BY segment, o),
+taps AS (SELECT k, (2 * 30 / 64.0::DOUBLE * CASE k WHEN 16 THEN 1 ELSE sin(pi() * 60 / 64 * (k - 16)) / (pi() * 60 / 64 * (k - 16)) END
+  - 2 * 2 / 64.0::DOUBLE * CASE k WHEN 16 THEN 1 ELSE sin(pi() * 4 / 64 * (k - 16)) / (pi() * 4 / 64 * (k - 16)) END) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 32)) AS h
+  FROM (SELECT unnest(range(33)) AS k)),
+gain AS (SELECT sqrt(sum(h * cos(2 * pi() * 16 / 64 * k)) ** 2 + sum(h * sin(2 * pi() * 16 / 64 * k)) ** 2) AS g FROM taps),
+wide AS (SELECT e.segment, i, x FROM ends e, unnest(range(80, stop + 16)) AS t(i) JOIN series s ON s.segment = e.segment AND s.p = CASE WHEN i < 96 THEN 192 - i WHEN i >= stop THEN 2 * (stop - 1) - i ELSE i END),
+once AS (SELECT segment, i + k - 16 AS i, sum(x * h / g) AS x FROM wide JOIN ends USING (segment), taps, gain WHERE i + k - 16 BETWEEN 80 AND stop + 15 GROUP BY ALL),
+twice AS (SELECT segment, i + k - 16 AS i, sum(x * h / g) AS x FROM once JOIN ends USING (segment), taps, gain WHERE i + k - 16 BETWEEN 96 AND stop - 1 GROUP BY ALL),
+centered AS (SELECT segment, i, x - avg(x) OVER (PARTITION BY segment) AS x FROM twice),
+white AS (SELECT segment, i + o AS i, sqrt(2 / 64.0::DOUBLE) * sum(r * x) AS w FROM centered JOIN response USING (segment) JOIN ends USING (segment) WHERE i + o BETWEEN 104 AND stop - 9 GROUP BY ALL)
+SELECT segment, i, round(w, 6) + 0 AS x FROM white"""))
+def filtered_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Ten vectors in a row are a series; chunks of a vector each borrow from the next."""
+    rows = _doubles(table(spark, d, "embeddings"), "embedding").select(F.floor(F.col("vec_id") / 10).alias("segment"), (F.col("vec_id") % 10).alias("chunk"), "embedding")
+    out = G.filtered_series(rows, ["segment"], "embedding", RATE, 64, 96, 16, 0.25, LOW, HIGH, 33, 64)
+    flat = out.select("segment", "start", F.posexplode("filtered").alias("i", "x"))
+    return flat.select("segment", (F.col("start") + F.col("i")).alias("i"), F.round("x", 6).alias("x"))
+
+
 def _requests(spark: SparkSession, d: str) -> str:
     """Each user's scores in requests of 8, as a table that a stream can read."""
     rows = V.scores(spark, d).withColumn("request_id", F.floor(F.col("idx") / 8))

@@ -267,6 +267,26 @@ def test_density_in_blocks(frame):
         got = models.score_kde(rows, rows, "x", most=most).orderBy("i").collect()
         assert [r["score"] for r in got] == pytest.approx(want)
     assert models.score_kde(rows, rows.limit(0), "x").where("score is not null").count() == 0
+    far = rows.withColumn("x", F.transform("x", lambda v: v * 300))  # sums of kernels beyond a double's range
+    alone = models.score_kde(far, far, "x", bandwidth=1.0, most=4).agg(F.min("score"), F.max("score")).first()
+    assert alone[0] == pytest.approx(alone[1]) and 6 < alone[0] < 6.2
+    away = models.score_kde(far, rows, "x", bandwidth=1.0, most=4).orderBy("i").collect()
+    squares = [((300 * x - points) ** 2).sum(1) / 2 for x in points]
+    assert [r["score"] for r in away] == pytest.approx([s.min() - np.log(np.exp(s.min() - s).sum()) + np.log(30) + 1.5 * np.log(2 * np.pi) for s in squares])
+
+
+def test_models_over_nulls_and_without_background(frame, spark):
+    rows = frame([(1, [0.1, 0.2]), (2, None), (3, [0.1, None]), (4, [0.3]), (5, []), (6, [float("nan"), 1.0]), (7, [0.1, 0.2])], "id long, x array<double>")
+    none = spark.createDataFrame([], "id long, x array<double>")
+    kde = {r["id"]: r["score"] for r in models.score_kde(rows, rows, "x").collect()}
+    assert {i for i, v in kde.items() if v is not None} == {1, 7} and kde[1] == kde[7]
+    forest = models.fit_isolation_forest(rows.where("id in (1, 2, 3, 7)"), "x", "id", trees=5)
+    got = {r["id"]: r["score"] for r in models.score_isolation_forest(rows, forest, "x").collect()}
+    assert got[1] is not None and got[2] is None and got[3] is None and got[6] is None
+    assert models.score_isolation_forest(rows, models.fit_isolation_forest(none, "x", "id", trees=5), "x").where("score is not null").count() == 0
+    assert models.score_kde(none, rows, "x").count() == 0
+    got = {r["id"]: (r["score"], r["error"]) for r in models.score_model(rows, lambda x: x.sum(1), "x").collect()}
+    assert got[1][1] is None and got[4] == (0.3, None) and got[2][0] is None and got[5][1].startswith("ValueError")
 
 
 def test_forest_scores_equal_a_recursive_walk(frame):

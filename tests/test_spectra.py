@@ -147,3 +147,44 @@ def test_flat_spectra_have_unit_energy():
     x = np.cumsum(draw.normal(size=(2, 4096)), axis=1)
     for y, segment in ((x, 256), (draw.normal(size=(2, 4096)) * np.sqrt(128), None)):
         assert np.abs(S.band_spectra(y, 256.0, 16, 100, None, segment)[1] ** 2).mean() == pytest.approx(1, rel=0.25)
+
+
+def test_metrics_of_long_windows_stay_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from driftwatch.operators.signal import metric_batch
+
+    x = draw.normal(size=(1024, 4096))
+    column = pa.ListArray.from_arrays(pa.array(np.arange(1025, dtype=np.int32) * 4096), pa.array(x.ravel()))
+    tracemalloc.start()
+    got = metric_batch(column, column, 4096.0, 30.0, 2048.0, 0.01, 81, 256, 4096, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and got.field("cc").to_numpy().min() > 0.99 and set(got.field("tau").to_pylist()) == {0.0}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_filtered_chunks_equal_the_filtered_whole(spark, parts):
+    from driftwatch.operators.signal import filtered_series
+
+    x, rate, psd_samples = np.cumsum(draw.normal(size=700)), 64.0, 150
+    size = -(-700 // parts)
+    rows = [("a", k, x[k * size : (k + 1) * size].tolist()) for k in range(parts)] + [("short", 0, [1.0] * 40), ("null", 0, None), ("null", 1, [1.0] * 30)]
+    rows += [("gap", k, None if k == 3 else x[k * size : (k + 1) * size].tolist()) for k in range(parts) if parts > 3]
+    chunks = spark.createDataFrame(rows, "s string, chunk long, x array<double>").repartition(3)
+    got = filtered_series(chunks, ["s"], "x", rate, size, psd_samples, 32, 0.25, 2.0, 30.0, 33, 256).orderBy("s", "chunk").collect()
+    taps = S.whitening_taps(S.psd(x[:psd_samples], rate, 32), rate, 0.25, 2.0, 256)
+    passed = S.bandpass(x[psd_samples:], rate, 2.0, 30.0, 33)
+    want = S.convolved(passed - passed.mean(), taps)[8:-8]
+    own = [r for r in got if r["s"] == "a"]
+    assert {r["s"] for r in got} - {"a"} <= {"gap"} and own[0]["start"] == psd_samples + 8
+    assert np.concatenate([r["filtered"] for r in own]) == pytest.approx(want, abs=1e-9)
+    assert all(b["start"] == a["start"] + len(a["filtered"]) for a, b in zip(own, own[1:]))
+
+
+def test_taps_are_what_whitening_convolves_with():
+    x = draw.normal(size=256)
+    power = S.psd(x, 64.0, 32)
+    assert S.convolved(x - x.mean(), S.whitening_taps(power, 64.0, 0.5, 4.0, 256))[16:-16] == pytest.approx(S.whiten(x, power, 64.0, 0.5, 4.0))
