@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.grids import bin_of
-from driftwatch.functions.islands import running_total, with_run
+from driftwatch.functions.islands import running_total, runs
 
 #: Signal types whose amplitude is a strain and is read in units of 1e-22.
 STRAIN_TYPES = ("SG", "WNB", "GA")
@@ -71,10 +71,10 @@ def detected_fraction(rows: DataFrame, cut: float, direction: str, by: str, scor
 
 
 def injection_clusters(windows: DataFrame, by: list[str], flag: str = "has_injection", order: str = "idx") -> DataFrame:
-    """Runs of consecutive flagged windows: first index, length, and distance from the start of the run before."""
-    runs = with_run(windows.where(flag), by, order).groupBy(*by, "run").agg(F.min(order).alias("start"), F.count("*").alias("length"))
+    """Runs of consecutive flagged windows: first index, length, and distance from the start of the run before. Only runs, not windows, are put in order by stream."""
+    found = runs(windows.where(flag), by, order, 1).select(*by, F.col("first").alias("start"), F.col("n").alias("length"))
     before = F.lag("start").over(Window.partitionBy(*by).orderBy("start"))
-    return runs.withColumn("distance", F.col("start") - before).drop("run")
+    return found.withColumn("distance", F.col("start") - before)
 
 
 def cluster_distances(clusters: DataFrame, by: list[str]) -> DataFrame:
@@ -130,3 +130,22 @@ def snr_by_class(rows: DataFrame, by: str, background: list, snr: str = "snr") -
     return rows.where(~F.col(by).isin(*background)).groupBy(by).agg(
         F.min(snr).alias("lowest"), F.max(snr).alias("highest"), F.avg(snr).alias("mean"), F.count("*").alias("n")
     )
+
+
+def snr_histograms(rows: DataFrame, by: str, background: list, bins: int = 50, snr: str = "snr") -> DataFrame:
+    """For each class that isn't background, the counts of ``bins`` equal bins between its smallest and largest strength, with their bounds; empty bins have zero.
+
+    Two passes: the bounds of classes, a row each, meet the rows again. Null and NaN strengths don't count; a class of one value has it in the middle of a span of one.
+    """
+    x = F.col(snr).cast("double")
+    own = rows.where(~F.col(by).isin(*background) & x.isNotNull() & ~F.isnan(x)).select(by, x.alias("_x"))
+    ends = own.groupBy(by).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+    flat = F.col("_a") == F.col("_b")
+    ends = ends.select(F.col(by).alias("_of"), F.when(flat, F.col("_a") - 0.5).otherwise(F.col("_a")).alias("_low"), F.when(flat, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("_high"))
+    width = (F.col("_high") - F.col("_low")) / bins
+    met = own.join(F.broadcast(ends), F.col(by) == F.col("_of"))  # a row for each class
+    at = F.least(F.floor((F.col("_x") - F.col("_low")) / width), F.lit(bins - 1)).cast("int")
+    counts = met.groupBy("_of", at.alias("bin")).agg(F.count("*").alias("_n"))
+    grid = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = grid.join(counts, ["_of", "bin"], "left")
+    return out.select(F.col("_of").alias(by), "bin", (F.col("_low") + F.col("bin") * width).alias("low"), (F.col("_low") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("_n", F.lit(0)).alias("n"))

@@ -7,8 +7,8 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwatch.functions.islands import keyed, running_total
-from driftwatch.functions.quantiles import quantiles
+from driftwatch.functions.islands import keyed
+from driftwatch.functions.quantiles import cuts, first_rows, quantiles
 
 
 def _sum(values: Column) -> Column:
@@ -90,12 +90,15 @@ def split_rows(rows: DataFrame, key: str, percent: int, seed: int = 0) -> DataFr
 
 
 def split_stratified(rows: DataFrame, by: str, order: Column, share: float = 0.5) -> DataFrame:
-    """``is_val`` for the first ``share`` of each class in an order without ties. Places are counted by range, so a class of any size spreads over tasks."""
-    placed = running_total(rows.withColumn("_order", order).withColumn("_one", F.lit(1)), "_order", {"_place": "_one"}, by=[by])
-    sizes = rows.groupBy(by).agg(F.count("*").alias("_size"))
-    names, same = keyed(sizes, [by])
-    joined = placed.join(F.broadcast(sizes.select(*names, "_size")), same)  # a row for each class
-    return joined.withColumn("is_val", F.col("_place") <= F.floor(F.col("_size") * share)).drop("_order", "_one", "_place", "_size", f"_by_{by}")
+    """``is_val`` for the first ``share`` of each class in a numeric order without ties; a null order is never first.
+
+    The value at which the share of a class ends is found first, from the order and the class alone; then each row is compared with
+    its class's value in one pass, and none is moved.
+    """
+    ends = cuts(rows, order, lambda n: F.floor(n * F.lit(share)), [by])
+    names, same = keyed(ends, [by])
+    joined = rows.join(F.broadcast(ends.select(*names, "cut")), same, "left")  # a row for each class
+    return joined.withColumn("is_val", F.coalesce(order <= F.col("cut"), F.lit(False))).drop("cut", f"_by_{by}")
 
 
 def class_quotas(classes: DataFrame, batch: int, rebalance: bool = False) -> DataFrame:
@@ -150,8 +153,14 @@ def paired_density(a: DataFrame, b: DataFrame, column: str, bins: int = 60) -> D
     return counts.withColumn("density", F.col("n") / total / F.col("_w")).drop("_w")
 
 
-def compare_embeddings(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Per common dimension, the means and deviations of two sets, their differences, and whether those are small."""
+def compare_embeddings(a: DataFrame, b: DataFrame, column: str, order: Column | None = None) -> DataFrame:
+    """Per common dimension, the means and deviations of two sets, their differences, and whether those are small.
+
+    With a numeric ``order`` without ties, both sets are cut to as many of their first rows as the smaller one has.
+    """
+    if order is not None:
+        n = min(a.count(), b.count())
+        a, b = first_rows(a, order, n), first_rows(b, order, n)
     left = fit_standardizer(a, column).select("dim", F.col("mean").alias("mean_a"), F.col("std").alias("std_a"))
     right = fit_standardizer(b, column).select("dim", F.col("mean").alias("mean_b"), F.col("std").alias("std_b"))
     out = left.join(right, "dim")

@@ -4,16 +4,20 @@ Range joins are equi-joins on time buckets: each row is filed under every bucket
 it touches and a pair is found in the first bucket that both share, so no pair
 appears twice and nothing has to be made distinct. ``width`` is a bucket's
 length; about the usual length of the intervals is right. A row longer than
-that only costs more buckets.
+that only costs more buckets. Where whole lists of segments meet, their bounds are
+swept instead.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwatch.functions.islands import runs
+from driftwatch.session import materialize
+
 
 def _bucket(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(width)).cast("long")
@@ -42,20 +46,39 @@ def range_join(
     return pairs.where(first & meets).drop("_bucket")
 
 
-def intersect_segments(a: DataFrame, b: DataFrame, width: float = 86_400) -> DataFrame:
-    """All non-empty overlaps ``[start, stop)`` of two lists of segments; segments that only touch don't overlap."""
-    other = b.select(F.col("start").alias("_start"), F.col("stop").alias("_stop"))
-    pairs = range_join(a.select("start", "stop"), other, width, ("start", "stop"), ("_start", "_stop"))
-    return pairs.select(F.greatest("start", "_start").alias("start"), F.least("stop", "_stop").alias("stop"))
-
+def sweep(segments: DataFrame, lists: list[Column]) -> DataFrame:
+    """The spans ``[start, stop)`` in which a segment of every list is on, broken at every bound of a segment; ``lists`` says of a segment whether it is in each.
 
-def intersect_all(segments: DataFrame, detectors: list[str], width: float = 86_400, by: str = "ifo") -> DataFrame:
-    """The spans in which all detectors are on, broken at every bound of an input segment."""
-    return reduce(
-        lambda done, name: intersect_segments(done, segments.where(F.col(by) == name), width),
-        detectors[1:],
-        segments.where(F.col(by) == detectors[0]).select("start", "stop"),
-    )
+    Each segment is two events, so its length doesn't matter. Events are added up by time and dealt out by ranges of it; how many segments of each list are on is what earlier ranges add up
+    to, and what their own do. A task sees its range alone, and the number of lists doesn't add passes. Empty segments are nothing.
+    """
+    on = [F.when(of, 1).otherwise(0).alias(f"_d{i}") for i, of in enumerate(lists)]
+    names = [f"_d{i}" for i in range(len(lists))]
+    some = segments.where("start < stop").select("start", "stop", *on)
+    events = some.select(F.col("start").alias("_t"), *names).unionByName(some.select(F.col("stop").alias("_t"), *[(-F.col(n)).alias(n) for n in names]))
+    summed = events.groupBy("_t").agg(*[F.sum(n).alias(n) for n in names])
+    dealt = materialize(summed.repartitionByRange("_t").withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy("_range").agg(F.min("_t").alias("_first"), *[F.sum(n).alias(n) for n in names])
+    order = Window.partitionBy(F.lit(0)).orderBy("_range")  # a row for each range
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.select("_range", F.lead("_first").over(order).alias("_then"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b{n}") for n in names])
+    inner = Window.partitionBy("_range").orderBy("_t")
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.coalesce(F.lead("_t").over(inner), F.col("_then")).alias("stop")
+    sums = [(F.col(f"_b{n}") + F.sum(n).over(upto)).alias(n) for n in names]
+    spans = dealt.join(F.broadcast(bases), "_range").select(F.col("_t").alias("start"), stop, *sums)
+    return spans.where(reduce(lambda a, n: a & (F.col(n) > 0), names, F.lit(True))).select("start", "stop")
+
+
+def intersect_segments(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All spans ``[start, stop)`` that both lists of segments have, broken at every bound of a segment; segments that only touch have none in common."""
+    both = a.select("start", "stop", F.lit(0).alias("_list")).unionByName(b.select("start", "stop", F.lit(1).alias("_list")))
+    return sweep(both, [F.col("_list") == 0, F.col("_list") == 1])
+
+
+def intersect_all(segments: DataFrame, detectors: list[str], by: str = "ifo") -> DataFrame:
+    """The spans in which all detectors are on, broken at every bound of a segment of one of them. Any number of detectors is one sweep."""
+    return sweep(segments.where(F.col(by).isin(*detectors)), [F.col(by) == name for name in detectors])
 
 
 def livetime(segments: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -70,10 +93,8 @@ def min_duration(segments: DataFrame, seconds: float) -> DataFrame:
 
 def merge_hours(rows: DataFrame, by: str, hour: str = "hour") -> DataFrame:
     """Runs of consecutive hours of each ``by`` as segments of seconds."""
-    from driftwatch.functions.islands import with_run
-
-    runs = with_run(rows.select(by, hour).distinct(), [by], hour)
-    return runs.groupBy(by, "run").agg((F.min(hour) * 3600).alias("start"), ((F.max(hour) + 1) * 3600).alias("stop")).drop("run")
+    found = runs(rows.select(by, hour).distinct(), [by], hour, 1)
+    return found.select(by, (F.col("first") * 3600).alias("start"), ((F.col("last") + 1) * 3600).alias("stop"))
 
 
 def match_triggers(injections: DataFrame, triggers: DataFrame, within: float, key: str = "injection_id", time: str = "time") -> DataFrame:

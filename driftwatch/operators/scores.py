@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwatch.functions.islands import keyed, with_gap_run, with_run
-from driftwatch.functions.quantiles import quantiles
+from driftwatch.functions.islands import keyed, runs
+from driftwatch.functions.quantiles import at_places, quantiles
+from driftwatch.session import materialize
 
 
 def finite(value: Column) -> Column:
@@ -65,26 +66,28 @@ def valid_smooth(
     return out.where(own & (F.col("_n") == width)).drop("_n", "_chunk")
 
 
-def veto_long_runs(rows: DataFrame, share: float, max_run: int, by: list[str], order: str = "idx", score: str = "smooth") -> DataFrame:
+def veto_long_runs(rows: DataFrame, share: float, max_run: int, by: list[str], order: str = "idx", score: str = "smooth", width: int = 4096) -> DataFrame:
     """Rows without runs of over ``max_run`` rows in a row that lie under the ``share`` quantile of all scores. ``order`` counts up by one in each stream.
 
-    Only rows under the quantile are put in order; those of long runs leave by a join on stream and order, which has no hot key.
+    The rows are written once, as they are read for the quantile, for runs and for the result. Rows leave by a join on stream and
+    on pieces of ``width`` places, of which a run has as many as it touches: no row of a run is listed, and a hot stream spreads.
     """
+    rows = materialize(rows, "scored")
     cut = quantiles(rows, score, {"_cut": share})
-    low = rows.crossJoin(F.broadcast(cut)).where(F.col(score) < F.col("_cut")).select(*by, order)
-    runs = with_run(low, by, order)
-    long = runs.groupBy(*by, "run").agg(F.count("*").alias("_n")).where(F.col("_n") > max_run)
+    low = rows.crossJoin(F.broadcast(cut)).where(F.col(score) < F.col("_cut"))
+    long = runs(low, by, order, 1).where(F.col("n") > max_run)
+    piece = lambda c: F.floor(F.col(c) / width)
     names, same = keyed(long, by)
-    gone = runs.join(long.select(*names, F.col("run").alias("_run")), same & (F.col("run") == F.col("_run")), "left_semi")
-    names, same = keyed(gone, by)
-    return rows.join(gone.select(*names, F.col(order).alias("_order")), same & (F.col(order) == F.col("_order")), "left_anti")
+    gone = long.select(*names, "first", "last", F.explode(F.sequence(piece("first"), piece("last"))).alias("_piece"))
+    at = F.col(order)
+    return rows.join(gone, same & (piece(order) == F.col("_piece")) & at.between(F.col("first"), F.col("last")), "left_anti")
 
 
 def threshold(rows: DataFrame, level: float, score: str = "score") -> DataFrame:
-    """One row ``threshold``: the ``level``-th smallest score from zero if ``level >= 1``, else the interpolated quantile."""
+    """One row ``threshold``: the ``level``-th smallest score from zero if ``level >= 1``, else the interpolated quantile; nulls and NaN don't count."""
     if level < 1:
         return quantiles(rows, score, {"threshold": level})
-    return rows.orderBy(score).limit(int(level) + 1).agg(F.max(score).alias("threshold"))
+    return at_places(rows, score, {"threshold": lambda n: F.least(F.lit(int(level)), n - 1)})
 
 
 def threshold_from_far(background: DataFrame, seconds: float, score: str = "score", year: float = 3.154e7) -> DataFrame:
@@ -105,15 +108,11 @@ def select_outliers(rows: DataFrame, cut: DataFrame, by: list[str], psd_length:
 
 
 def cluster_outliers(rows: DataFrame, gap: float, by: list[str], pad: float | None = None, time: str = "t", score: str = "score", digits: int = 2) -> DataFrame:
-    """Outliers to intervals: a step of over ``gap`` seconds splits. ``pad`` is half the gap unless given."""
+    """Outliers to intervals: a step of over ``gap`` seconds splits. ``pad`` is half the gap unless given. A stream of any length spreads over tasks."""
     pad = gap / 2 if pad is None else pad
-    before = F.lag(time).over(Window.partitionBy(*by).orderBy(time))
-    marked = rows.withColumn("_step", F.col(time) - before)
-    runs = with_gap_run(marked, by, [time], F.col("_step").isNull() | (F.col("_step") > gap))
-    out = runs.groupBy(*by, "run").agg(
-        (F.min(time) - pad).alias("start"), (F.max(time) + pad).alias("end"), F.round(F.min(score), digits).alias("min_score"), F.count("*").alias("n")
-    )
-    return out.withColumn("duration", F.col("end") - F.col("start")).drop("run")
+    found = runs(rows, by, time, gap, {"min_score": score})
+    out = found.select(*by, (F.col("first") - pad).alias("start"), (F.col("last") + pad).alias("end"), F.round("min_score", digits).alias("min_score"), "n")
+    return out.withColumn("duration", F.col("end") - F.col("start"))
 
 
 def worst_segments(outliers: DataFrame, n: int, segment: str) -> DataFrame:

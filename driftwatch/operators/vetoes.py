@@ -49,6 +49,13 @@ def veto_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(~F.col("vetoed")).alias("n_passed"), F.count_if("vetoed").alias("n_vetoed"))
 
 
+def passing_scores(rows: DataFrame, score: str = "score") -> DataFrame:
+    """Over the finite scores of rows that aren't vetoed: count, mean, median, population deviation and range; no row where there are none."""
+    good = rows.where(~F.col("vetoed") & finite(F.col(score).cast("double"))).select(F.col(score).cast("double").alias("_v"))
+    stats = good.agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("lowest"), F.max("_v").alias("highest"))
+    return stats.where("n > 0").crossJoin(F.broadcast(quantiles(good, "_v", {"median": 0.5})))
+
+
 def preselect(rows: DataFrame, least: dict[str, float], most: dict[str, float]) -> DataFrame:
     """Rows that no bound rejects. NaN passes here, unlike in ``apply_vetoes``, and so does null."""
     reject = F.lit(False)

@@ -68,6 +68,12 @@ def veto_totals(spark: SparkSession, d: str) -> DataFrame:
     return V_.veto_totals(_vetoed(spark, d))
 
 
+@query(with_tables("classes", FAILED + """ SELECT count(*) AS n, round(avg(hrss), 4) AS mean, round(median(hrss), 4) AS median, round(stddev_pop(hrss), 4) AS std, min(hrss) AS lowest, max(hrss) AS highest
+FROM failed WHERE len(cuts) = 0"""))
+def passing_scores(spark: SparkSession, d: str) -> DataFrame:
+    return V_.passing_scores(_vetoed(spark, d), "hrss").select("n", _r("mean", 4), _r("median", 4), _r("std", 4), "lowest", "highest")
+
+
 @query(with_tables("classes", "SELECT l_orderkey, l_linenumber FROM classes WHERE (l_linenumber = 1 OR snr >= 10) AND hrss <= 50000"))
 def preselected(spark: SparkSession, d: str) -> DataFrame:
     rows = V.classes(spark, d).withColumn("snr", F.when(F.col("l_linenumber") == 1, float("nan")).otherwise(F.col("snr")))
@@ -124,6 +130,15 @@ def snr_by_class(spark: SparkSession, d: str) -> DataFrame:
     return E.snr_by_class(V.classes(spark, d), "class", ["N"]).select("class", "lowest", "highest", _r("mean"), "n")
 
 
+@query(with_tables("classes", """+s AS (SELECT class, hrss FROM classes WHERE class <> 'N'),
+e AS (SELECT class, min(hrss) AS lo, max(hrss) AS hi FROM s GROUP BY 1),
+g AS (SELECT class, lo, (hi - lo) / 50 AS w, b.bin FROM e, (SELECT unnest(range(50)) AS bin) b),
+c AS (SELECT class, least(floor((hrss - lo) / ((hi - lo) / 50)), 49)::INTEGER AS bin, count(*) AS n FROM s JOIN e USING (class) GROUP BY ALL)
+SELECT class, g.bin::INTEGER AS bin, round(lo + g.bin * w, 6) AS low, round(lo + (g.bin + 1) * w, 6) AS high, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (class, bin)"""))
+def snr_histograms(spark: SparkSession, d: str) -> DataFrame:
+    return E.snr_histograms(V.classes(spark, d), "class", ["N"], snr="hrss").select("class", "bin", _r("low"), _r("high"), "n")
+
+
 @query(with_tables("classes", """SELECT l_orderkey, l_linenumber, CASE class WHEN 'A' THEN 4 WHEN 'R' THEN 4 ELSE 7 END::INTEGER AS group_label,
 CASE class WHEN 'N' THEN 'noise' ELSE 'string' END AS group_name, class <> 'N' AS is_signal FROM classes"""))
 def labelled_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -270,6 +285,16 @@ def comparison_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select(_r("mean_least"), _r("mean_most"), _r("std_avg"), _r("mean_corr", 5), _r("std_corr", 5), "all_close")
 
 
+@query(with_tables("flat", """+k AS (SELECT vec_id, label < 5 AS low, row_number() OVER (PARTITION BY label < 5 ORDER BY vec_id) AS i FROM embeddings),
+n AS (SELECT min(n) AS n FROM (SELECT max(i) AS n FROM k GROUP BY low)),
+m AS (SELECT dim, avg(x) FILTER (low) AS ma, avg(x) FILTER (NOT low) AS mb, stddev_pop(x) FILTER (low) AS sa, stddev_pop(x) FILTER (NOT low) AS sb FROM flat JOIN k USING (vec_id), n WHERE i <= n.n GROUP BY dim)
+SELECT dim::INTEGER AS dim, round(abs(ma - mb), 6) AS mean_diff, round(abs(sa - sb), 6) AS std_diff FROM m"""))
+def compared_first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same over as many first vectors of either set as the smaller one has."""
+    rows = table(spark, d, "embeddings")
+    return X.compare_embeddings(rows.where("label < 5"), rows.where("label >= 5"), "embedding", F.col("vec_id")).select("dim", _r("mean_diff"), _r("std_diff"))
+
+
 @query("SELECT DISTINCT label FROM (SELECT label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT label + 20 FROM embeddings)")
 def united_labels(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")

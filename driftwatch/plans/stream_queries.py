@@ -89,7 +89,7 @@ SELECT stream AS t0, CAST(0 AS INTEGER) AS shift, round(min(t) - {PAD}, 6) AS st
 def outlier_catalogue(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "catalogue")
     found = S.cluster_outliers(_outliers(spark, d), GAP, ["stream"], PAD).withColumnRenamed("stream", "t0")
-    tables.write_outliers(found.withColumn("length", F.lit(0)).withColumn("shift", F.lit(0)), path)
+    tables.write_outliers(found.withColumn("length", F.lit(0)).withColumn("shift", F.lit(0)), path, "all")
     return spark.read.parquet(path).select("t0", "shift", _r("start"), "min_score")
 
 

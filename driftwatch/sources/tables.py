@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,19 +68,36 @@ def thresholds(rows: DataFrame) -> dict[str, dict]:
     return {r["metric"]: {"min": r["min"], "max": r["max"]} for r in rows.collect()}
 
 
-def append_by_class(samples: DataFrame, path: str, by: str = "class") -> None:
-    """Appends samples to a table of one folder for each class."""
-    samples.write.mode("append").partitionBy(by).parquet(path)
+def write_batch(rows: DataFrame, path: str, batch: str, by: list[str] | None = None) -> None:
+    """Writes a batch of a table: the folder ``batch=...`` of it, with one folder for each value of ``by``.
+
+    The batch's folder is replaced as a whole and no other is touched, so a job that is repeated, also with other rows or after it was cut off,
+    leaves the table as one run would. Readers of the table get ``batch`` as a column.
+    """
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError("a batch's name has letters, digits, dots, - and _")
+    rows.write.mode("overwrite").partitionBy(*(by or [])).parquet(f"{path}/batch={batch}")
+
+
+def write_stream(stream: DataFrame, path: str, checkpoint: str, by: list[str] | None = None):
+    """Writes what is there of a stream, a batch for each micro-batch by its number: one that is run again replaces what its first run left."""
+    added = lambda rows, number: write_batch(rows, path, f"{number:012d}", by)
+    return stream.writeStream.foreachBatch(added).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_by_class(samples: DataFrame, path: str, batch: str, by: str = "class") -> None:
+    """Adds a batch of samples to a table of one folder for each class."""
+    write_batch(samples, path, batch, [by])
 
 
-def write_scores(scores: DataFrame, path: str) -> None:
-    """Writes scores with their keys as columns, a folder for each shift."""
-    scores.repartition("shift", "seg_start").sortWithinPartitions("shift", "seg_start", "idx").write.mode("append").partitionBy("shift").parquet(path)
+def write_scores(scores: DataFrame, path: str, batch: str) -> None:
+    """Adds a batch of scores with their keys as columns, a folder for each shift."""
+    write_batch(scores.repartition("shift", "seg_start").sortWithinPartitions("shift", "seg_start", "idx"), path, batch, ["shift"])
 
 
-def write_outliers(outliers: DataFrame, path: str) -> None:
-    """Writes the catalogue's seven columns."""
-    outliers.select(*OUTLIER).write.mode("append").parquet(path)
+def write_outliers(outliers: DataFrame, path: str, batch: str) -> None:
+    """Adds a batch of the catalogue's seven columns."""
+    write_batch(outliers.select(*OUTLIER), path, batch)
 
 
 def write_results_csv(results: DataFrame, path: str, lists: str = "failed_cuts") -> None:

@@ -183,8 +183,31 @@ def test_merge_triggers_needs_all_detectors(frame):
 def test_outlier_catalogue_round_trip(spark, frame):
     path = fresh_path(spark, "outliers")
     rows = frame([(1, 2, 0, 1.0, 2.0, 1.0, -3.5)], "t0 long, length int, shift int, start double, end double, duration double, min_score double")
-    tables.write_outliers(rows, path)
-    assert pairs(spark.read.parquet(path), *tables.OUTLIER) == [(1, 2, 0, 1.0, 2.0, 1.0, -3.5)]
+    tables.write_outliers(rows, path, "one")
+    tables.write_outliers(rows.withColumn("t0", F.lit(9).cast("long")), path, "two")
+    tables.write_outliers(rows, path, "one")  # again
+    assert pairs(spark.read.parquet(path), *tables.OUTLIER) == [(1, 2, 0, 1.0, 2.0, 1.0, -3.5), (9, 2, 0, 1.0, 2.0, 1.0, -3.5)]
+    with pytest.raises(ValueError):
+        tables.write_outliers(rows, path, "../other")
+
+
+def test_batches_are_replaced_whole(spark, frame):
+    path = fresh_path(spark, "samples")
+    rows = frame([(i, "abc"[i % 3]) for i in range(30)], "id long, class string")
+    tables.append_by_class(rows, path, "b1")
+    tables.append_by_class(rows.where("class <> 'a'"), path, "b2")
+    tables.append_by_class(rows.where("class <> 'c'"), path, "b1")  # fewer classes than before
+    got = spark.read.parquet(path)
+    assert {tuple(r) for r in got.groupBy("batch", "class").count().collect()} == {("b1", "a", 10), ("b1", "b", 10), ("b2", "b", 10), ("b2", "c", 10)}
+
+
+def test_a_stream_that_is_run_again_writes_once(spark, frame):
+    source, path = fresh_path(spark, "in"), fresh_path(spark, "out")
+    for i in range(2):
+        frame([(i, "a"), (i + 10, "b")], "id long, class string", 1).write.mode("append").parquet(source)
+        for _ in range(2):  # each with a checkpoint of its own: both runs number their batches from zero
+            tables.write_stream(spark.readStream.schema("id long, class string").parquet(source), path, fresh_path(spark, "state"), ["class"]).awaitTermination()
+        assert pairs(spark.read.parquet(path), "id", "class") == sorted((j + k, c) for j in range(i + 1) for k, c in ((0, "a"), (10, "b")))
 
 
 def test_thresholds_from_json(spark):
@@ -241,6 +264,111 @@ def test_split_rows_is_stable(spark):
     assert 400 < names.where("is_val").count() < 600
 
 
+@pytest.fixture
+def ranges(spark):
+    """Ranges stay apart, however small."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("most,margin", [(1 << 20, 0.005), (50, 1e-9)])
+def test_narrowed_quantiles_are_exact(frame, monkeypatch, ranges, most, margin):
+    import numpy as np
+    from driftwatch.functions import quantiles as Q
+
+    monkeypatch.setattr(Q, "MARGIN", margin)  # so small a margin misses, and widens
+    monkeypatch.setattr(Q, "SIZE", 16)
+    draw = np.random.default_rng(4)
+    groups = {"a": draw.normal(size=3000), "b": draw.integers(0, 4, 900).astype(float), None: np.array([5.0]), "c": np.array([1.0, np.inf, -np.inf, 0.0, -0.0])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("a", float("nan")), ("none", None)]
+    levels = {"low": 0.013, "mid": 0.5, "top": 1.0}
+    got = {r["g"]: r for r in Q.quantiles(frame(rows, "g string, x double"), "x", levels, ["g"], most).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        if g != "c":
+            assert [got[g][n] for n in levels] == pytest.approx([np.quantile(xs, q) for q in levels.values()], abs=1e-12)
+    assert (got["c"]["mid"], got["c"]["top"]) == (0.0, float("inf"))
+    every = Q.quantiles(frame(rows[:3900], "g string, x double"), "x", {"mid": 0.37}, most=most).first()["mid"]
+    assert every == pytest.approx(np.quantile(np.concatenate([groups["a"], groups["b"]]), 0.37), abs=1e-12)
+    assert Q.quantiles(frame([], "g string, x double"), "x", {"mid": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("most", [100, 1 << 20])
+def test_cuts_tell_longs_of_one_double_apart(spark, most):
+    from driftwatch.functions import quantiles as Q
+
+    far = 1 << 60  # 256 longs in a row are one double here
+    rows = spark.range(far, far + 1000).selectExpr("id", "if(id % 2 = 0, 'a', null) as c").unionByName(spark.createDataFrame([(None, "a")], "id long, c string"))
+    got = {r["c"]: r["cut"] - far for r in Q.cuts(rows, F.col("id"), lambda n: F.floor(n * 0.3), ["c"], most).collect()}
+    assert got == {"a": 298, None: 299}
+    assert sorted(r["id"] - far for r in Q.first_rows(rows, -F.col("id"), 3, most).collect()) == [997, 998, 999]
+    assert Q.cuts(rows, F.col("id"), lambda n: n * 0, ["c"], most).count() == 0
+
+
+def test_only_the_window_is_shuffled(spark):
+    from driftwatch.functions import quantiles as Q
+
+    rows = spark.range(400_000).select(F.rand(3).alias("_x"))
+    windows = Q._narrowed(rows, {"t": lambda n: (n - 1) * 0.3}, [], 10_000).collect()
+    assert len(windows) == 1 and windows[0]["_inside"] < 0.02 * 400_000
+    assert windows[0]["_below"] == rows.where(F.col("_x") < windows[0]["_lo"]).count() and windows[0]["_below"] <= 0.3 * 399_999 < windows[0]["_below"] + windows[0]["_inside"]
+
+
+def test_runs_touch_over_the_edges_of_ranges(frame, ranges):
+    import random
+
+    from driftwatch.functions import islands
+
+    random.seed(8)
+    rows = [(s, t, float(t % 7)) for s in ("a", "b", None) for t in random.sample(range(400), 300)] + [("a", 3, -1.0), ("long", None, 0.0)]
+    rows += [("long", t, 1.0) for t in range(2000)]
+    for gap in (1, 3):
+        want = []
+        for s in {r[0] for r in rows}:
+            now = []
+            for t, x in sorted((t, x) for k, t, x in rows if k == s and t is not None):
+                if now and t - now[-1][0] > gap:
+                    want.append((s, now[0][0], now[-1][0], len(now), min(v for _, v in now)))
+                    now = []
+                now.append((t, x))
+            want.append((s, now[0][0], now[-1][0], len(now), min(v for _, v in now)))
+        got = [tuple(r) for r in islands.runs(frame(rows, "s string, t long, x double"), ["s"], "t", gap, {"least": "x"}).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_no_window_over_a_whole_stream(frame):
+    low = frame([("a", 1.0, 0.5)], "s string, t double, score double")
+    plan = scores.cluster_outliers(low, 16, ["s"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_range" not in plan and plan.count("Window ") == 2  # over edges only: what is within ranges is written already
+
+
+@pytest.mark.parametrize("lists", [1, 3])
+def test_sweeps_equal_second_by_second(frame, ranges, lists):
+    import random
+
+    random.seed(lists)
+    rows = []
+    for i in range(lists):
+        t = 0
+        while t < 300:
+            rows.append((f"d{i}", t, t := t + random.randrange(1, 60)))
+            t += random.choice([0, 0, 3, 11])
+    rows += [("d0", 50, 50), ("other", 0, 400)]
+    own = [r for r in rows if r[0] != "other" and r[1] < r[2]]
+    on = [s for s in range(400) if all(any(n == f"d{i}" and a <= s < b for n, a, b in own) for i in range(lists))]
+    bounds = {x for _, a, b in own for x in (a, b)}
+    want, start = [], None
+    for s in on:
+        if start is None or s in bounds or s - 1 not in on:
+            start = s
+            want.append([s, s + 1])
+        want[-1][1] = s + 1
+    got = pairs(intervals.intersect_all(frame(rows, "ifo string, start long, stop long"), [f"d{i}" for i in range(lists)]), "start", "stop")
+    assert got == [tuple(w) for w in want]
+
+
 def test_stratified_places_and_classes_by_range(spark):
     rows = spark.range(1000).selectExpr("id", "if(id < 900, 'a', if(id < 990, 'b', null)) as c")
     got = features.split_stratified(rows, "c", -F.col("id"), 0.3)
