@@ -26,6 +26,25 @@ def test_snapshots_wait_for_earlier_requests(spark):
     ]
 
 
+def test_tails_over_many_batches_and_idle_sequences(spark, monkeypatch):
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(streams, "SPARE", 5)
+    t, schema = datetime(2024, 1, 1), "sequence_id long, request_id long, samples array<double>, is_end boolean, ts timestamp"
+    x = [[float(10 * i + j) for j in range(i % 4)] for i in range(12)]
+    order = [0, 3, 1, 5, 4, 2, 2, 6, 8, 7, 9, 11]  # request 2 comes twice, 10 never
+    batches = [[(1, i, x[i], None, t) for i in order[k : k + 4]] for k in range(0, 12, 4)]
+    batches += [[(2, 0, None, True, t + timedelta(days=3))], [(1, 0, [7.0], True, t + timedelta(days=6))]]  # the first sequence is idle for long
+    got = fed(spark, batches, schema, lambda s: streams.snapshot_stream(s, 6, "ts"), "tails").where("sequence_id < 3")
+    want, seen = [], []
+    for i in range(10):
+        tail = seen[-6:]
+        want.append((1, i, len(seen) - len(tail), len(x[i]), tail + x[i]))
+        seen += x[i]
+    want += [(2, 0, 0, 0, []), (1, 0, 0, 1, [7.0])]
+    assert sorted((r["sequence_id"], r["request_id"], r["first"], r["n_new"], r["samples"]) for r in got.collect()) == sorted(want)
+
+
 def test_assembly_and_its_timeout(spark):
     from datetime import datetime, timedelta
 
