@@ -7,14 +7,15 @@ deleted: they are the host's furniture. A page without a neighbour loses nothing
 all of its lines, it loses those that are common on the host.
 
 Two pages are copies if what they share is over four times as long as what either has besides; lines
-that over half of the host's pages have (three at least) don't count there, so long furniture makes no copies.
+that are common on the host don't count there, so long furniture makes no copies: those on pages of three stories or more, and of over half of the host's. A page's story
+is its longest line, so that a text's copies and near copies are one story, however many they are.
 
 Marks correct what differencing can't tell: adverts and remarks differ from page to page, and so do
 copies' neighbours that hold the same passage. Lines in menus, headers, footers, asides, forms, scripts and elements whose
 class, id or role says so are never text; what says so is a whole name or its last
 word. Lines inside of ``article`` or ``main`` are the page's own, shared or not; if they are over half of what is left,
 lines outside of them go. An article or ``main`` that lies in a marked wrapper or in a form is the page's own if
-it has no other.
+it has no other. An element that holds nearly the whole page isn't beside its text, whatever its marks say.
 
 Only hashes of lines are sorted by range and aligned, so a host of any size spreads over tasks. Runs that reach
 a task's edge are decided after it, when the pages at all edges (four of a task at most, hashes only) are known: results don't
@@ -116,15 +117,41 @@ def _held(name: str, kind: str, around: str) -> str:
     return kind or around
 
 
+#: How much more text than all of the page besides an element holds that can't be beside the page's text.
+WRAPPER = 10
+
+
 def blocks(html: str) -> list[tuple[str, str]]:
-    """The lines of a page in order with what encloses them: ``own``, ``chrome`` or nothing."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # open elements that aren't inline, each with the kind of what it holds
+    """The lines of a page in order with what encloses them: ``own``, ``chrome`` or nothing.
+
+    A form or an element whose marks say that it is beside the text is taken for a plain wrapper if the page has no article and over ``WRAPPER`` times
+    as much text in it as outside: then only what is marked inside it goes.
+    """
+    wrappers: set[int] = set()
+    while True:
+        lines = _lines(html, wrappers)
+        inside: Counter[int] = Counter()
+        for line, kind, element in lines:
+            inside[element if kind == "soft" else -1] += len(line) if kind in ("", "soft") else 0
+        outside = inside.pop(-1, 0)
+        element, most = max(inside.items(), key=lambda x: x[1], default=(-1, 0))
+        if most <= WRAPPER * (outside + sum(inside.values()) - most) or any(kind in ("own", "inner") for _, kind, _ in lines):
+            break
+        wrappers.add(element)
+    inner = "chrome" if any(kind == "own" for _, kind, _ in lines) else "own"  # of two articles, the one in a sidebar isn't the page's
+    return [(line, {"soft": "chrome", "inner": inner}.get(kind, kind)) for line, kind, _ in lines]
+
+
+def _lines(html: str, wrappers: set[int]) -> list[tuple[str, str, int]]:
+    """Lines with their kind and the outermost soft element around them, by its number among all such tags; those in ``wrappers`` aren't soft."""
+    out: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, int]] = []  # open elements that aren't inline, each with the kind of what it holds, and the soft element around
     open_: Counter[str] = Counter()  # how many of each name and kind are open
     parts: list[str] = []
+    seen = 0
 
     def pop() -> str:
-        for x in stack[-1]:
+        for x in stack[-1][:2]:
             open_[x] -= 1
         return stack.pop()[0]
 
@@ -132,7 +159,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
         line = " ".join("".join(parts).split())
         parts.clear()
         if line:
-            out.append((line, stack[-1][1][1:] if stack else ""))
+            out.append((line, *((stack[-1][1][1:], stack[-1][2]) if stack else ("", -1))))
 
     for token in TOKEN.finditer(html):
         name = (token["name"] or "").lower()
@@ -141,6 +168,9 @@ def blocks(html: str) -> list[tuple[str, str]]:
                 parts.append(entities.unescape(token[0]))
             continue
         kind = "" if token["close"] else _kind(name, token["rest"], open_["=own"] + open_["=inner"] > 0)
+        if kind == "soft":
+            seen += 1
+            kind = "" if seen in wrappers else kind
         if name in INLINE and not kind and not open_[name]:
             continue
         if token["close"]:
@@ -153,12 +183,12 @@ def blocks(html: str) -> list[tuple[str, str]]:
         if name in AUTO and stack and stack[-1][0] == name:
             pop()
         if name not in VOID and not token["rest"].endswith("/"):
-            around = stack[-1][1][1:] if stack else ""
-            stack.append((name, "=" + _held(name, kind, around)))
-            open_.update(stack[-1])
+            around, element = (stack[-1][1][1:], stack[-1][2]) if stack else ("", -1)
+            element = seen if kind == "soft" and element < 0 else element
+            stack.append((name, "=" + _held(name, kind, around), element))
+            open_.update(stack[-1][:2])
     end()
-    inner = "chrome" if any(kind == "own" for _, kind in out) else "own"  # of two articles, the one in a sidebar isn't the page's
-    return [(line, {"soft": "chrome", "inner": inner}.get(kind, kind)) for line, kind in out]
+    return out
 
 
 def _last_row(a: list[int], b: list[int]) -> list[int]:
@@ -345,9 +375,11 @@ def _guests(edges: list[dict]) -> dict[int, tuple[Page | None, Page | None]]:
 
 def pair(rows: DataFrame) -> DataFrame:
     """``key``, ``id``, the neighbour's id ``partner`` and the places ``shared`` of every page ``(key, page_id, host, path, lines)``."""
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
-    lines = rows.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("k"))
-    # a host has twice as many such lines as a mean page of it has lines, at most
+    # a page counts by its longest line, so that all near copies of a text are one and its lines aren't common
+    story = F.array_max("lines").alias("story")
+    sizes = rows.where(F.size("lines") > 0).groupBy("host", story).count().groupBy("host").agg(F.count("*").alias("n"))
+    lines = rows.select("host", story, F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line", "story").count().groupBy("host", "line").agg(F.count("*").alias("k"))
+    # a host has twice as many such lines as a mean story of it has lines, at most
     common = lines.where("k >= 3").join(sizes, "host").where("2 * k > n").groupBy("host").agg(F.collect_list("line").alias("common"))
     common = materialize(common, "page-common")  # of its own, so that the join can split a hot host
     rare = F.transform("lines", lambda x: F.coalesce(~F.array_contains("common", x), F.lit(True)))

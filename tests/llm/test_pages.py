@@ -1,6 +1,10 @@
 """Pages in layout wrappers, and near copies on pages without marks."""
 
+import os
+from collections import defaultdict
+
 import pytest
+import xxhash
 
 from driftwatch.llm import pages
 
@@ -44,6 +48,20 @@ def test_marks_keep_what_they_should(html, want):
     assert pages.main_text(pages.blocks(html)) == want
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<form id=f><div>Title of it</div><p>The body of a page that a server made.</p><input><div class=share>Share</div></form>", "Title of it The body of a page that a server made."),
+        ("<div class='with sidebar'><p>The whole body is in here, all of it.</p><div class='sidebar'>Links</div></div>", "The whole body is in here, all of it."),
+        ("<form><div class='sidebar'><p>The whole body is in here, all of it.</p><nav>Menu</nav></div></form>", "The whole body is in here, all of it."),
+        ("<p>The text is outside.</p><form>Name and address, please, and a lot more about yourself</form>", "The text is outside."),
+        ("<article>Short.</article><form>A long form with many, many questions that nobody wants to answer at all, ever</form>", "Short."),
+    ],
+)
+def test_wrappers_of_whole_pages_are_no_furniture(html, want):
+    assert pages.main_text(pages.blocks(html)) == want
+
+
 def test_deep_and_broken_pages_take_time_in_proportion():
     import time
 
@@ -61,26 +79,54 @@ def site(body, date=""):
     return f"<div>Site name and a very long motto that is furniture on each page of it</div><p>{date}</p>{body}<div>All about us</div>"
 
 
-def brute(rows):
-    """The texts by a plain walk over all pages of a host."""
-    from collections import Counter, defaultdict
+def kept(lines, shared=()):
+    """The text of split lines without those at the places ``shared``, but for the page's own."""
+    left = [(line, kind) for i, (line, kind) in enumerate(lines) if kind == "own" or not kind and i not in shared]
+    own = [line for line, kind in left if kind]
+    return " ".join(own if 2 * sum(map(len, own)) > sum(len(line) for line, _ in left) else [line for line, _ in left])
+
+
+def aligned(a, b):
+    """Places in ``a`` of a longest common subsequence, by the full table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = 1 + best[i + 1][j + 1] if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = set()
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
 
+
+def brute(rows):
+    """The texts by a plain walk over all pages of a host; of the operator it takes the splitter alone."""
     out, hosts = {}, defaultdict(list)
     for i, url, html in rows:
         host, _, path = (url or "").removeprefix("http://").partition("/")
         lines = pages.blocks(html or "")
-        out[i] = pages.main_text(lines)
+        out[i] = kept(lines)
         hosts[host].append(("/" + path if url else "", i, lines))
     for own in hosts.values():
-        own.sort(key=lambda x: x[:2])
-        counts = Counter(line for _, _, lines in own for line in {line for line, _ in lines})
-        common = {line for line, k in counts.items() if k >= 3 and 2 * k > len(own)}
-        own = [x for x in own if x[2]]
+        own = sorted((x for x in own if x[2]), key=lambda x: x[:2])
+        texts = {i: [line for line, _ in lines] for _, i, lines in own}
+        story = {i: max(texts[i], key=lambda x: (len(x), xxhash.xxh64_intdigest(x) >> 11)) for i in texts}
+        of = defaultdict(set)
+        for i, lines in texts.items():
+            for line in lines:
+                of[line].add(story[i])
+        common = {line for line, stories in of.items() if len(stories) >= 3 and 2 * len(stories) > len({*story.values()})}
 
         def one_body(a, b):
-            x, y = ({line for line, _ in p[2]} - common for p in (a, b))
+            x, y = ({*texts[p[1]]} - common for p in (a, b))
             size = lambda s: sum(map(len, s))
-            return [*a[2]] == [*b[2]] or x == y or 4 * (max(size(x), size(y)) - size(x & y)) < size(x & y)
+            return texts[a[1]] == texts[b[1]] or x == y or 4 * (max(size(x), size(y)) - size(x & y)) < size(x & y)
 
         runs = []
         for page in own:
@@ -92,10 +138,9 @@ def brute(rows):
             near = [runs[k - 1][-1]] * (k > 0) + [x[0] for x in runs[k + 1 : k + 2]]
             for path, i, lines in run:
                 if near:
-                    best = max(near, key=lambda x: pages._alike(x[0], path))
-                    a, b = ([line for line, _ in p] for p in (lines, best[2]))
-                    shared = pages.common_lines(a, b)
-                    out[i] = pages.main_text(lines, {x for x in shared if a[x] in common} if len(shared) == len(a) else shared)
+                    best = max(near, key=lambda x: len(os.path.commonprefix([x[0], path])))
+                    shared = aligned(texts[i], texts[best[1]])
+                    out[i] = kept(lines, {x for x in shared if texts[i][x] in common} if len(shared) == len(lines) else shared)
     return out
 
 
@@ -103,6 +148,23 @@ def extracted(frame, rows):
     return {r["page_id"]: r["text"] for r in pages.extract(frame(rows, "page_id long, url string, html string")).collect()}
 
 
+def words(html):
+    return " ".join(html.replace("<p>", " ").replace("</p>", " ").split())
+
+
+@pytest.mark.parametrize("copies,others", [(2, 0), (3, 0), (6, 0), (4, 3), (3, 1), (30, 2)])
+def test_near_copies_keep_their_article_however_many(frame, copies, others):
+    for date in (lambda i: f"Day {i} of the year", lambda i: "One day"):  # near and exact copies
+        rows = [(i, f"http://h.org/{i:02}", site(story(99), date(i))) for i in range(copies)]
+        rows += [(100 + i, f"http://h.org/{i:02}x", site(story(f"x{i}"), date(i))) for i in range(others)]
+        got = extracted(frame, rows)
+        assert got == brute(rows)
+        for i in range(copies):
+            assert words(story(99)) in got[i]
+        for i in range(others):
+            assert words(story(f"x{i}")) in got[100 + i]
+
+
 def test_differencing_decides_whatever_the_partitions(spark, frame):
     rows = [(i, f"http://h.org/a/{i // 4:02}", site(story(i // 4))) for i in range(40)]  # copies in fours
     rows += [(100 + i, f"http://h.org/near/{i:02}", site(story(99), f"Day {i}")) for i in range(30)]  # near copies
@@ -110,7 +172,6 @@ def test_differencing_decides_whatever_the_partitions(spark, frame):
     rows += [(300 + i, f"http://m.org/{i}", f"<nav>Menu</nav><article>{story(i % 3)}</article><div class='ad'>Ad {i}</div><footer>us</footer>") for i in range(9)]
     rows += [(400, None, None), (401, "http://h.org/a/05", ""), (402, "http://one.org/", site("Alone")), (403, None, site("Odd"))]
     want = brute(rows)
-    words = lambda html: " ".join(html.replace("<p>", " ").replace("</p>", " ").split())
     assert [want[i] for i in (0, 3, 39)] == [words(story(0)), words(story(0)), words(story(9))]
     assert want[107] == words("<p>Day 7</p>" + story(99)) and want[205] == words(story("g5", 1)) and want[302] == words(story(2))
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
