@@ -3,7 +3,8 @@
 A text is cut into sentences at line ends and after ``.``, ``!``, ``?`` or ``;``
 followed by white space. A known sentence may also be wrapped over the lines of a paragraph, with or without
 comment signs before each: it begins and ends where a line or a sentence does. A sentence is normalised to lower-case words of a-z and
-0-9 with single spaces; one that holds an abbreviation or a semicolon is known as a whole. Known sentences have an identifier; the identifiers of a
+0-9 with single spaces; one that holds an abbreviation or a semicolon is known as a whole. A known sentence may have a part of up to ``VARIES`` words for
+the name of a holder or a program. What follows ``SPDX-License-Identifier:`` is an expression: each name in it is a sentence. Known sentences have an identifier; the identifiers of a
 document, in order, form a sequence. A rule is an ordered sequence of identifiers
 and matches where they follow each other with at most ``GAP`` ends of sentences or paragraphs, and no other known sentence, between two. A rule that
 another one includes doesn't count beside it.
@@ -27,10 +28,12 @@ COMMENT, BREAK, OTHER, END = r"\n[ \t]*[#*;/!%|>-]+[ \t]+", r"([.!?;])(?:[ \t\r\
 
 #: Ends of sentences and paragraphs between two sentences of a rule, at most.
 GAP = 8
+#: Words of a name inside a sentence, at most, and how such a part is written in ``SENTENCES`` and is seen in their normal form.
+VARIES, HOLE, SEEN = 12, "{}", "0hole0"
 #: Licenses that a file may name in one line, by their common identifiers.
 NAMED = (
     "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0"
-    " EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0"
+    " EPL-1.0 EPL-2.0 EUPL-1.2 AGPL-3.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0"
     " OFL-1.1 SSPL-1.0 Unlicense WTFPL Zlib"
 ).split()
 #: Names of the forms of the attribution licenses.
@@ -41,21 +44,21 @@ COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Att
 SENTENCES = {
     "cc0": ["To the extent possible under law, the author has dedicated all copyright to the public domain.", "Released under CC0 1.0."],
     "gpl-3": ["This work is licensed under the GNU General Public License, version 3."],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "gpl-2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "gpl-2-only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
-    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
+    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "{} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl-2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "{} is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "gpl-2-only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "{} is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;", "{} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
     "gpl-implied": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "gpl-see": ["See the GNU General Public License for more details."],
-    "gpl-copy": ["You should have received a copy of the GNU General Public License along with this program."],
-    "lgpl-2-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "gpl-copy": ["You should have received a copy of the GNU General Public License along with this program.", "You should have received a copy of the GNU General Public License along with {}."],
+    "lgpl-2-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "{} is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
     "lgpl-3-free": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-                    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+                    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "{} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "lgpl-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
-    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "{} is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "gfdl-grant": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation;"],
     "apache-2": ["Licensed under the Apache License, Version 2.0."],
-    "apache-notice": ['Licensed under the Apache License, Version 2.0 (the "License");'],
+    "apache-notice": ['Licensed under the Apache License, Version 2.0 (the "License");', 'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License");'],
     "apache-may-not": ["you may not use this file except in compliance with the License."],
     "apache-obtain": ["You may obtain a copy of the License at"],
     "apache-unless": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
@@ -72,7 +75,11 @@ SENTENCES = {
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "bsd-advertising": ["All advertising materials mentioning features or use of this software must display the following acknowledgement:"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", 
+                    "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+                    "Neither the name of {} nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+                    "Neither the names of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+                    "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission."],
     "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "mpl-2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "mpl-1": ['The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License");', "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."],
@@ -92,6 +99,15 @@ SENTENCES = {
     "sspl": ["This program is free software: you can redistribute it and/or modify it under the terms of the Server Side Public License, version 1, as published by MongoDB, Inc."],
     "busl": ["Use of this software is governed by the Business Source License included in the LICENSE file."],
     "public-domain": ["This file is in the public domain.", "This code is released into the public domain.", "This work is in the public domain."],
+    "apache-title": ["Version 2.0, January 2004"],
+    "apache-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "gpl-title": ["GNU GENERAL PUBLIC LICENSE"],
+    "lgpl-title": ["GNU LESSER GENERAL PUBLIC LICENSE"],
+    "agpl-title": ["GNU AFFERO GENERAL PUBLIC LICENSE"],
+    "gnu-2-date": ["Version 2, June 1991"],
+    "gnu-2-1-date": ["Version 2.1, February 1999"],
+    "gnu-3-date": ["Version 3, 29 June 2007"],
+    "agpl-3-date": ["Version 3, 19 November 2007"],
     "reserved": ["All rights reserved."],
     "confidential": ["This file is proprietary and confidential.", "Unauthorized copying of this file, via any medium, is strictly prohibited."],
 } | {
@@ -105,9 +121,11 @@ SENTENCES = {
 #: Ordered sequences of sentence identifiers, the license that each one shows, and the licenses beside which it doesn't count.
 RULES = [
     ("0BSD", ["0bsd-grant"], []),
-    ("AGPL-3.0-or-later", ["agpl-free", "gpl-hope", "gpl-implied"], []),
+    ("AGPL-3.0", ["agpl-title", "agpl-3-date"], []),
+    ("AGPL-3.0-or-later", ["agpl-free", "gpl-hope", "gpl-implied"], ["AGPL-3.0"]),
     ("Apache-2.0", ["apache-2"], []),
     ("Apache-2.0", ["apache-notice", "apache-may-not"], []),
+    ("Apache-2.0", ["apache-title", "apache-terms"], []),
     ("Artistic-or-GPL", ["artistic"], []),
     ("BSD", ["bsd-grant"], ["BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"], ["BSD-3-Clause", "BSD-4-Clause"]),
@@ -124,11 +142,16 @@ RULES = [
     ("EUPL-1.2", ["eupl"], []),
     ("GFDL-1.3-or-later", ["gfdl-grant"], []),
     ("GPL-2.0-only", ["gpl-2-only"], []),
-    ("GPL-2.0-or-later", ["gpl-2-free", "gpl-hope", "gpl-implied"], []),
+    ("GPL-2.0", ["gpl-title", "gnu-2-date"], []),
+    ("GPL-2.0-or-later", ["gpl-2-free", "gpl-hope", "gpl-implied"], ["GPL-2.0"]),
     ("GPL-3.0", ["gpl-3"], []),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-implied"], []),
+    ("GPL-3.0", ["gpl-title", "gnu-3-date"], []),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-implied"], ["GPL-3.0"]),
     ("ISC", ["isc-grant"], []),
-    ("LGPL-2.1-or-later", ["lgpl-2-free", "lgpl-hope", "gpl-implied"], []),
+    ("LGPL-2.1", ["lgpl-title", "gnu-2-1-date"], []),
+    ("LGPL-2.1-or-later", ["lgpl-2-free", "lgpl-hope", "gpl-implied"], ["LGPL-2.1"]),
+    ("LGPL-2.1-or-later", ["lgpl-2-free", "gpl-hope", "gpl-implied"], ["LGPL-2.1"]),
+    ("LGPL-3.0", ["lgpl-title", "gnu-3-date"], []),
     ("LGPL-3.0-or-later", ["lgpl-3-free"], []),
     ("MIT", ["mit"], []),
     ("MIT", ["mit-grant", "mit-notice"], []),
@@ -136,7 +159,6 @@ RULES = [
     ("MPL-1.1", ["mpl-1"], []),
     ("MPL-2.0", ["mpl-2"], []),
     ("OFL-1.1", ["ofl"], []),
-    ("Proprietary", ["reserved"], []),
     ("Proprietary", ["confidential"], []),
     ("Public-Domain", ["public-domain"], []),
     ("SSPL-1.0", ["sspl"], []),
@@ -147,8 +169,8 @@ RULES = [
 
 
 def normal(sentence: str) -> str:
-    """A known sentence as the scan sees it."""
-    return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
+    """A known sentence as the scan sees it, with ``SEEN`` for a part that varies."""
+    return re.sub(r"[^a-z0-9]+", " ", sentence.replace(HOLE, SEEN).lower()).strip()
 
 
 def known_sentences() -> dict[str, list[str]]:
@@ -157,31 +179,55 @@ def known_sentences() -> dict[str, list[str]]:
 
 
 def rule_pattern(ids: list[str]) -> str:
-    """Where a rule matches in identifiers that commas enclose, with a point for each end of a sentence or paragraph between them."""
-    return rf"\.{{0,{GAP}}}".join(f",{i}," for i in ids)
+    """Where a rule matches in identifiers that commas enclose, with a semicolon for each end of a sentence or paragraph between them."""
+    return rf";{{0,{GAP}}}".join(f",{re.escape(i)}," for i in ids)
+
+
+def _sentence_form(parts: list[str]) -> str:
+    """What a known sentence looks like in a marked text: words and line ends, with a name where it varies, in which sentences may seem to end."""
+    words = rf"[a-z0-9]+(?:[ \n]\n?[a-z0-9]+){{0,{VARIES - 1}}}?"
+    form = "[ \n]\n*".join(part.replace(" ", "[ \n]") for part in parts)
+    return form.replace(f"[ \n]{SEEN}[ \n]", rf"[ \n]\n?{words}[ \n]\n?").replace(f"{SEEN}[ \n]", rf"{words}[ \n]\n?").replace(f"[ \n]{SEEN}", rf"[ \n]\n?{words}")
+
+
+def _ids_of(sentence: Column) -> Column:
+    """The identifiers of a found sentence, each enclosed by commas."""
+    known = known_sentences()
+    lookup = F.create_map(*[F.lit(x) for s, (name, *_) in known.items() if SEEN not in s for x in (s, name)])
+    plain = F.regexp_replace(sentence, "[ \n]+", " ")
+    varied = [F.when(plain.rlike(f"^{s.replace(SEEN, '[a-z0-9 ]+')}$"), F.lit(name)) for s, (name, *_) in known.items() if SEEN in s]
+    one = F.concat(F.lit(","), F.coalesce(F.try_element_at(lookup, plain), *varied, F.lit("")), F.lit(","))
+    names = F.create_map(*[F.lit(x) for name in NAMED for x in (normal(name), f",named-{name.lower()},")])
+    terms = F.split(F.substring(plain, len(SPDX) + 1, 1 << 20), " (?:or(?! later)|and) ")
+    told = F.transform(terms, lambda x: F.coalesce(F.try_element_at(names, F.regexp_replace(x, " with .*$", "")), F.lit("")))
+    return F.when(plain.startswith(SPDX), F.array_join(told, "")).otherwise(one)
+
+
+#: How the line begins in which a file names its licenses, in normal form.
+SPDX = "spdx license identifier "
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids`` and ``licenses``, lists joined by commas, and ``n_known`` sentences."""
     known = known_sentences()
-    forms = ["[ \n]\n*".join(part.replace(" ", "[ \n]") for part in known[s][1:]) for s in sorted(known, key=len, reverse=True)]
-    any_ = rf"(?<![^\n])(?:{'|'.join(forms)})(?![^\n])"
+    forms = [_sentence_form(known[s][1:]) for s in sorted(known, key=len, reverse=True) if not s.startswith(SPDX)]
+    any_ = rf"(?<![^\n])(?:{'|'.join(forms)}|{SPDX}[a-z0-9 ]+)(?![^\n])"
+    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.when(whole.contains("GPL-"), F.regexp_replace(whole, r"(GPL-[0-9]\.[0-9])\+", "$1-or-later")).otherwise(whole)
     # line ends are single, ends of sentences and paragraphs double
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), COMMENT, "\n"), BREAK, "$1\n\n")
+    marked = F.regexp_replace(F.regexp_replace(whole, COMMENT, "\n"), BREAK, "$1\n\n")
     plain = F.btrim(F.regexp_replace(F.regexp_replace(F.translate(marked, UPPER, LOWER), OTHER, " "), END, "\n"))
-    lookup = F.create_map(*[F.lit(x) for s, (name, *_) in known.items() for x in (s, name)])
-    id_of = lambda s: F.element_at(lookup, F.regexp_replace(s, "[ \n]+", " "))
     # texts with a known sentence are read once more, for the ends of sentences between them
     found = F.when(plain.rlike(any_), F.regexp_extract_all(plain, F.lit(rf"{any_}|\n\n+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    codes = F.transform(found, lambda s: F.when(s.startswith("\n"), F.lit(".")).otherwise(F.concat(F.lit(","), id_of(s), F.lit(","))))
+    codes = F.transform(found, lambda s: F.when(s.startswith("\n"), F.lit(";")).otherwise(_ids_of(s)))
     out = docs.withColumn("_codes", F.array_join(codes, ""))
-    ids = F.filter(F.split("_codes", "[.,]+"), lambda s: s != "")
+    ids = F.filter(F.split("_codes", "[;,]+"), lambda s: s != "")
     named = [(name, F.col("_codes").rlike(rule_pattern(rule)), beside) for name, rule, beside in RULES]
     hits = []
     for name, hit, beside in named:
         for other, its, _ in named:
             hit = hit & ~its if other in beside else hit
         hits.append(F.when(hit, F.lit(name)))
-    matched = F.when(F.col("_codes") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*hits))))
+    matched = F.when(F.size(ids) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*hits))))
     out = out.withColumns({"sentence_ids": F.array_join(ids, ","), "n_known": F.size(ids).cast("long"), "licenses": F.array_join(matched, ",")})
     return out.drop("_codes")

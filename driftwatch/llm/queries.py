@@ -111,7 +111,7 @@ def queries() -> dict:
 def _license_sql() -> str:
     """Cuts at line ends too, and knows the sentences without a break inside: it agrees where notices aren't wrapped, as in the given tables."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(s)}, {quote(name)})" for s, (name, *parts) in licenses.known_sentences().items() if len(parts) == 1)
+    known = ", ".join(f"({quote(s)}, {quote(name)})" for s, (name, *parts) in licenses.known_sentences().items() if len(parts) == 1 and licenses.SEEN not in s)
     rules: dict[str, list[str]] = {}
     for name, ids, _ in licenses.RULES:
         rules.setdefault(name, []).append(f"regexp_matches(seq, {quote(licenses.rule_pattern(ids))})")
@@ -126,7 +126,7 @@ cut AS (
     '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS s
   FROM numbered),
 each AS (SELECT rn, trim(unnest(s), ' ') AS sentence, generate_subscripts(s, 1) AS i FROM cut),
-seen AS (SELECT rn, string_agg(coalesce(',' || name || ',', '') || '.', '' ORDER BY i) AS seq, coalesce(string_agg(name, ',' ORDER BY i), '') AS ids, count(name) AS n
+seen AS (SELECT rn, string_agg(coalesce(',' || name || ',', '') || ';', '' ORDER BY i) AS seq, coalesce(string_agg(name, ',' ORDER BY i), '') AS ids, count(name) AS n
   FROM each LEFT JOIN known USING (sentence) GROUP BY rn),
 found AS (SELECT n.doc_id, s.seq, s.ids AS sentence_ids, s.n::BIGINT AS n_known FROM numbered n JOIN seen s USING (rn))
 SELECT doc_id, CASE WHEN n_known = 0 THEN '' ELSE array_to_string(list_filter(list_value({cases}), lambda x: x IS NOT NULL), ',') END AS licenses, sentence_ids, n_known FROM found

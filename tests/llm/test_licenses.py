@@ -50,6 +50,83 @@ def test_versions_and_families_are_told_apart(frame):
     assert {names[r["doc_id"]]: r["licenses"] for r in licenses.scan(docs).collect()} == {n: n for n in names}
 
 
+BSD = """Copyright 2008, {holder}
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+    * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+{more}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+NEITHER = """    * Neither the name of {holder} nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+FREE = """{name} is free software{a} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{b} either version {n} of the License, or
+(at your option) any later version.
+
+{name} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def commented(text, sign="// "):
+    return "\n".join((sign + line).rstrip() for line in text.split("\n"))
+
+
+#: Headers as files have them, and the licenses that they show.
+HEADERS = [
+    (commented(BSD.format(holder="Google Inc.", more=NEITHER.format(holder="Google Inc."))), "BSD-3-Clause"),
+    (commented(BSD.format(holder="The Regents", more=NEITHER.format(holder="the University of Somewhere, Berkeley")), " * "), "BSD-3-Clause"),
+    (BSD.format(holder="Jane Doe <jane@doe.org>", more=""), "BSD-2-Clause"),
+    (commented(BSD.format(holder="NumPy Developers.", more=NEITHER.format(holder="the NumPy Developers")), "# "), "BSD-3-Clause"),
+    (BSD.format(holder="A. Uthor", more="* The name of the author may not be used to endorse or promote products\nderived from this software without specific prior written permission."), "BSD-3-Clause"),
+    (FREE.format(name="Foo", a=":", b=",", n=3, kind=""), "GPL-3.0-or-later"),
+    (commented(FREE.format(name="GNU Emacs", a=":", b=",", n=3, kind=""), ";; "), "GPL-3.0-or-later"),
+    (commented(FREE.format(name="The Frob Toolkit", a=";", b=";", n=2, kind=""), " * "), "GPL-2.0-or-later"),
+    (FREE.format(name="Bar", a=":", b=",", n=3, kind="Affero "), "AGPL-3.0-or-later"),
+    (FREE.format(name="libbaz", a=";", b=";", n="2.1", kind="Lesser "), "LGPL-2.1-or-later"),
+    (FREE.format(name="libbaz", a=":", b=",", n="3", kind="Lesser "), "LGPL-3.0-or-later"),
+    ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */\nint x;", "Apache-2.0,MIT"),
+    ("// SPDX-License-Identifier: GPL-2.0\n", "GPL-2.0"),
+    ("# SPDX-License-Identifier: GPL-2.0+\n", "GPL-2.0-or-later"),
+    ("# SPDX-License-Identifier: (LGPL-2.1-or-later AND BSD-3-Clause)\n", "BSD-3-Clause,LGPL-2.1-or-later"),
+    ("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MPL-2.0\n", "GPL-2.0-only,MPL-2.0"),
+    ("<!-- SPDX-License-Identifier: CC-BY-SA-4.0 -->", "CC-BY-SA-4.0"),
+    ("# SPDX-License-Identifier: LicenseRef-Own", ""),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n"
+     "   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n", "Apache-2.0"),
+    (commented('Licensed to the Apache Software Foundation (ASF) under one or more\ncontributor license agreements.  The ASF licenses this file to You under the Apache License, Version 2.0\n'
+               '(the "License"); you may not use this file except in compliance with\nthe License.  You may obtain a copy of the License at\n', "# "), "Apache-2.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n" + FREE.format(name="This program", a=":", b=",", n=3, kind=""), "GPL-3.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", "GPL-2.0"),
+    ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n", "AGPL-3.0"),
+    ("The night was long, and nobody spoke of it again. The end.\n\nCopyright 1999 by the author. All rights reserved.\n", ""),
+    ("Emacs is free software that anybody may copy. It is distributed in the hope that it will be useful.", ""),
+    ("This file is proprietary and confidential.\n", "Proprietary"),
+]
+
+
+def test_headers_of_files(frame):
+    docs = frame([(i, text) for i, (text, _) in enumerate(HEADERS)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert {i: got[i]["licenses"] for i in got} == {i: want for i, (_, want) in enumerate(HEADERS)}
+    assert got[11]["sentence_ids"] == "named-mit,named-apache-2.0" and got[11]["n_known"] == 2
+
+
 def test_gaps_are_bounded(frame):
     one, two = (licenses.SENTENCES[n][0] for n in ("apache-notice", "apache-may-not"))
     rows = [(n, " ".join([one, *["Something else."] * n, two])) for n in (0, 7, 8, 500)]
