@@ -16,6 +16,9 @@ Two sets of the similarity share more keys than one: what lies beyond the prefix
 too few (``fewest``), so pairs of fewer common keys are left out before they are verified. In a large bucket each row
 has with it the class's keys of all large buckets: so a pair is counted at once, and emitted in the first of the buckets that it shares.
 A pair that shares small buckets too is known from these.
+Large buckets of one component need nothing more. Of the others, those of over ``HOT`` classes are split over tasks before pairs are looked for: a pair needs two
+common keys of large buckets, so a class is filed under its pairs of keys, or one is enough (``fewest``), which the sizes of the two sets must just allow, so it is
+filed under the size of the smaller set.
 No pair that could join two components is left out.
 
 Nulls, empty texts and texts of white space are copies. A null ``doc_id`` links like
@@ -44,6 +47,8 @@ BITS = 28
 SMALL = 64
 #: Texts in the sample, the share of them from which on a shingle is common, and the most common shingles that are sent to all tasks.
 SAMPLE, COMMON, MOST = 4_000, 1 / 1000, 1 << 16
+#: Classes of a large bucket from which on it is split by second keys and sizes.
+HOT = 1 << 13
 #: Slots by which documents of no candidate pair are left out before a join.
 SLOTS = 1 << 20
 #: Pairs in a batch, and bytes of rows of buckets that are taken together.
@@ -162,14 +167,15 @@ def fewest(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-4 * (n + m) // 9) - np.maximum(-(-4 * n // 5), -(-4 * m // 5)) + 1
 
 
-def _may_be(n: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _may_be(n: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     """Whether sizes and fingerprints of two rows allow the similarity."""
     ok = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
-    ok[ok] = within(fp[a[ok]].view(np.uint64), fp[b[ok]].view(np.uint64), BITS)
+    if bits < 64:
+        ok[ok] = within(fp[a[ok]].view(np.uint64), fp[b[ok]].view(np.uint64), bits)
     return ok
 
 
-def first_pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+def first_pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray, bits: int = BITS) -> Iterator[pa.RecordBatch]:
     """All pairs of small buckets; of others each class with the first, and its rows with a null ``b``."""
     bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size, ends = np.repeat(np.diff(bounds), np.diff(bounds)), np.repeat(bounds[1:], np.diff(bounds))
@@ -190,7 +196,7 @@ def first_pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray)
     two: list[np.ndarray] = []
     for a, b in pairs():
         a, b = a[cls[a] != cls[b]], b[cls[a] != cls[b]]
-        ok = _may_be(n, fp, a, b)
+        ok = _may_be(n, fp, a, b, bits)
         one.append(a[ok])
         two.append(b[ok])
         if sum(map(len, one)) >= BATCH:
@@ -200,34 +206,38 @@ def first_pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray)
     yield _batch(key[large], cls[large], None, n[large], fp[large])
 
 
-def cross_pairs(key: np.ndarray, label: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def cross_pairs(
+    bucket: np.ndarray, key: np.ndarray, second: np.ndarray, label: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray, keys: list[np.ndarray], bits: int = BITS
+) -> Iterator[pa.RecordBatch]:
     """The pairs of different labels in each bucket whose sizes, fingerprints and numbers of common large buckets allow the similarity.
 
-    Rows are sorted by key and label, the ``keys`` of each in ascending order. A pair comes in the bucket of the smallest key that it shares.
+    Rows are sorted by bucket and label, the ``keys`` of each in ascending order. A pair comes in the bucket of the smallest ``key`` that it shares, and
+    of the next one as ``second`` where that isn't the same.
     """
-    new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    new = np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])
     bounds = np.flatnonzero(new)
     ends = np.repeat(bounds[1:], np.diff(bounds))
-    groups = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]), [True]]))
+    groups = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (label[1:] != label[:-1]), [True]]))
     others = np.repeat(groups[1:], np.diff(groups))  # where the next label begins
     flat, size = np.concatenate([np.zeros(0, np.int64), *keys]), np.array([len(x) for x in keys], np.int64)
     start = np.cumsum(size) - size
     values, ids = np.unique(flat, return_inverse=True)
-    mine, mark = np.searchsorted(values, key), np.zeros(len(values), bool)
+    mine, then, mark = np.searchsorted(values, key), np.searchsorted(values, second), np.zeros(len(values), bool)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    held, last = 0, len(key) - 1
+    held, last = 0, len(bucket) - 1
     for row in [*np.flatnonzero(others < ends).tolist(), last]:
         near = np.arange(others[row], ends[row])
         near = near[5 * np.minimum(n[row], n[near]) >= 4 * np.maximum(n[row], n[near])]
-        near = near[within(np.full(len(near), fp[row]).view(np.uint64), fp[near].view(np.uint64), BITS)]
+        if bits < 64:
+            near = near[within(np.full(len(near), fp[row]).view(np.uint64), fp[near].view(np.uint64), bits)]
         if len(near):
             mark[ids[start[row] : start[row] + size[row]]] = True
             first = np.cumsum(size[near]) - size[near]
             at = np.repeat(start[near] - first, size[near]) + np.arange(size[near].sum())
             shared = mark[ids[at]]
             ok = np.add.reduceat(shared, first, dtype=np.int64) >= fewest(n[row], n[near])
-            ok &= ~np.logical_or.reduceat(shared & (ids[at] < mine[row]), first)
+            ok &= ~np.logical_or.reduceat(shared & (ids[at] < then[row]) & (ids[at] != mine[row]), first)
             mark[ids[start[row] : start[row] + size[row]]] = False
             near = near[ok]
             left.append(np.full(len(near), row))
@@ -239,6 +249,24 @@ def cross_pairs(key: np.ndarray, label: np.ndarray, cls: np.ndarray, n: np.ndarr
             left, right, held = [], [], 0
 
 
+def _split(rows: DataFrame) -> DataFrame:
+    """Rows ``(key, label, cls, n, fp, keys, k)`` of large buckets with the ``bucket`` in which their pairs are looked for: their own, or for one of over ``HOT`` classes several smaller ones.
+
+    With n and m the sizes of the larger and the smaller set, one common key is enough where ``4 (n + m) / 9`` isn't over ``ceil(4 n / 5)``: up to three m for each n.
+    """
+    columns = ["bucket", "key", "second", "label", "cls", "n", "fp", "keys"]
+    cold = rows.where(F.col("k") <= HOT).select(F.col("key").alias("bucket"), "key", F.col("key").alias("second"), *columns[3:])
+    hot = rows.where(F.col("k") > HOT)
+    later = F.explode(F.filter("keys", lambda x: x > F.col("key"))).alias("second")
+    by_second = hot.select("key", later, *columns[3:]).withColumn("bucket", F.xxhash64("key", "second"))
+    least = F.ceil(4 * F.col("n") / 5)
+    most = F.least(F.col("n"), F.floor(9 * least / 4) - F.col("n"))
+    smaller = F.when(most >= least, F.sequence(least, most)).otherwise(F.array().cast("array<long>"))
+    sizes = F.explode(F.array_union(F.array(F.col("n").cast("long")), smaller.cast("array<long>"))).alias("size")
+    by_size = hot.select("key", F.col("key").alias("second"), *columns[3:], sizes).withColumn("bucket", F.xxhash64("key", F.lit("size"), "size"))
+    return cold.unionByName(by_second.select(*columns)).unionByName(by_size.select(*columns))
+
+
 def _enough(pairs: DataFrame) -> DataFrame:
     """The distinct pairs that share enough keys; each key gives a pair once, and ``n`` is the number that they need."""
     both = pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
@@ -281,8 +309,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
     return pairs.join(one, "a").join(two, "b").where(5 * both >= 4 * (F.size("one") + F.size("two") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``component_id``, the smallest id of its component, of every document."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """``doc_id`` and ``component_id``, the smallest id of its component, of every document. With 64 ``bits`` no fingerprint keeps a pair from the exact similarity."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     common = _common(docs, words)
 
@@ -304,7 +332,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialize(marks.groupBy("cls").agg(F.min("doc_id").alias("first")), "near-classes")
     sets = docs.select(marked("text").alias("m")).groupBy("m.cls").agg(*[F.first(f"m.{x}").alias(x) for x in ("n", "fp", "keys")])
     keys = sets.select(F.explode("keys").alias("key"), "cls", "n", "fp").repartition("key").sortWithinPartitions("key", "cls")
-    found = materialize(keys.mapInArrow(lambda rows: _buckets(rows, first_pairs), "key long, a long, b long, n long, fp long"), "near-buckets")
+    found = materialize(keys.mapInArrow(lambda rows: _buckets(rows, lambda *x: first_pairs(*x, bits)), "key long, a long, b long, n long, fp long"), "near-buckets")
     # a class that shares large buckets has more common keys than its pairs here say: what is left out for that comes again below
     pairs = materialize(_enough(found.where("b IS NOT NULL")), "near-pairs")
     links = materialize(_verified(pairs, classes, docs, words), "near-links")
@@ -313,9 +341,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not large.isEmpty():
         lists = materialize(large.groupBy(F.col("a").alias("cls")).agg(F.array_sort(F.collect_list("key")).alias("keys")), "near-large")  # of a prefix at most
         label = F.coalesce("component", "a").alias("label")
-        rows = large.join(joined, large.a == joined.node, "left").select("key", label, F.col("a").alias("cls"), "n", "fp").join(lists, "cls")
-        rows = rows.select("key", "label", "cls", "n", "fp", "keys").repartition("key").sortWithinPartitions("key", "label", "cls")
-        more = rows.mapInArrow(lambda batches: _buckets(batches, cross_pairs), "a long, b long")
+        rows = large.join(joined, large.a == joined.node, "left").select("key", label, F.col("a").alias("cls"), "n", "fp")
+        mixed = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key", "k")
+        rows = _split(rows.join(mixed, "key").join(lists, "cls").select("key", "label", "cls", "n", "fp", "keys", "k"))
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket", "label", "cls")
+        more = rows.mapInArrow(lambda batches: _buckets(batches, lambda *x: cross_pairs(*x, bits)), "a long, b long")
         sized = large.groupBy("key").agg(F.lit(True).alias("large"))
         small = found.where("b IS NOT NULL").join(sized, "key", "left_anti")
         small = small.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n")).where("k < n")
@@ -330,8 +360,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marks.select("doc_id", "cls").join(of_class.join(smallest, "component").select("cls", "component_id"), "cls").select("doc_id", "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """``docs`` without the documents that have a smaller id in their component. Rows of null id stay."""
-    found = near_duplicates(docs, doc_id, text, words)
+    found = near_duplicates(docs, doc_id, text, words, bits)
     spare = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_spare")).distinct()
     return docs.join(spare, F.col(doc_id) == F.col("_spare"), "left_anti")

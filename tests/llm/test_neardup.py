@@ -40,18 +40,78 @@ def edited(text, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("small", [2, 64])
-def test_equals_brute_force(frame, monkeypatch, small):
+@pytest.mark.parametrize("small,hot,bits", [(2, 1 << 13, 28), (2, 2, 28), (64, 2, 64)])
+def test_equals_brute_force(frame, monkeypatch, small, hot, bits):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "HOT", hot)
     random.seed(small)
     base = [" ".join(f"w{random.randrange(3000)}" for _ in range(120)) for _ in range(6)]
     rows = [(i, edited(base[i % 6], random.choice([0, 1, 2, 3, 4, 8]))) for i in range(120)]
     rows += [(None, None), (200, ""), (201, " \t"), (202, "One two"), (203, "one  TWO"), (None, base[0]), (204, base[1].upper()), (205, "a " * 300)]
     rows += [(None, edited("x y z " + base[2], 0)), (None, "only here without an id at all")]
-    got = neardup.near_duplicates(frame(rows, "doc_id long, text string")).collect()
+    got = neardup.near_duplicates(frame(rows, "doc_id long, text string"), bits=bits).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def large_rows(draw, groups, phrase):
+    """Rows of one large bucket: sets that share its key, each group alike; ``phrase`` keys lie in all of them."""
+    np, rows, key = neardup.np, [], 5
+    for g in range(groups):
+        base = [1 << 40 | g << 12 | i for i in range(draw.randint(6, 60))]
+        for member in range(3):
+            own = {*base} - {*draw.sample(base, len(base) // 10 * (member % 2))} | {key, *phrase}
+            if member == 2:
+                own |= {1 << 50 | g << 12 | i for i in range(len(base) // 5)}
+            rows.append((g * 3 + member, own))
+    return rows
+
+
+def pairs_in(buckets):
+    """What ``cross_pairs`` finds in all buckets."""
+    np, out = neardup.np, []
+    rows = sorted(buckets)
+    columns = [np.array([r[i] for r in rows], np.int64) for i in range(7)]
+    keys = np.empty(len(rows), object)
+    keys[:] = [np.array(r[7], np.int64) for r in rows]
+    for batch in neardup.cross_pairs(*columns, keys, 64):
+        out += [tuple(sorted(x)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    return out
+
+
+def test_split_buckets_give_the_pairs_of_whole_ones(spark, monkeypatch):
+    draw = random.Random(4)
+    sets = large_rows(draw, 25, (7, 9))
+    rows = [(5, c, c, len(own), 0, sorted(own)[: len(own) - -(-4 * len(own) // 5) + 1], len(sets)) for c, own in sets]
+    schema = "key long, label long, cls long, n long, fp long, keys array<long>, k long"
+    found = {}
+    for hot in (1, 1 << 13):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        split = neardup._split(spark.createDataFrame(rows, schema)).collect()
+        buckets = [(r["bucket"], r["label"], r["key"], r["second"], r["cls"], r["n"], r["fp"], r["keys"]) for r in split]
+        found[hot] = pairs_in([(b, k, s, label, c, n, f, ks) for b, label, k, s, c, n, f, ks in sorted(buckets)])
+        if hot == 1:
+            sizes = [sum(x[0] == b for x in buckets) for b in {x[0] for x in buckets}]
+            assert len(sizes) > 20
+    assert {*found[1]} == {*found[1 << 13]} and len(found[1 << 13]) > 20
+
+
+def test_a_hot_key_of_many_classes_takes_time_in_proportion(spark, monkeypatch):
+    """Classes that share one phrase alone: split by size, twice as many take about twice the time."""
+    import time
+
+    monkeypatch.setattr(neardup, "HOT", 64)
+    took = []
+    for n in (8_000, 32_000):
+        draw = random.Random(n)
+        rows = [(5, c, c, draw.randint(5, 4 * n // 80), draw.getrandbits(63), [5], n) for c in range(n)]
+        split = neardup._split(spark.createDataFrame(rows, "key long, label long, cls long, n long, fp long, keys array<long>, k long"))
+        buckets = [(r["bucket"], r["key"], r["second"], r["label"], r["cls"], r["n"], r["fp"], r["keys"]) for r in split.collect()]
+        began = time.perf_counter()
+        pairs_in(buckets)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 2
+
+
 def test_prefixes_of_alike_sets_meet():
     random.seed(1)
     for _ in range(300):
