@@ -13,6 +13,7 @@ from driftwatch.plans import views as V
 from driftwatch.plans.registry import query, with_tables
 from driftwatch.session import fresh_path, table
 from driftwatch.sources import segments as G
+from driftwatch.sources import spanned
 from driftwatch.sources import tables
 
 DETECTORS = ["click", "purchase", "error"]
@@ -349,3 +350,16 @@ def cluster_distances(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables("scores", CLUSTERED + " SELECT stream, start, length, distance FROM far WHERE coalesce(distance, start) >= 6"))
 def valid_clusters(spark: SparkSession, d: str) -> DataFrame:
     return E.valid_clusters(_clusters(spark, d), 6)
+
+
+@query("""SELECT event_id, value, CAST(floor(epoch_us(ts) / 8.64e10) AS BIGINT) * 86400 AS t0 FROM events
+WHERE floor(epoch_us(ts) / 8.64e10) * 86400 >= (SELECT floor(min(epoch_us(ts)) / 8.64e10) * 86400 + 3 * 86400 FROM events)
+AND (floor(epoch_us(ts) / 8.64e10) + 1) * 86400 < (SELECT floor(min(epoch_us(ts)) / 8.64e10) * 86400 + 20 * 86400 FROM events)""")
+def spanned_events(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a day each, of which those of some days are opened."""
+    path, rows = fresh_path(spark, "days"), V.events(spark, d)
+    day = (F.floor(F.col("t") / 86_400) * 86_400).cast("long")
+    rows.select("event_id", "value", F.concat(F.lit("H1-"), day, F.lit("-86400")).alias("span")).repartition("span").write.partitionBy("span").parquet(path)
+    first = rows.agg(F.min(day)).first()[0]
+    out = spanned.read_spanned(spark, path, "event_id long, value double")
+    return out.where((F.col("t0") >= first + 3 * 86_400.0) & (F.col("stop") < first + 20 * 86_400.0)).select("event_id", "value", F.col("t0").cast("long").alias("t0"))

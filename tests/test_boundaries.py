@@ -435,3 +435,21 @@ def test_forest_scores_equal_a_recursive_walk(frame):
     got = models.score_isolation_forest(rows, forest, "x").orderBy("i").collect()
     for r, x in zip(got[:40], points, strict=False):
         assert r["score"] == pytest.approx(-(2 ** (-np.mean([depth(x, t) for t in range(15)]) / common(64))))
+
+
+def test_files_beyond_the_times_are_not_opened(spark, frame, tmp_path):
+    from driftwatch.sources import spanned
+
+    frame([(1, 0.5), (2, 1.5)], "idx long, score double", 1).coalesce(1).write.parquet(f"{tmp_path}/H1-1234567890-64")
+    for name in ("H1-1234567954-64", "L1-1234568018.5-10_3", "notes"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.parquet").write_text("this is no Parquet file")
+    rows = spanned.read_spanned(spark, str(tmp_path), "idx long, score double")
+    early = rows.where("stop <= 1234567954 and score > 1")
+    plan = early._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[1:] for r in early.collect()] == [(1234567890.0, 1234567954.0, None, False, 2, 1.5)]
+    assert "Filter" in plan and "stop" not in plan.split("Filter", 1)[1].split("\n")[0]  # Spark filters by score only
+    assert [r["path"].split("/")[-2] for r in rows.where("rejected").collect()] == ["notes"]
+    files = spanned.read_spanned(spark, str(tmp_path))
+    assert sorted((r["t0"] or 0, r["rejected"]) for r in files.collect()) == [(0, True), (1234567890.0, False), (1234567954.0, False), (1234568018.5, False)]
+    assert spanned.read_spanned(spark, str(tmp_path)).where("t0 > 2e9").count() == 0
