@@ -18,6 +18,7 @@ replace columns of the same name. An empty table stays empty.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,15 +211,22 @@ SPDX = "spdx license identifier "
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids`` and ``licenses``, lists joined by commas, and ``n_known`` sentences."""
     known = known_sentences()
-    forms = [_sentence_form(known[s][1:]) for s in sorted(known, key=len, reverse=True) if not s.startswith(SPDX)]
-    any_ = rf"(?<![^\n])(?:{'|'.join(forms)}|{SPDX}[a-z0-9 ]+)(?![^\n])"
+    forms = {s: _sentence_form(known[s][1:]) for s in sorted(known, key=len, reverse=True) if not s.startswith(SPDX)}
+    any_of = lambda these: rf"(?<![^\n])(?:{'|'.join([*these, SPDX + '[a-z0-9 ]+'])})(?![^\n])"
+    every, fixed = any_of(forms.values()), any_of(form for s, form in forms.items() if SEEN not in s)
+    # sentences that vary are looked for only where a word is that one of them must have
+    words = sorted({max(s.replace(SEEN, "").split(), key=len) for s in forms if SEEN in s})
     whole = F.coalesce(F.col(text), F.lit(""))
     whole = F.when(whole.contains("GPL-"), F.regexp_replace(whole, r"(GPL-[0-9]\.[0-9])\+", "$1-or-later")).otherwise(whole)
     # line ends are single, ends of sentences and paragraphs double
     marked = F.regexp_replace(F.regexp_replace(whole, COMMENT, "\n"), BREAK, "$1\n\n")
     plain = F.btrim(F.regexp_replace(F.regexp_replace(F.translate(marked, UPPER, LOWER), OTHER, " "), END, "\n"))
+    docs = docs.withColumn("_plain", plain)
+    varied = reduce(lambda x, y: x | y, (F.col("_plain").contains(w) for w in words))
     # texts with a known sentence are read once more, for the ends of sentences between them
-    found = F.when(plain.rlike(any_), F.regexp_extract_all(plain, F.lit(rf"{any_}|\n\n+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    read = lambda any_: F.regexp_extract_all("_plain", F.lit(rf"{any_}|\n\n+"), F.lit(0))
+    found = F.when(varied, F.when(F.col("_plain").rlike(every), read(every))).when(F.col("_plain").rlike(fixed), read(fixed))
+    found = F.coalesce(found, F.array().cast("array<string>"))
     codes = F.transform(found, lambda s: F.when(s.startswith("\n"), F.lit(";")).otherwise(_ids_of(s)))
     out = docs.withColumn("_codes", F.array_join(codes, ""))
     ids = F.filter(F.split("_codes", "[;,]+"), lambda s: s != "")
@@ -230,4 +238,4 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         hits.append(F.when(hit, F.lit(name)))
     matched = F.when(F.size(ids) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*hits))))
     out = out.withColumns({"sentence_ids": F.array_join(ids, ","), "n_known": F.size(ids).cast("long"), "licenses": F.array_join(matched, ",")})
-    return out.drop("_codes")
+    return out.drop("_codes", "_plain")
