@@ -62,9 +62,9 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWERED).split()
 
 
-def class_of(found: list[bytes]) -> int:
-    """The digest of a text's words, which copies have in common."""
-    return xxhash.xxh64_intdigest(b" ".join(found), SEED)
+def class_of(found: list[bytes]) -> bytes:
+    """The digest of a text's words, of 128 bits, which copies have in common."""
+    return xxhash.xxh3_128_digest(b" ".join(found), SEED)
 
 
 def shingles(found: list[bytes], words: int = WORDS) -> np.ndarray:
@@ -92,9 +92,9 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _classes(text: Column) -> Column:
-    @F.arrow_udf("long")
+    @F.arrow_udf("binary")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([class_of(split(x)) for x in texts.to_pylist()], np.uint64).view(np.int64))
+        return pa.array([class_of(split(x)) for x in texts.to_pylist()], pa.binary())
 
     return of(text)
 
@@ -119,7 +119,10 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _column(values: pa.Array) -> np.ndarray:
-    """A column of numbers, or of lists of them as an array of arrays."""
+    """A column of numbers, of digests, or of lists of numbers as an array of arrays."""
+    if pa.types.is_binary(values.type):
+        fixed = values.cast(pa.binary(16))
+        return np.frombuffer(fixed.buffers()[1], "V16")[fixed.offset : fixed.offset + len(fixed)]
     if not pa.types.is_list(values.type):
         return values.to_numpy()
     out = np.empty(len(values), object)
@@ -129,6 +132,13 @@ def _column(values: pa.Array) -> np.ndarray:
     return out
 
 
+def _names(classes: np.ndarray) -> pa.Array:
+    """Digests as Arrow has them; numbers stay numbers."""
+    if classes.dtype.kind != "V":
+        return pa.array(classes)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(classes), [None, pa.py_buffer(classes.tobytes())]).cast(pa.binary())
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
     """``of`` over the columns of whole buckets, many at once. Rows are sorted by the first column."""
     held: list[pa.RecordBatch] = []
@@ -150,8 +160,9 @@ def _buckets(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(key: np.ndarray, a: np.ndarray, b: np.ndarray | None, n: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-    other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), other, pa.array(n), pa.array(fp)], ["key", "a", "b", "n", "fp"])
+    one = _names(a)
+    other = pa.nulls(len(a), one.type) if b is None else _names(b)
+    return pa.RecordBatch.from_arrays([pa.array(key), one, other, pa.array(n), pa.array(fp)], ["key", "a", "b", "n", "fp"])
 
 
 def _paired(key: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> pa.RecordBatch:
@@ -245,7 +256,7 @@ def cross_pairs(
             held += len(near)
         if held >= BATCH or row == last and held:
             a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([_names(cls[a]), _names(cls[b])], ["a", "b"])
             left, right, held = [], [], 0
 
 
@@ -279,11 +290,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, sets = [], []
-            for mine, text in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1).to_pylist(), strict=True):
+            for mine, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if class_of(found := split(text)) == mine:  # the id may have another text too
                     cls.append(mine)
                     sets.append(shingles(found, words))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(cls, np.uint64).view(np.int64)), _lists(sets)], ["cls", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), _lists(sets)], ["cls", "hashes"])
 
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     needed = materialize(needed.join(classes, "cls"), "near-needed")
@@ -301,7 +312,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
     texts = texts.unionByName(
         docs.where("doc_id IS NULL").withColumn("_d", _classes(F.col("text"))).join(nameless, F.col("_d") == F.col("cls")).select("cls", "text")
     )
-    sets = texts.mapInArrow(whole, "cls long, hashes array<long>").groupBy("cls").agg(F.first("hashes").alias("hashes"))
+    sets = texts.mapInArrow(whole, "cls binary, hashes array<long>").groupBy("cls").agg(F.first("hashes").alias("hashes"))
     sets = materialize(sets, "near-sets")
     one = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("one"))
     two = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("two"))
@@ -314,7 +325,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     common = _common(docs, words)
 
-    @F.arrow_udf("struct<cls:long,n:long,fp:long,keys:array<long>>")
+    @F.arrow_udf("struct<cls:binary,n:long,fp:long,keys:array<long>>")
     def marked(texts: pa.Array) -> pa.Array:
         digests, sizes, prints, keys = [], [], [], []
         for x in texts.to_pylist():
@@ -324,15 +335,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             sizes.append(len(hashes))
             prints.append(majority(hashes))
             keys.append(prefix(hashes, common))
-        digests, prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (digests, prints))
-        return pa.StructArray.from_arrays([digests, pa.array(sizes, pa.int64()), prints, _lists(keys)], ["cls", "n", "fp", "keys"])
+        prints = pa.array(np.array(prints, np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), prints, _lists(keys)], ["cls", "n", "fp", "keys"])
 
     # read twice: to write the prefixes beside the ids would take more disk than time
     marks = materialize(docs.select("doc_id", _classes(F.col("text")).alias("cls")), "near-marks")
     classes = materialize(marks.groupBy("cls").agg(F.min("doc_id").alias("first")), "near-classes")
     sets = docs.select(marked("text").alias("m")).groupBy("m.cls").agg(*[F.first(f"m.{x}").alias(x) for x in ("n", "fp", "keys")])
     keys = sets.select(F.explode("keys").alias("key"), "cls", "n", "fp").repartition("key").sortWithinPartitions("key", "cls")
-    found = materialize(keys.mapInArrow(lambda rows: _buckets(rows, lambda *x: first_pairs(*x, bits)), "key long, a long, b long, n long, fp long"), "near-buckets")
+    found = materialize(keys.mapInArrow(lambda rows: _buckets(rows, lambda *x: first_pairs(*x, bits)), "key long, a binary, b binary, n long, fp long"), "near-buckets")
     # a class that shares large buckets has more common keys than its pairs here say: what is left out for that comes again below
     pairs = materialize(_enough(found.where("b IS NOT NULL")), "near-pairs")
     links = materialize(_verified(pairs, classes, docs, words), "near-links")
@@ -345,7 +356,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         mixed = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key", "k")
         rows = _split(rows.join(mixed, "key").join(lists, "cls").select("key", "label", "cls", "n", "fp", "keys", "k"))
         rows = rows.repartition("bucket").sortWithinPartitions("bucket", "label", "cls")
-        more = rows.mapInArrow(lambda batches: _buckets(batches, lambda *x: cross_pairs(*x, bits)), "a long, b long")
+        more = rows.mapInArrow(lambda batches: _buckets(batches, lambda *x: cross_pairs(*x, bits)), "a binary, b binary")
         sized = large.groupBy("key").agg(F.lit(True).alias("large"))
         small = found.where("b IS NOT NULL").join(sized, "key", "left_anti")
         small = small.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n")).where("k < n")

@@ -146,3 +146,15 @@ def test_alike_sets_share_the_fewest_keys():
             none = neardup.np.zeros(0, neardup.np.uint64)
             x, y = ({*neardup.prefix(neardup.np.array(sorted(s), neardup.np.uint64), none).tolist()} for s in (one, two))
             assert len(x & y) >= neardup.fewest(neardup.np.int64(len(one)), neardup.np.int64(len(two)))
+
+
+def test_classes_are_digests_of_128_bits():
+    """They go into arrays and back, also from the middle of a batch; texts of equal words have the same."""
+    pa = neardup.pa
+    made = [neardup.class_of(neardup.split(x)) for x in ("a b", "A  b", "", None, "a c", "\0")]
+    assert {*map(len, made)} == {16} and made[0] == made[1] != made[4] and made[2] == made[3]
+    column = pa.array([b"\0" * 16, *made, b"\xff" * 15 + b"\0"], pa.binary())
+    for some in (column, column.slice(2, 3), column.slice(7)):
+        assert neardup._names(neardup._column(some)).equals(some)
+    classes = neardup._column(column)
+    assert (classes[1:] != classes[:-1]).tolist() == [a != b for a, b in zip(column[1:].to_pylist(), column[:-1].to_pylist(), strict=True)]
