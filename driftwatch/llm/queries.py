@@ -36,7 +36,7 @@ def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = transport.read(transport.store(docs))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     return done.select(
-        "doc_id", n_bytes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access"
+        "doc_id", n_bytes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access", "error"
     )
 
 
