@@ -13,7 +13,7 @@ Spark's own text sink writes the frames as raw bytes, without their last one, wh
 written again. Files lie under ``records`` of the folder and follow each other by name in the order
 of ``doc_id``, each ordered within and made of at most about ``file_bytes`` bytes of text. Reading the files back checks all
 checksums, and gives the offset index, written under ``index``: a row for each record with its file,
-offset and length, from which records can be read in any order.
+offset and length, from which ``read_records`` reads any of them in any order.
 
 Nulls and empty texts have the end id only. A null ``doc_id`` comes first and is
 read back as null; equal ids are ordered by a hash of their text, then the text;
@@ -212,6 +212,32 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
+def read_records(spark: SparkSession, wanted: DataFrame, path: str, json_path: str, ranks_path: str) -> DataFrame:
+    """``doc_id``, ``file``, ``offset`` and ``ids`` of those rows of the index that are ``wanted``, in no order: rows that are shuffled or sampled are cut out by their offsets.
+
+    Each file is opened once, for all of its wanted records, and files of none aren't opened. Only the checksums of these records are checked; a wrong
+    one raises ValueError. A row that is wanted twice comes twice.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = text_encoder(json_path, ranks_path).quick.n_vocab > 1 << 16
+        names = ["doc_id", "file", "offset", "ids"]
+        for batch in batches:
+            for file, content, wanted in zip(*batch.columns, strict=True):
+                data, rows = memoryview(content.as_buffer()), wanted.as_py()
+                for at in range(0, len(rows), 1000):
+                    some = rows[at : at + 1000]
+                    found = [read_frames(bytes(data[r["offset"] : r["offset"] + r["length"] + 16]))[1][0] for r in some]
+                    docs, ids = zip(*(read_payload(x, wide) for x in found), strict=True)
+                    columns = [pa.array(docs, pa.int64()), pa.array([file.as_py()] * len(some)), pa.array([r["offset"] for r in some]), pa.array(ids, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    places = wanted.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("wanted"))  # of one file, whose size is bounded
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
+    some = files.select(F.col("path").alias("file"), "content").join(places, "file")
+    return some.select("file", "content", "wanted").mapInArrow(cut, "doc_id long, file string, offset long, ids array<long>")
+
+
 def with_starts(index: DataFrame) -> DataFrame:
     """The index with ``start``: the ids of all records before, in the order of files and offsets.
 
