@@ -9,7 +9,7 @@ from driftwatch.functions.grids import bin_of, histogram
 from driftwatch.functions.islands import running_total
 from driftwatch.functions.quantiles import quantiles
 from driftwatch.operators import efficiency, features, intervals, models, scores, significance, slides, vetoes, windows
-from driftwatch.session import fresh_path
+from driftwatch.session import fresh_path, materialize, remove, scratch, shared_folder
 from driftwatch.sources import segments, tables
 
 
@@ -453,3 +453,21 @@ def test_files_beyond_the_times_are_not_opened(spark, frame, tmp_path):
     files = spanned.read_spanned(spark, str(tmp_path))
     assert sorted((r["t0"] or 0, r["rejected"]) for r in files.collect()) == [(0, True), (1234567890.0, False), (1234567954.0, False), (1234568018.5, False)]
     assert spanned.read_spanned(spark, str(tmp_path)).where("t0 > 2e9").count() == 0
+
+
+def test_scratch_folders_go_with_what_was_written_within(spark, frame):
+    import os
+
+    rows = frame([(float(i),) for i in range(100)], "x double")
+    outside = materialize(rows, "kept")
+    with scratch(spark) as folder:
+        kept = [r["threshold"] for r in scores.threshold(rows, 0.5, "x").collect()]
+        assert materialize(rows, "gone").count() == 100 and os.listdir(folder)
+        with scratch(spark) as inner:
+            assert inner.startswith(folder) and fresh_path(spark, "x").startswith(inner)
+        assert fresh_path(spark, "x").startswith(folder) and not fresh_path(spark, "x").startswith(inner)
+    assert kept == [49.5] and not os.path.exists(folder) and outside.count() == 100
+    with pytest.raises(ZeroDivisionError), scratch(spark) as folder:
+        materialize(rows, "gone").count() / 0
+    assert not os.path.exists(folder) and fresh_path(spark, "x").rpartition("/")[0] == shared_folder(spark)
+    remove(spark, folder)  # again, of nothing
