@@ -16,6 +16,10 @@ dealt out again, neither for a join nor for a merge. A key is its 128-bit digest
 What a document keeps are the run rows that it owns, so no join has a hot key:
 documents and runs meet by ``doc_id``.
 
+Buckets and batches follow the bytes of the texts: a bucket holds the keys of about 2 GiB of text, some hundreds of MB before equal lines are one, and a
+batch at most 4 TiB. Smaller inputs have as many buckets as the session has shuffle partitions, and four batches. The number of either changes no result.
+Spark takes 100,000 buckets unless ``spark.sql.sources.bucketing.maxBuckets`` is raised, so beyond some 200 TB raise it.
+
 Nulls and empty texts are one empty line. A null ``doc_id`` owns nothing and
 loses nothing. Rows of equal ``doc_id`` are one document. Ties can't arise, as
 the smallest ``doc_id`` is unique. Extra columns pass through; ``n_lines`` and
@@ -31,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.session import fresh_path
+from driftwatch.session import fresh_path, remove
 
 WHITE = b" \t\n\x0b\x0c\r"
 LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 RUN = "key binary, owner long"
+#: Bytes of text whose keys one bucket takes, and bytes of text in a batch.
+BUCKET_BYTES, BATCH_BYTES = 2 << 30, 4 << 40
 
 
 def line_digest(line: bytes, min_chars: int) -> bytes | None:
@@ -60,21 +66,29 @@ def line_digests(text: Column, min_chars: int) -> Column:
 class LineRuns:
     """Levels of runs of ``(key, owner)``: tables of ``buckets`` buckets by key, sorted within, each of keys that no other run holds.
 
-    The tables' files lie in the shared folder; only their names are in the session's catalog.
+    The files lie in the shared folder; their names are in the session's catalog until ``close``. What was merged is deleted at once, so
+    a DataFrame of ``rows`` holds until the next batch is added.
     """
 
     def __init__(self, spark, fan_in: int = 2, buckets: int | None = None):
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def runs(self) -> list[str]:
         """The names of all runs' tables, the largest first."""
         return [name for level in reversed(self.levels) for name in level]
 
     def rows(self) -> DataFrame:
-        """All rows of all runs."""
-        return functools.reduce(DataFrame.unionByName, map(self.spark.table, self.runs())) if self.runs() else self.spark.createDataFrame([], RUN)
+        """All rows of all runs, read from their files, so also after ``close``."""
+        paths = [self.paths[name] for name in self.runs()]
+        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+
+    def close(self) -> None:
+        """Takes the runs' names out of the catalog; the files stay. Nothing can be added afterwards."""
+        for name in self.runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = fresh_path(self.spark, f"line-run-{level}")
@@ -83,6 +97,7 @@ class LineRuns:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
+        self.paths[name] = path
 
     def add(self, batch: DataFrame) -> None:
         """Adds the keys of ``batch`` (one row each: key, owner) that no run holds."""
@@ -98,7 +113,8 @@ class LineRuns:
             level += 1
             self._write(functools.reduce(self._merged, map(self.spark.table, full)), level)
             for name in full:
-                self.spark.sql(f"DROP TABLE {name}")  # of the name; files stay where jobs that have begun may read them
+                self.spark.sql(f"DROP TABLE {name}")
+                remove(self.spark, self.paths.pop(name))
 
     @staticmethod
     def _merged(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -108,6 +124,12 @@ class LineRuns:
         return both.select(F.coalesce("key", "_key").alias("key"), F.coalesce("owner", "_owner").alias("owner"))
 
 
+def sizes(docs: DataFrame, text: str = "text", buckets: int = 1, batches: int = 4) -> tuple[int, int]:
+    """Buckets and batches for the bytes of all texts, at least as many as given."""
+    n_bytes = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    return max(buckets, -(-n_bytes // BUCKET_BYTES)), max(batches, -(-n_bytes // BATCH_BYTES))
+
+
 def add_documents(
     runs: LineRuns, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, batches: int = 4
 ) -> LineRuns:
@@ -132,6 +154,7 @@ def add_documents(
     lines = spark.read.schema(f"{RUN}, batch int").parquet(path)
     for i in range(len({*bounds}) + 1):
         runs.add(lines.where(F.col("batch") == i).drop("batch"))
+    remove(spark, path)
     return runs
 
 
@@ -143,8 +166,11 @@ def dedup_lines(
     batches: int = 4,
     fan_in: int = 2,
 ) -> DataFrame:
-    """``docs`` with the lines that an earlier document owns cut from ``text``, with ``n_lines`` and ``n_dropped``."""
-    runs = add_documents(LineRuns(docs.sparkSession, fan_in), docs, doc_id, text, min_chars, batches)
+    """``docs`` with the lines that an earlier document owns cut from ``text``, with ``n_lines`` and ``n_dropped``. ``batches`` is the least number of batches."""
+    spark = docs.sparkSession
+    buckets, batches = sizes(docs, text, int(spark.conf.get("spark.sql.shuffle.partitions")), batches)
+    runs = add_documents(LineRuns(spark, fan_in, buckets), docs, doc_id, text, min_chars, batches)
+    runs.close()
     owned = runs.rows().groupBy(F.col("owner").alias("_owner")).agg(F.collect_list("key").alias("_keys"))
     names = ["_kept", "n_lines", "n_dropped"]
 

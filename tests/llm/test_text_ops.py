@@ -1,5 +1,6 @@
 """Line dedup, licenses, BPE, tokens, rules and classifier against brute force and hand-made cases."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -55,6 +56,28 @@ def test_line_dedup_of_nothing(frame):
     assert line_dedup.dedup_lines(frame([], DOC)).count() == 0
 
 
+def test_buckets_and_batches_follow_the_bytes(frame, monkeypatch):
+    docs = frame([(i, f"shared line of all\nown line number {i}\né") for i in range(40)] + [(None, None)], DOC)
+    n_bytes = sum(len(f"shared line of all\nown line number {i}\né".encode()) for i in range(40))
+    assert line_dedup.sizes(docs, buckets=4) == (4, 4) and line_dedup.sizes(frame([], DOC), buckets=3, batches=2) == (3, 2)
+    monkeypatch.setattr(line_dedup, "BUCKET_BYTES", 200)
+    monkeypatch.setattr(line_dedup, "BATCH_BYTES", 300)
+    assert line_dedup.sizes(docs, buckets=4) == (-(-n_bytes // 200), -(-n_bytes // 300))
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {None: 0} | {i: int(i > 0) for i in range(40)}
+
+
+def test_nothing_is_left_but_the_last_runs(spark, frame):
+    from driftwatch.session import scratch
+
+    docs = frame([(i, f"shared line of all\nown line number {i}") for i in range(40)], DOC)
+    with scratch(spark) as folder:
+        done = line_dedup.dedup_lines(docs, batches=5)
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+        assert sorted(x.rpartition("-")[0] for x in os.listdir(folder)) == ["line-run-0", "line-run-2"]  # 5 is 4 and 1
+        assert done.agg({"n_dropped": "sum"}).first()[0] == 39
+
+
 def test_runs_grow_in_levels(spark, frame):
     runs = line_dedup.LineRuns(spark, fan_in=2)
     for start in range(0, 50, 10):
