@@ -117,6 +117,16 @@ def odd_texts(n):
     return ["".join(random.choice(common if random.random() < 0.8 else rare) for _ in range(random.randint(0, 80))) for _ in range(n)]
 
 
+def test_bpe_of_no_rows_nulls_and_clashing_columns(frame):
+    path = queries.default_vocabulary()[0]
+    assert bpe.round_trip(frame([], DOC), path).count() == 0
+    rows = frame([(1, None, "x"), (1, "", "y"), (None, "a b", "z"), (2, "a" * 20_000, "z")], DOC + ", n_tokens string")
+    got = bpe.round_trip(rows, path).collect()
+    empty = sha256(b"").hexdigest()
+    assert sorted(r["n_tokens"] for r in got)[:2] == [0, 0] and {r["ids_sha256"] for r in got if r["doc_id"] == 1} == {empty}
+    assert {r["decoded_sha256"] for r in got if r["doc_id"] != 1} == {sha256(x.encode()).hexdigest() for x in ("a b", "a" * 20_000)}
+
+
 def test_bpe_equals_the_library(frame):
     path = default_vocabulary()[0]
     exact = text_encoder(*default_vocabulary()).exact
@@ -253,3 +263,14 @@ def test_flat_trees_equal_a_walk():
                 at = trees.left[at] + (row[trees.feature[at]] > trees.split[at])
             margin += trees.value[at]
         assert score == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (None, None), (3, "word " * 60)]])
+def test_pipeline_of_no_rows_and_of_nulls(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # empty texts fail the base rule, and so does a text of one word again and again
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
