@@ -133,6 +133,8 @@ def score_isolation_forest(rows: DataFrame, forest: DataFrame, features: str, na
 BLOCKS = "block long, ids array<long>, x binary"
 #: Sums of kernels are kept in steps of so many units of the logarithm.
 STEP = 64
+#: Bytes of background that rows meet in one group of block pairs.
+HELD = 32 << 20
 
 
 def _blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -156,12 +158,19 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("_id", "_x").mapInArrow(packed, BLOCKS)
 
 
+def _copied(blocks: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """Blocks in one of ``n_own`` groups, by a hash, with a copy for each of the ``n_other`` groups of the other side."""
+    dealt = blocks.withColumn(own, F.pmod(F.xxhash64(blocks.columns[0]), F.lit(n_own)))
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<long>")))
+
+
 def score_kde(rows: DataFrame, background: DataFrame, features: str, bandwidth: float = 0.5, most: int = 2_048, name: str = "score") -> DataFrame:
     """Minus the log density of each row under Gaussian kernels at background rows; null without any.
 
-    Rows and background are packed into blocks of ``most`` vectors. Each group of row blocks gets its own copy of every background block, so each pair of
-    blocks meets once, in a task that holds these two only, and gives the logarithm of each row's sum of kernels. What pairs give for a row is added up
-    by key: logarithms are cut into a multiple of ``STEP`` and a rest, rests are added up as numbers for each multiple, before the shuffle too, and
+    Rows and background are packed into blocks of ``most`` vectors and dealt out to a grid of groups: each group of row blocks meets each of background blocks,
+    of some ``HELD`` bytes, in a shuffle, so each pair of blocks meets once and gives the logarithm of each row's sum of kernels. A block is copied once for each group of
+    the other side, which are about as many as shuffle partitions in all, and no side is broadcast: Spark would take copies for as small as what is copied. What pairs give for a row
+    is added up by key: logarithms are cut into a multiple of ``STEP`` and a rest, rests are added up as numbers for each multiple, before the shuffle too, and
     the few multiples of a row are put together last. Rows are written once.
 
     Vectors that are null, have a null or NaN component, or another number of components than the longest of the background don't count there and have a null score.
@@ -172,12 +181,13 @@ def score_kde(rows: DataFrame, background: DataFrame, features: str, bandwidth:
         return rows.withColumn(name, F.lit(None).cast("double"))
     good = good.where(F.size("_x") == dims).withColumn("_id", F.monotonically_increasing_id())
     points = materialize(_blocks(good, most).select("x", F.size("ids").alias("n")), "background")
-    n = points.agg(F.sum("n")).first()[0]
+    n, n_blocks = points.agg(F.sum("n"), F.count("*")).first()
     known = materialize(rows.withColumn("_id", F.monotonically_increasing_id()), "densities")
     asked = known.select("_id", F.transform(features, lambda v: v.cast("double")).alias("_x")).where(_whole("_x") & (F.size("_x") == dims)).where(~F.exists("_x", F.isnan))
-    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = _blocks(asked, most).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    right = points.select(F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("group"))
+    across = math.ceil(n_blocks * most * dims * 8 / HELD)
+    down = max(1, min(math.ceil(known.count() / most), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // across))
+    left = _copied(_blocks(asked, most), "row_group", down, "group", across)
+    right = _copied(points.select(F.col("x").alias("y")), "group", across, "row_group", down)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +198,7 @@ def score_kde(rows: DataFrame, background: DataFrame, features: str, bandwidth:
                 ids = batch.column(0).slice(row, 1).flatten()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(step.astype(np.int64)), pa.array(np.exp(logs - STEP * step))], ["_id", "step", "part"])
 
-    parts = left.join(right, "group").select("ids", "x", "y").mapInArrow(sums, "_id long, step long, part double")
+    parts = left.join(right.hint("merge"), ["row_group", "group"]).select("ids", "x", "y").mapInArrow(sums, "_id long, step long, part double")
     added = parts.groupBy("_id", "step").agg(F.sum("part").alias("part"))
     per_row = added.groupBy(F.col("_id").alias("_of")).agg(F.collect_list(F.struct("step", "part")).alias("_s"), F.max("step").alias("_top"))
     total = F.aggregate("_s", F.lit(0.0), lambda a, s: a + s["part"] * F.exp(STEP * (s["step"] - F.col("_top")).cast("double")))

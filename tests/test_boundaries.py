@@ -403,6 +403,25 @@ def test_density_in_blocks(frame):
     assert [r["score"] for r in away] == pytest.approx([s.min() - np.log(np.exp(s.min() - s).sum()) + np.log(30) + 1.5 * np.log(2 * np.pi) for s in squares])
 
 
+def test_density_shuffles_the_copies_of_blocks(frame, spark, monkeypatch):
+    """Copies of the background aren't broadcast, and a grid of several groups a side gives the same densities."""
+    import contextlib
+    import io
+
+    import numpy as np
+    from driftwatch.operators import models
+
+    points = np.random.default_rng(3).normal(size=(60, 2))
+    rows = frame([(i, x.tolist()) for i, x in enumerate(points)], "i int, x array<double>")
+    whole = [r["score"] for r in models.score_kde(rows, rows, "x").orderBy("i").collect()]
+    monkeypatch.setattr(models, "HELD", 5 * 2 * 8 * 6, raising=False)
+    got, text = models.score_kde(rows, rows, "x", most=5), io.StringIO()
+    with contextlib.redirect_stdout(text):
+        got.explain()
+    assert "SortMergeJoin [row_group" in text.getvalue() and "BroadcastHashJoin [group" not in text.getvalue()
+    assert [r["score"] for r in got.orderBy("i").collect()] == pytest.approx(whole)
+
+
 def test_models_over_nulls_and_without_background(frame, spark):
     rows = frame([(1, [0.1, 0.2]), (2, None), (3, [0.1, None]), (4, [0.3]), (5, []), (6, [float("nan"), 1.0]), (7, [0.1, 0.2])], "id long, x array<double>")
     none = spark.createDataFrame([], "id long, x array<double>")
