@@ -2,15 +2,17 @@
 
 Each document gets statistics that rules look at (symbols, capitals, bars, word
 lengths, plain words). Random splits on them isolate odd documents early, so a
-short mean path over many trees marks an anomaly. The trees grow on small random
-samples of the rows that the base rule passes, good and bad alike: a statistic
-that is zero in all good rows would never be split otherwise. The threshold on the
-anomaly score is the one which best tells the good labelled rows from the bad
-ones, among those that keep at least ``keep_share`` of the good.
-
-The fit reads at most ``max_rows`` labelled rows, taken in the order of a hash
-of their id; every document is scored. A base rule fails documents of under
-``min_words`` words or with over half of the words in repeated 3-word windows.
+short mean path over many trees marks an anomaly. Each tree grows on rows of its own,
+drawn from all labelled rows outside of fold 0 that the base rule passes, as the method
+asks, good and bad alike: a statistic that is zero in all good rows would never be split
+otherwise. The threshold on the anomaly score is the one which best tells all the good
+labelled rows from all the bad ones, among those that keep at least ``keep_share`` of
+the good.
+
+The fit reads every labelled row outside of fold 0 and every document is scored. Spark
+holds the rows; what a fit gathers are the rows that the trees draw, whatever the input. A
+base rule fails documents of under ``min_words`` words or with over half of the words in
+repeated 3-word windows.
 
 Nulls and empty texts have no words and fail the base rule. Repeated rows get
 equal results, an empty table an empty one; labels of both classes that are
@@ -27,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.labels import labelled_texts
+from driftwatch.functions.islands import running_total
+from driftwatch.llm.labels import held_out
+from driftwatch.session import materialize, scratch
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("word_length", "symbols", "capitals", "marks", "bars", "letters", "plain_words")
@@ -82,18 +86,21 @@ def _path_bound(n: int) -> float:
 
 
 class IsolationForest:
-    """Trees of random splits as flat arrays; ``score`` is near 1 for odd rows and under 0.5 for common ones."""
+    """Trees of random splits as flat arrays; ``score`` is near 1 for odd rows and under 0.5 for common ones.
+
+    The trees draw from ``rows``, or grow on the rows that ``drawn`` holds for each of them.
+    """
 
-    def __init__(self, rows: np.ndarray, trees: int = 200, sample: int = 128, seed: int = 7):
+    def __init__(self, rows: np.ndarray, trees: int = 200, sample: int = 128, seed: int = 7, drawn: list[np.ndarray] | None = None):
         draw = np.random.default_rng(seed)
-        sample = min(sample, len(rows))
+        sample = max(map(len, drawn)) if drawn else min(sample, len(rows))
         self.depth = max(1, math.ceil(math.log2(max(sample, 2))))
         self.bound = _path_bound(sample) or 1.0
         nodes: list[list[float]] = []
         self.roots = []
-        for _ in range(trees):
+        for own in drawn or (rows[draw.choice(len(rows), sample, replace=False)] for _ in range(trees)):
             self.roots.append(len(nodes))
-            self._grow(rows[draw.choice(len(rows), sample, replace=False)], 0, draw, nodes)
+            self._grow(own, 0, draw, nodes)
         table = np.array(nodes)
         self.feature, self.left, self.right = (table[:, i].astype(np.int32) for i in (0, 2, 3))
         self.split, self.path = table[:, 1], table[:, 4]
@@ -135,6 +142,35 @@ def threshold(good: np.ndarray, bad: np.ndarray, keep_share: float) -> float:
     return float(cuts[gain.argmax()])
 
 
+def exact_threshold(scored: DataFrame, keep_share: float) -> float:
+    """``threshold`` of all rows ``(score, label)``, added up by score and by ranges of it; no task or driver holds them."""
+    good, bad = (F.sum(F.when(F.col("label") == n, 1).otherwise(0)) for n in (1, 0))
+    counts = materialize(scored.groupBy("score").agg(good.alias("good"), bad.alias("bad")), "score-counts")
+    n_good, n_bad = counts.agg(F.sum("good"), F.sum("bad")).first()
+    if not n_good or not n_bad:
+        return math.inf
+    upto = running_total(counts, "score", {"kept": "good", "missed": "bad"})
+    gain = F.col("kept") / F.lit(n_good) - F.col("missed") / F.lit(n_bad)
+    best = upto.where(F.col("kept") / F.lit(n_good) >= keep_share).agg(F.max(F.struct(gain.alias("gain"), (-F.col("score")).alias("score")))).first()[0]
+    at = -best["score"]
+    after = counts.where(F.col("score") > at).agg(F.min("score")).first()[0]
+    return at if after is None else (at + after) / 2
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, folds: int, min_words: int, repeat_percent: int) -> DataFrame:
+    """``doc_id``, ``features`` and ``label`` of all labelled ids outside of fold 0 that the base rule passes, a row each.
+
+    Rows with a null id or label are left out. A document with several labels has the largest. Statistics are taken before the join, so texts are not shuffled.
+    """
+    known = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds)
+    chosen = labels.where(known & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    stats = docs.where(known).select("doc_id", statistics_of("text").alias("s")).select("doc_id", "s.*")
+    stats = stats.select("doc_id", F.struct(base_failure(min_words, repeat_percent).alias("failed"), "features").alias("s"))
+    # filtered after the groups, as Spark would take the statistics twice for a filter before them
+    each = stats.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("s").alias("s"), F.min("label").alias("label"))
+    return each.where("not s.failed").select("doc_id", "s.features", "label")
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -143,21 +179,41 @@ def fit(
     keep_share: float = 0.995,
     min_words: int = 50,
     repeat_percent: int = 50,
-    max_rows: int = 20_000,
     folds: int = 5,
+    seed: int = 7,
 ) -> tuple[IsolationForest | None, float]:
-    """A forest and its threshold from at most ``max_rows`` labelled rows outside of fold 0."""
-    texts = labelled_texts(docs, labels, max_rows, folds)
-    stats = texts.select(statistics_of("text").alias("s"), "label").select("s.*", "label")
-    rows = stats.where(~base_failure(min_words, repeat_percent)).select("features", "label").toArrow()
-    x, y = np.array(rows["features"].to_pylist(), float).reshape(-1, len(FEATURES)), rows["label"].to_numpy()
-    if not len(x):
-        return None, math.inf
-    order = np.lexsort((y, *x.T))
-    x, y = x[order], y[order]
-    forest = IsolationForest(x, trees, sample)
-    scores = forest.score(x)
-    return forest, threshold(scores[y == 1], scores[y == 0], keep_share)
+    """A forest and its threshold from all labelled rows outside of fold 0.
+
+    Each tree draws some 1.5 times ``sample`` of all rows by a hash, and takes the first ``sample`` of them in the order of another.
+    """
+    with scratch(docs.sparkSession):
+        rows = materialize(labelled_statistics(docs, labels, folds, min_words, repeat_percent), "labelled-statistics")
+        if not (n := rows.count()):
+            return None, math.inf
+        forest = IsolationForest(np.zeros((0, len(FEATURES))), seed=seed, drawn=drawn_rows(rows, n, trees, sample, seed))
+        return forest, exact_threshold(rows.select(scores_of("features", forest).alias("score"), "label"), keep_share)
+
+
+def drawn_rows(rows: DataFrame, n: int, trees: int, sample: int, seed: int) -> list[np.ndarray]:
+    """The rows of each tree, at most ``sample``, drawn from all ``n`` rows ``(doc_id, features)``."""
+    share = int(min(1.0, (1.5 * sample + 30) / n) * (1 << 40))
+    of = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.pmod(F.xxhash64("doc_id", tree, F.lit(seed)), F.lit(1 << 40)) < share)
+    some = rows.select("doc_id", "features", F.explode(of).alias("tree"))
+    got = some.select("tree", F.xxhash64("doc_id", "tree", F.lit(seed + 1)).alias("place"), "features").toArrow()
+    x, tree, place = np.array(got["features"].to_pylist(), float).reshape(-1, len(FEATURES)), got["tree"].to_numpy(), got["place"].to_numpy()
+    order = np.lexsort((*x.T, place, tree))
+    ends = np.searchsorted(tree[order], np.arange(trees + 1))
+    return [x[order[i:j][:sample]] for i, j in zip(ends[:-1], ends[1:], strict=True) if j > i]
+
+
+def scores_of(features: str, forest: IsolationForest) -> Column:
+    """A column of the anomaly scores of rows of ``features``."""
+
+    @F.arrow_udf("double")
+    def score(rows: pa.Array) -> pa.Array:
+        return pa.array(forest.score(np.array(rows.to_pylist(), float).reshape(-1, len(FEATURES))), pa.float64())
+
+    return score(F.col(features))
 
 
 def base_failure(min_words: int, repeat_percent: int) -> Column:

@@ -210,6 +210,27 @@ def test_forest_scores_equal_a_walk():
     assert forest.score(np.full((1, 4), 9.0))[0] > forest.score(np.zeros((1, 4)))[0]
 
 
+def test_rules_learn_from_every_labelled_row(spark, frame):
+    """More labelled rows than a former fit read: the threshold is that of all of them, and a tree may draw any."""
+    rows, draw = 21_000, np.random.default_rng(4)
+    values = draw.normal(size=(rows, len(rules.FEATURES)))
+    table = spark.createDataFrame([(i, x.tolist(), i % 10 > 0) for i, x in enumerate(values)], "doc_id long, features array<double>, good boolean")
+    table = table.select("doc_id", "features", F.col("good").cast("int").alias("label"))
+    drawn = rules.drawn_rows(table, rows, 20, 128, 7)
+    assert [len(x) for x in drawn] == [128] * 20
+    assert len({tuple(x) for tree in drawn for x in tree}) > 2_400  # trees draw apart
+    few = rules.drawn_rows(table.where("doc_id < 150"), 150, 20, 128, 7)
+    assert len({tuple(sorted(map(tuple, x))) for x in few}) == 20
+    forest = rules.IsolationForest(values, drawn=drawn)
+    label, scores = np.arange(rows) % 10 > 0, forest.score(values)
+    cut = rules.exact_threshold(table.select(rules.scores_of("features", forest).alias("score"), "label"), 0.995)
+    assert cut == rules.threshold(scores[label], scores[~label], 0.995)
+    texts = frame([(i, " ".join(f"w{j}x{i}" for j in range(60))) for i in range(50)], DOC)
+    marks = frame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    whole = rules.labelled_statistics(texts, marks, 5, 50, 50)
+    assert whole.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(50))
+
+
 def test_rules_and_classifier_without_labels(spark, frame):
     docs = frame([(1, None), (2, ""), (3, LONG), (None, "x")], DOC)
     none = frame([], "doc_id long, quality int")
