@@ -4,7 +4,9 @@ Range joins are equi-joins on time buckets: each row is filed under every bucket
 it touches and a pair is found in the first bucket that both share, so no pair
 appears twice and nothing has to be made distinct. ``width`` is a bucket's
 length; about the usual length of the intervals is right. A row longer than
-that only costs more buckets. Where whole lists of segments meet, their bounds are
+that only costs more buckets. Where only the best or any of the rows that a row
+overlaps is wanted, no pairs are made: both sides of a bucket are put in order and
+a running maximum tells. Where whole lists of segments meet, their bounds are
 swept instead.
 """
 
@@ -46,6 +48,39 @@ def range_join(
     return pairs.where(first & meets).drop("_bucket")
 
 
+def overlapping(probes: DataFrame, marks: DataFrame, width: float, span: tuple[str, str], mark: tuple[str, str]) -> DataFrame:
+    """The rows of ``probes`` whose span overlaps any of ``marks``, ``ps < mt and ms < pt``; a row comes once for each bucket in which it does.
+
+    In a bucket, the latest end of the marks that begin before a probe ends is a running maximum: work grows with the rows, not with the pairs.
+    """
+    (ps, pt), (ms, mt) = span, mark
+    filed = lambda df, a, b: df.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col(a), width), _bucket(F.col(b), width))))
+    asked = filed(probes.where(F.col(ps) <= F.col(pt)), ps, pt).withColumns({"_at": F.col(pt), "_is": F.lit(0)})
+    known = filed(marks.where(F.col(ms) <= F.col(mt)), ms, mt).select("_bucket", F.col(ms).alias("_at"), F.lit(1).alias("_is"), F.col(mt).alias("_end"))
+    upto = Window.partitionBy("_bucket").orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(known, allowMissingColumns=True).withColumn("_end", F.max("_end").over(upto))
+    return both.where((F.col("_is") == 0) & (F.col(ps) < F.col("_end"))).select(*probes.columns)
+
+
+def best_touched(spans: DataFrame, marks: DataFrame, width: float) -> DataFrame:
+    """``(_window, _best)`` of the spans ``(_window, _from, _to)`` that overlap marks ``(_low, _high, _best)``; the largest ``_best`` of a span is in one of its rows.
+
+    Spans have one length and marks have one, and ``width`` is both together. So the marks that a span overlaps follow each other in time: of the first bucket that it reaches
+    they are the last ones, of the others the first ones. Both are running maxima: work grows with the rows, not with the pairs.
+    """
+    size = 0.75 * width  # all marks of a span's first bucket begin before it ends
+    known = marks.where((F.col("_low") <= F.col("_high")) & ~F.isnan("_low")).withColumn("_bucket", _bucket(F.col("_high"), size))
+    asked = spans.where((F.col("_from") <= F.col("_to")) & ~F.isnan("_from")).withColumn("_first", _bucket(F.col("_from"), size))
+    asked = asked.withColumn("_bucket", F.explode(F.sequence("_first", _bucket(F.col("_from") + 1.125 * width, size))))
+    late = F.col("_bucket") == F.col("_first")
+    probes = asked.select("_window", "_bucket", late.alias("_late"), F.when(late, -F.col("_from")).otherwise(F.col("_to")).alias("_at"), F.lit(0).alias("_is"))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("_late"), (-F.col("_high")).alias("_at")), F.struct(F.lit(False).alias("_late"), F.col("_low").alias("_at"))))
+    twice = known.withColumn("_s", sides).select("_bucket", "_s._late", "_s._at", F.lit(1).alias("_is"), "_best")
+    upto = Window.partitionBy("_bucket", "_late").orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    both = probes.unionByName(twice, allowMissingColumns=True).withColumn("_best", F.max("_best").over(upto))
+    return both.where((F.col("_is") == 0) & F.col("_best").isNotNull()).select("_window", "_best")
+
+
 def sweep(segments: DataFrame, lists: list[Column]) -> DataFrame:
     """The spans ``[start, stop)`` in which a segment of every list is on, broken at every bound of a segment; ``lists`` says of a segment whether it is in each.
 
@@ -116,9 +151,10 @@ def label_windows(
     A window ``[gps, gps + kernel)`` touches ``[time - pad, time + pad]`` strictly on both sides.
     """
     spans = windows.select(F.col(window).alias("_window"), F.col(time).alias("_from"), (F.col(time) + kernel).alias("_to"))
-    marks = injections.select("inj_order", "inj_type", (F.col("time") - pad).alias("_low"), (F.col("time") + pad).alias("_high"))
-    hits = range_join(spans, marks, kernel + 2 * pad, ("_from", "_to"), ("_low", "_high"))
-    found = hits.groupBy("_window").agg(F.max_by("inj_type", "inj_order").alias("inj_type"))
+    best = F.struct("inj_order", F.when(F.col("inj_order").isNotNull(), F.col("inj_type")).alias("inj_type"))
+    marks = injections.select((F.col("time") - pad).alias("_low"), (F.col("time") + pad).alias("_high"), best.alias("_best"))
+    hits = best_touched(spans, marks, kernel + 2 * pad)
+    found = hits.groupBy("_window").agg(F.max("_best")["inj_type"].alias("inj_type"))
     out = windows.join(found, F.col(window) == F.col("_window"), "left")
     return out.withColumn("has_injection", F.col("_window").isNotNull()).drop("_window")
 
@@ -127,14 +163,14 @@ def touched_injections(windows: DataFrame, injections: DataFrame, kernel: float,
     """How many injections touch at least one window."""
     spans = windows.select(F.col(time).alias("_from"), (F.col(time) + kernel).alias("_to"))
     marks = injections.select("inj_order", (F.col("time") - pad).alias("_low"), (F.col("time") + pad).alias("_high"))
-    hits = range_join(spans, marks, kernel + 2 * pad, ("_from", "_to"), ("_low", "_high"))
+    hits = overlapping(marks, spans, kernel + 2 * pad, ("_low", "_high"), ("_from", "_to"))
     return hits.select("inj_order").distinct().agg(F.count("*").alias("n_touched"))
 
 
 def split_by_triggers(windows: DataFrame, triggers: DataFrame, clean: bool, width: float, window: str = "window_id") -> DataFrame:
     """Windows away from all triggers (``clean``) or on one: ``tstart < stop and tend > start``."""
     spans = windows.select(F.col(window).alias("_window"), F.col("start").alias("_from"), F.col("stop").alias("_to"))
-    hit = range_join(spans, triggers.select("tstart", "tend"), width, ("_from", "_to"), ("tstart", "tend")).select("_window").distinct()
+    hit = overlapping(spans, triggers, width, ("_from", "_to"), ("tstart", "tend")).select("_window").distinct()
     return windows.join(hit, F.col(window) == F.col("_window"), "left_anti" if clean else "left_semi")
 
 

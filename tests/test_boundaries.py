@@ -50,6 +50,39 @@ def test_window_edge_on_the_pad_does_not_touch(frame):
     assert {r["inj_type"] for r in got.where("window_id = 3").collect()} == {"b"}
 
 
+def test_windows_and_marks_equal_brute_force(frame):
+    """Labels, touched injections and triggers on windows, at bounds that are equal too, and no pairs of rows in the plan."""
+    import contextlib
+    import io
+    import random
+
+    draw = random.Random(6)
+    for kernel, pad, step in ((1.0, 1.0, 0.5), (0.3, 0.1, 0.1), (4.0, 0.25, 0.25), (0.0, 1.5, 0.5)):
+        wins = [(i, draw.randint(-60, 60) * step) for i in range(80)] + [(200, float("nan")), (201, None)]
+        injs = [(draw.choice([i, None]), draw.choice(["a", "b", None]), draw.randint(-90, 90) * step) for i in range(40)] + [(99, "n", float("nan"))]
+        trigs = [(s, s + draw.randint(0, 30) * step) for s in (draw.randint(-60, 60) * step for _ in range(12))]
+        meets = lambda w, t: w is not None and w == w and t == t and w < t + pad and w + kernel > t - pad  # noqa: E731, B023
+        want = []
+        for i, w in wins:
+            hit = [(o, k) for o, k, t in injs if meets(w, t)]
+            of = [x for x in hit if x[0] is not None]
+            want.append((i, max(of, key=lambda x: x[0])[1] if of else None, bool(hit)))
+        win, inj = frame(wins, "window_id long, gps double"), frame(injs, "inj_order long, inj_type string, time double")
+        got = intervals.label_windows(win, inj, kernel, pad)
+        assert sorted(tuple(r) for r in got.select("window_id", "inj_type", "has_injection").collect()) == want
+        touched = len({o for o, _, t in injs if any(meets(w, t) for _, w in wins)})
+        assert intervals.touched_injections(win, inj, kernel, pad).first()[0] == touched
+        spans = frame([(i, w, w + kernel) for i, w in wins[:80]], "window_id long, start double, stop double")
+        on = {i for i, w in wins[:80] if any(a < w + kernel and b > w for a, b in trigs)}
+        marks = frame(trigs, "tstart double, tend double")
+        assert {r["window_id"] for r in intervals.split_by_triggers(spans, marks, False, 2.0).collect()} == on
+        assert {r["window_id"] for r in intervals.split_by_triggers(spans, marks, True, 2.0).collect()} == {*range(80)} - on
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        got.explain()
+    assert text.getvalue().count("Join") == 1  # of windows and what is found for them
+
+
 def test_smoothing_pads_with_zero(frame):
     import numpy as np
 
